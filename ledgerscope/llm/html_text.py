@@ -152,6 +152,13 @@ LABELLED = (
     [(2, 1, 0, 1, 0, 1, 0), (1, 0, 1, 0, 1, 0, 1), (1, 0, 1, 0, 0, 0, 1), (3, 1, 1, 1, 0, 0, 0), (2, 0, 1, 0, 0, 0, 1), (6, 1, 1, 0, 0, 0, 1), (1, 0, 1, 0, 0, 0, 1), (4, 0.9, 1, 1, 0, 1, 0), (5, 1, 0, 1, 0, 1, 0)],
     [(5, 0.5, 1, 0, 0, 0, 1), (2, 0, 1, 0, 0, 1, 1), (1, 1, 1, 0, 0, 1, 1), (2, 0.5, 1, 0, 0, 1, 1), (1, 1, 0, 0, 0, 1, 0), (2, 1, 0, 0, 0, 1, 0), (1, 0, 0, 0, 0, 0, 0), (3, 1, 0, 0, 0, 0, 0)],
     [(1, 0, 0, 0, 0, 0, 0), (2, 1, 0, 0, 0, 0, 0), (2, 0, 0, 0, 0, 0, 0), (1, 1, 0, 0, 0, 1, 0), (2, 0, 1, 0, 0, 0, 1), (2, 0.6, 0, 0, 0, 0, 0), (3, 0.6, 1, 0, 0, 0, 1), (9, 0.7, 0, 0, 0, 0, 0), (14, 0.6, 1, 0, 0, 0, 1)],
+    # footers, notices, sidebars and comments of any length, in and beside an article, last or first
+    [(50, 0, 1, 0, 0, 0, 1), (14, 0, 0, 1, 0, 0, 0)],
+    [(20, 0, 1, 0, 0, 0, 1), (28, 0, 0, 1, 0, 0, 0)],
+    [(12, 0, 0, 1, 0, 0, 0), (35, 0, 1, 0, 0, 0, 1), (20, 0, 0, 1, 0, 0, 0)],
+    [(26, 0, 0, 1, 0, 0, 0), (30, 0, 0, 0, 0, 0, 1), (34, 0, 0, 0, 0, 0, 1), (17, 0, 0, 1, 0, 0, 0)],
+    [(45, 0, 0, 1, 0, 0, 0), (4, 0, 1, 0, 1, 0, 1), (15, 0, 1, 0, 0, 0, 1), (90, 0.1, 1, 1, 0, 0, 0), (18, 0, 1, 0, 0, 0, 1), (24, 0, 1, 1, 0, 0, 0), (7, 0.3, 0, 1, 0, 0, 0)],
+    [(22, 0.3, 0, 1, 0, 0, 0), (19, 0, 0, 1, 0, 0, 0), (27, 0, 1, 1, 0, 0, 0), (16, 0.1, 0, 1, 0, 0, 0), (6, 0, 0, 1, 1, 0, 0), (40, 0, 1, 1, 0, 0, 0), (13, 0, 0, 1, 0, 1, 0)],
     # links and short blocks at the end of an article
     [(65, 0, 1, 0, 0, 0, 1), (22, 0.1, 1, 0, 0, 0, 1), (7, 0, 1, 0, 1, 0, 1), (31, 0, 1, 0, 0, 0, 1), (2, 1, 1, 0, 0, 0, 1), (2, 0, 1, 0, 0, 0, 1)],
 )
