@@ -9,6 +9,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -160,18 +161,16 @@ def pack(docs: DataFrame, capacity: int = 1024, end_id: int = 2, shard_pieces: i
     shards = -(-part.count() // shard_pieces) or 1
     dealt = part.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(shards)))
 
-    def place(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True]).reset_index(drop=True)
+    def place(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
         lengths = rows["length"].to_numpy()
         bins = refit(sum_of_squares(lengths, capacity), lengths, capacity)
         where, offset = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
         for k, b in enumerate(bins):
             where[b] = k
             offset[b] = np.cumsum(lengths[b]) - lengths[b]
-        rows["sequence_id"] = (int(key[0]) << 32) + where
-        rows["offset"] = offset
-        rows["doc_id"] = rows["doc_id"].astype("Int64")
-        return rows[[x.split()[0] for x in PLACED.split(", ")]]
+        placed = rows.append_column("sequence_id", pa.array((key[0].as_py() << 32) + where)).append_column("offset", pa.array(offset))
+        return placed.select([x.split()[0] for x in PLACED.split(", ")])
 
-    placed = dealt.groupBy("shard").applyInPandas(place, PLACED)
+    placed = dealt.groupBy("shard").applyInArrow(place, PLACED)
     return full.select(placed.columns).unionAll(placed)
