@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Fixed values of the estimate.
@@ -28,39 +28,36 @@ def bandwidth(n: Column) -> Column:
     return F.when(n <= 1, F.lit(WIDEST)).otherwise(F.least(F.greatest(SCALE * F.pow(n.cast("double"), F.lit(-0.2)), F.lit(NARROWEST)), F.lit(WIDEST)))
 
 
-def _bins(map_col: str) -> Column:
-    """A map from bin to weight as an array of all bins."""
-    return F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda i: F.coalesce(F.try_element_at(F.col(map_col), i), F.lit(0.0)))
-
-
 def estimate(binned: DataFrame, keys: list[str], percentile: float) -> DataFrame:
     """Densities of ``binned(keys, bin, w, n)``: ``keys, n, bandwidth, density, threshold, peak_hour``.
 
     ``w`` is a bin's weight, ``n`` (equal within a key) the observations that set the bandwidth. The
     bins are folded with a von Mises kernel and normalised to integrate to one over the day. The
     threshold is the first density, over bins with weight in order of (density, weight), at which
-    the running weight reaches ``percentile`` of all. An aggregate of 96 rows a key, then array
-    expressions.
+    the running weight reaches ``percentile`` of all. Every bin with weight spreads to all bins as
+    rows, which are summed per bin, so the work stays in generated code.
     """
-    counts = binned.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("bin", F.col("w").cast("double")))).alias("m"), F.max("n").alias("n"))
-    each = counts.withColumn("c", _bins("m")).withColumn("bandwidth", bandwidth(F.col("n")))
-    all_bins = F.sequence(F.lit(0), F.lit(BINS - 1))
+    offsets = F.sequence(F.lit(0), F.lit(BINS - 1))
+    spread = binned.withColumn("bandwidth", bandwidth(F.col("n"))).select("*", F.explode(offsets).alias("o"))
     kappa = 1 / F.pow(2 * math.pi * F.col("bandwidth") / 24, F.lit(2.0))
-    each = each.withColumn("kappa", kappa).withColumn("k", F.transform(all_bins, lambda o: F.exp(F.col("kappa") * (F.cos(2 * math.pi * o / BINS) - 1))))
-    folded = F.transform(all_bins, lambda j: F.aggregate(all_bins, F.lit(0.0), lambda a, i: a + F.get("c", i) * F.get("k", (j - i + BINS) % BINS)))
-    each = each.withColumn("raw", folded).withColumn("total", F.aggregate("raw", F.lit(0.0), lambda a, x: a + x) * BIN_HOURS)
-    each = each.withColumn("density", F.transform("raw", lambda x: F.when(F.col("total") > 0, x / F.col("total")).otherwise(x)))
-    seen = F.filter(F.transform(all_bins, lambda i: F.struct(F.get("density", i).alias("d"), F.get("c", i).alias("w"))), lambda x: x["w"] > 0)
-    each = each.withColumn("seen", F.array_sort(seen)).withColumn("weight", F.aggregate("seen", F.lit(0.0), lambda a, x: a + x["w"]))
-    start = F.struct(F.lit(0.0).alias("cum"), F.lit(None).cast("double").alias("t"))
-
-    def step(a: Column, x: Column) -> Column:
-        cum = a["cum"] + x["w"]
-        return F.struct(cum.alias("cum"), F.coalesce(a["t"], F.when(cum >= percentile * F.col("weight"), x["d"])).alias("t"))
-
-    threshold = F.aggregate("seen", start, step, lambda a: F.coalesce(a["t"], F.lit(0.0)))
-    peak = (F.array_position("density", F.array_max("density")) - 1) * BIN_HOURS
-    return each.select(*keys, "n", "bandwidth", "density", threshold.alias("threshold"), peak.alias("peak_hour"))
+    kernel = F.exp(kappa * (F.cos(2 * math.pi * F.col("o") / BINS) - 1))
+    key = Window.partitionBy(*keys)
+    raw = spread.groupBy(*keys, ((F.col("bin") + F.col("o")) % BINS).alias("at")).agg(
+        F.sum(F.col("w") * kernel).alias("raw"), F.sum(F.when(F.col("o") == 0, F.col("w").cast("double"))).alias("w"),
+        F.max("n").alias("n"), F.max("bandwidth").alias("bandwidth"),
+    )
+    total = F.sum("raw").over(key) * BIN_HOURS
+    dense = raw.withColumn("d", F.when(total > 0, F.col("raw") / total).otherwise(F.col("raw")))
+    ranked = key.orderBy(F.col("w").isNull(), "d", "w", "at")
+    cum = dense.withColumn("cum", F.sum("w").over(ranked)).withColumn("weight", F.sum("w").over(key))
+    out = cum.groupBy(*keys).agg(
+        F.max("n").alias("n"),
+        F.max("bandwidth").alias("bandwidth"),
+        F.transform(F.sort_array(F.collect_list(F.struct("at", "d"))), lambda x: x["d"]).alias("density"),
+        F.coalesce(F.min(F.when((F.col("w") > 0) & (F.col("cum") >= percentile * F.col("weight")), F.col("d"))), F.lit(0.0)).alias("threshold"),
+        (F.max(F.struct("d", -F.col("at")))["col2"] * -BIN_HOURS).alias("peak_hour"),
+    )
+    return out.select(*keys, "n", "bandwidth", "density", "threshold", "peak_hour")
 
 
 def density_at(density: Column, bin_: Column) -> Column:

@@ -31,7 +31,7 @@ RULES = [
     Rule("dormant_reactivation", {"silence_days": 7, "return_count": 1}), Rule("rapid_movement", {"min_value": 1, "match_tolerance": 0.5}),
     Rule("declared_vs_actual_mismatch", {"ticket_ratio": 1.5, "hours_overlap": 1}), Rule("decline_ratio_spike", {"min_attempts": 5}),
     Rule("shared_identity_ring"), Rule("agent_alert_concentration", {"rate_multiple": 1.2}), Rule("card_across_related_merchants", {"max_branches": 1}),
-    Rule("card_swarm", {"min_merchants": 2, "window_minutes": 240}), Rule("impossible_geo_velocity"),
+    Rule("card_swarm", {"min_merchants": 2, "window_minutes": 240}), Rule("impossible_geo_velocity", {"max_kmh": 5, "min_km": 1}),
 ]
 AS_OF = fixture.AS_OF
 START, END = AS_OF - timedelta(days=37), AS_OF - timedelta(days=7)
@@ -229,12 +229,17 @@ query("a16_peer_unsettled", f", {PEER_UNSETTLED} SELECT mcc, {_FIT} FROM puns")(
 query("a17_day_unsettled_share", f"SELECT merchant_id, round(avg(CASE WHEN {_UNSETTLED} THEN 1.0 ELSE 0.0 END), 6) AS share FROM dy GROUP BY 1")(lambda p: bl.unsettled_share(p.day(), ["merchant_id"]))
 query("a18_trend", f", {TREND} SELECT merchant_id, {_r('trend_short', 'trend_long', 'trend_ratio')}, is_ramp FROM trend")(lambda p: bl.trend(p.ledger, p.as_of))
 _HOURS = f"n, {_r('threshold', 'peak_hour')}, round(list_sum(list_transform(density, lambda x: x * x)), 6) AS sharpness"
-_SHARP = F.aggregate("density", F.lit(0.0), lambda a, x: a + x * x).alias("sharpness")
+
+
+def _sharp():
+    return F.aggregate("density", F.lit(0.0), lambda a, x: a + x * x).alias("sharpness")
+
+
 query("a19_own_hours", f", {OWN_HOURS} SELECT merchant_id, CAST(n AS BIGINT) AS n, round(bandwidth, 6) AS bandwidth, {_HOURS.split(', ', 1)[1]} FROM oh")(
-    lambda p: bl.own_hours(p.ledger, p.span).select("merchant_id", "n", "bandwidth", "threshold", "peak_hour", _SHARP)
+    lambda p: bl.own_hours(p.ledger, p.span).select("merchant_id", "n", "bandwidth", "threshold", "peak_hour", _sharp())
 )
 query("a20_cohort_hours", f", {COHORT_HOURS} SELECT mcc, CAST(n AS BIGINT) AS n, {_HOURS.split(', ', 1)[1]} FROM ch")(
-    lambda p: bl.cohort_hours(p.ledger, p.merchants, p.span).select("mcc", "n", "threshold", "peak_hour", _SHARP)
+    lambda p: bl.cohort_hours(p.ledger, p.merchants, p.span).select("mcc", "n", "threshold", "peak_hour", _sharp())
 )
 query("a21_origin_mix", f", {ORIGINS} SELECT merchant_id, country, c, CAST(n AS BIGINT) AS n, kinds FROM om")(lambda p: bl.origin_mix(p.ledger, p.span))
 query("a22_daily_value", f"SELECT merchant_id, txn_date::VARCHAR AS txn_date, round(sum(total_amount), 4) AS gross FROM ledger WHERE {_SETTLED} AND occurred_at >= {_ts(AS_OF - timedelta(days=90))} AND occurred_at < {_ts(AS_OF)} GROUP BY 1, 2")(
@@ -262,3 +267,237 @@ query("w01_daily_peaks", f"SELECT merchant_id, txn_date::VARCHAR AS txn_date, ma
 query("w02_peak_rows", """, pk AS (SELECT *, epoch_us(occurred_at) AS t, count(*) OVER (PARTITION BY merchant_id ORDER BY epoch_us(occurred_at) RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) AS k FROM sales),
     pm AS (SELECT merchant_id, min(t) AS last FROM pk p WHERE k = (SELECT max(k) FROM pk q WHERE q.merchant_id = p.merchant_id) GROUP BY 1)
     SELECT merchant_id, source_txn_id FROM pk JOIN pm USING (merchant_id) WHERE t <= last AND t > last - 3600000000""")(lambda p: det.peak_rows(p.sales()).select("merchant_id", "source_txn_id"))
+
+# ---- detectors of family A -----------------------------------------------------------------
+
+
+def hits(detector: str, source: str, feature: str, value: str, base: str, deviation: str, score: str | None = None, evidence: str = "0", family: str = "A") -> str:
+    """SELECT of hits; ``feature`` is SQL."""
+    score = score or f"least(({deviation}) / 10.0, 1.0)"
+    return f"""SELECT merchant_id, '{family}' AS family, '{detector}' AS detector, round(CAST({score} AS DOUBLE), 6) AS sub_score, {feature} AS feature_name,
+    round(CAST({value} AS DOUBLE), 6) AS merchant_value, round(CAST({base} AS DOUBLE), 6) AS baseline_value, round(CAST({deviation} AS DOUBLE), 6) AS deviation,
+    CAST({evidence} AS BIGINT) AS evidence FROM {source}"""
+
+
+_Z = "0.6745 * ({v} - center) / dispersion"
+_DAY_COUNT = "nd AS (SELECT merchant_id, mcc, count(*) AS v FROM sales GROUP BY 1, 2)"
+_DAY_PEAK = """np AS (SELECT merchant_id, max(k) AS v FROM (SELECT merchant_id, count(*) OVER (PARTITION BY merchant_id ORDER BY epoch_us(occurred_at) RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) AS k FROM sales) GROUP BY 1)"""
+_DAY_UNSETTLED = f"nu AS (SELECT merchant_id, mcc, avg(CASE WHEN {_UNSETTLED} THEN 1.0 ELSE 0.0 END) AS v, count(*) FILTER ({_UNSETTLED}) AS e FROM dy GROUP BY 1, 2)"
+
+
+def above(detector: str, feature: str, day: str, base: str, key: str, evidence: str, center: bool = False) -> str:
+    both = f"(SELECT d.*, center, dispersion, {_Z.format(v='d.v')} AS z FROM {day} d JOIN {base} b USING ({key}) WHERE usable) WHERE z > 3.5" + (" AND v > center" if center else "")
+    return hits(detector, both, f"'{feature}'", "v", "center", "z", evidence=evidence)
+
+
+def odd(detector: str, feature: str, name: str, key: str) -> str:
+    return f"""ow AS (SELECT s.merchant_id, hour(occurred_at) + minute(occurred_at) / 60.0 + second(occurred_at) / 3600.0 AS hour, round(density[{_BIN} + 1], 6) AS dn, round(threshold, 6) AS thr, peak_hour
+      FROM sales s JOIN {name} h USING ({key}) WHERE h.n >= 20),
+    oa AS (SELECT merchant_id, count(*) AS day, count(*) FILTER (thr > 0 AND dn < thr) AS odd, any_value(peak_hour) AS peak, min((dn, hour, thr)) FILTER (thr > 0 AND dn < thr) AS w FROM ow GROUP BY 1)
+    """ + hits(detector, "oa WHERE odd > 0", f"'{feature}'", "w[2]", "peak", "w[1]", "least(0.55 * least(ln(1 + odd) / ln(101.0), 1.0) + 0.30 * odd / greatest(day, odd) + 0.15 * greatest(0, least(1, 1 - w[1] / w[3])), 1)", "odd")
+
+
+def tickets(detector: str, feature: str, base: str, key: str) -> str:
+    rail = ", card_type" if "card_type" in key else ""
+    name = f"'{feature}_' || card_type" if rail else f"'{feature}'"
+    src = f"""(SELECT merchant_id{rail}, max((z, total_amount)) AS w, any_value(center) AS center, count(*) AS e FROM
+      (SELECT s.merchant_id{", s.card_type" if rail else ""}, total_amount, center, {_Z.format(v="total_amount")} AS z FROM sales s JOIN {base} b USING ({key}) WHERE usable) WHERE z > 3.5 AND total_amount >= 0 GROUP BY merchant_id{rail})"""
+    return hits(detector, src, name, "w[2]", "center", "w[1]", evidence="e")
+
+
+_ORIGIN_HITS = """td AS (SELECT merchant_id, card_issuing_country AS country, count(*) AS today, sum(count(*)) OVER (PARTITION BY merchant_id) AS all_today FROM sales WHERE card_issuing_country NOT IN ('', 'HK') GROUP BY 1, 2),
+    tb AS (SELECT td.merchant_id, td.country, today, all_today, coalesce(c, 0) AS c, u.n, -log2((coalesce(c, 0) + 0.5) / (u.n + 0.5 * (u.kinds + 1))) AS bits
+      FROM td JOIN (SELECT DISTINCT merchant_id, n, kinds FROM om WHERE n >= {low}) u USING (merchant_id) LEFT JOIN om ON om.merchant_id = td.merchant_id AND om.country = td.country),
+    tw AS (SELECT merchant_id, min((-bits, country, today, c, n, all_today)) AS w, sum(today) AS e FROM tb WHERE bits > 3 GROUP BY 1)
+    """
+_SHARE_ABROAD = f"nf AS (SELECT merchant_id, avg(CASE WHEN card_issuing_country <> 'HK' THEN 1.0 ELSE 0.0 END) AS v FROM dy WHERE {_SETTLED} AND card_issuing_country <> '' GROUP BY 1), na AS (SELECT merchant_id, count(*) AS e FROM sales WHERE card_issuing_country NOT IN ('', 'HK') GROUP BY 1), ng AS (SELECT nf.merchant_id, merchant_subdistrict, v, coalesce(e, 0) AS e FROM nf JOIN merchants USING (merchant_id) LEFT JOIN na USING (merchant_id))"
+_LEVEL = f"ml AS (SELECT o.merchant_id, o.center AS own, p.center, {_Z.format(v='o.center').replace('center) / dispersion', 'p.center) / p.dispersion')} AS z FROM own o JOIN merchants USING (merchant_id) JOIN peer p USING (mcc) WHERE o.usable AND o.center <> 0 AND p.usable AND o.merchant_id IN (SELECT merchant_id FROM sales))"
+DETECTOR_SQL = {
+    "d01_count_vs_own": f"{COUNT}, {_DAY_COUNT} {above('count_vs_own_baseline', 'daily_count', 'nd', 'cnt', 'merchant_id', 'v')}",
+    "d02_count_vs_peers": f"{PEER_COUNT}, {_DAY_COUNT} {above('count_vs_mcc_peers', 'daily_count_vs_peers', 'nd', 'peer_cnt', 'mcc', 'v')}",
+    "d03_burst_rate": f"{VELOCITY}, {_DAY_PEAK} {above('burst_rate_vs_own_baseline', 'peak_hourly_rate', 'np', 'vel', 'merchant_id', 'v')}",
+    "d04_hour_vs_own": f"{OWN_HOURS}, {odd('hour_vs_own_pattern', 'transaction_hour', 'oh', 'merchant_id')}",
+    "d05_card_origin": f"{ORIGINS}, {_ORIGIN_HITS.format(low=20)} {hits('card_origin_vs_own_mix', 'tw', chr(39) + 'card_origin_' + chr(39) + ' || w[2]', 'w[3] / w[6]', 'w[4] / w[5]', '-w[1]', evidence='e')}",
+    "d06_hour_vs_peers": f"{COHORT_HOURS}, {odd('hour_vs_mcc_peers', 'hour_vs_trade_hours', 'ch', 'mcc')}",
+    "d07_ticket_vs_subdistrict": f"{cohort('merchant_subdistrict')} {tickets('ticket_vs_subdistrict_peers', 'amount_vs_subdistrict', 'ct', 'merchant_subdistrict')}",
+    "d08_unsettled_vs_own": f"{UNSETTLED}, {_DAY_UNSETTLED} {above('unsettled_ratio_vs_own_baseline', 'unsettled_share', 'nu', 'uns', 'merchant_id', 'e', True)}",
+    "d09_unsettled_vs_peers": f"{PEER_UNSETTLED}, {_DAY_UNSETTLED} {above('unsettled_ratio_vs_mcc_peers', 'unsettled_share_vs_peers', 'nu', 'puns', 'mcc', 'e', True)}",
+    "d10_foreign_vs_subdistrict": f"{FOREIGN}, {_SHARE_ABROAD} {above('foreign_card_ratio_vs_subdistrict', 'foreign_card_share', 'ng', 'frn', 'merchant_subdistrict', 'e')}",
+    "d11_amount_on_rail": f"{RAIL} {tickets('amount_vs_payment_method_baseline', 'amount_on', 'rail', 'merchant_id, card_type')}",
+    "d12_ticket_vs_peers": f"{cohort('mcc')} {tickets('ticket_vs_mcc_peers', 'amount_vs_mcc', 'ct', 'mcc')}",
+    "d13_level_vs_peers": f"{OWN}, {PEER}, {_LEVEL} {hits('merchant_level_vs_mcc_peers', 'ml WHERE z > 3.5', chr(39) + 'typical_ticket_vs_mcc_peers' + chr(39), 'own', 'center', 'z')}",
+    "d14_level_shift": f"{OWN}, {TREND} {hits('level_shift_ramp', 'trend JOIN own USING (merchant_id) WHERE is_ramp', chr(39) + 'level_shift_7d_vs_90d' + chr(39), 'center', 'center / round(trend_ratio, 3)', 'round(trend_ratio, 3)')}",
+    "d15_amount_vs_own": f"{OWN} {tickets('amount_vs_own_baseline', 'total_amount', 'own', 'merchant_id')}",
+}
+for _name, _detector in zip(DETECTOR_SQL, det.DETECTORS):
+    query(_name, f", {DETECTOR_SQL[_name]}")(_detector)
+query("d00_all_family_a", f"SELECT family, detector, count(*) AS n, round(sum(sub_score), 4) AS score FROM ({' UNION ALL '.join(f'({SQL[n]})' for n in DETECTOR_SQL)}) GROUP BY 1, 2")(
+    lambda p: det.detect(p).withColumn("sub_score", F.round("sub_score", 6)).groupBy("family", "detector").agg(F.count("*").alias("n"), F.round(F.sum("sub_score"), 4).alias("score"))
+)
+
+# ---- family B ------------------------------------------------------------------------------
+
+_BY_NAME = {r.name: r for r in RULES}
+FEATURES = f"""{OWN}, {PEER}, {COHORT_HOURS},
+la AS (SELECT merchant_id, CAST(max(occurred_at) AS DATE) AS last_active FROM ledger WHERE occurred_at < {_ts(DAY)} GROUP BY 1),
+fr AS (SELECT d.*, upper(coalesce(transaction_status, '')) AS st, round(density[{_BIN} + 1], 6) >= round(threshold, 6) AS inside_, density IS NOT NULL AS has FROM dy d LEFT JOIN ch USING (mcc)),
+fd AS (SELECT merchant_id, mcc, count(*) AS rows_, count(*) FILTER (NOT is_refund AND st NOT IN ('DECLINED', 'CANCELLED', 'VOIDED')) AS settled, count(*) FILTER (is_refund) AS refunds,
+  coalesce(sum(total_amount) FILTER (NOT is_refund AND st NOT IN ('DECLINED', 'CANCELLED', 'VOIDED')), 0) AS gross, coalesce(sum(total_amount) FILTER (is_refund), 0) AS refunded,
+  count(*) FILTER (NOT is_refund AND st <> '') AS attempts, count(*) FILTER (NOT is_refund AND st = 'DECLINED') AS declined, count(*) FILTER (inside_) AS inside, bool_or(has) AS has_hours FROM fr GROUP BY 1, 2),
+f AS (SELECT fd.*, o.center AS own_center, p.center AS cohort_center, last_active FROM fd LEFT JOIN own o USING (merchant_id) LEFT JOIN peer p ON p.mcc = fd.mcc LEFT JOIN la USING (merchant_id))"""
+_DAILY_VALUE = f"dv AS (SELECT merchant_id, txn_date, sum(total_amount) AS g, row_number() OVER (PARTITION BY merchant_id ORDER BY txn_date DESC) AS k, count(*) OVER (PARTITION BY merchant_id) AS days FROM ledger WHERE {_SETTLED} AND occurred_at >= {_ts(AS_OF - timedelta(days=90))} AND occurred_at < {_ts(AS_OF)} GROUP BY 1, 2), lv AS (SELECT merchant_id, median(g) FILTER (k <= 3) AS now_, median(g) FILTER (k > 3) AS before_ FROM dv WHERE days >= 6 GROUP BY 1)"
+RULE_SQL = {
+    "b01_structuring": hits("structuring_below_threshold", "(SELECT f.merchant_id, near FROM f JOIN (SELECT merchant_id, count(*) AS near FROM sales WHERE upper(coalesce(transaction_status, '')) NOT IN ('DECLINED', 'CANCELLED', 'VOIDED') AND total_amount >= 500 AND total_amount < 1000 GROUP BY 1) USING (merchant_id) WHERE own_center < 500 AND near >= 3)", "'count_below_threshold'", "near", "3.0", "near - 3.0", "least(0.55 + 0.05 * (near - 3), 1)", "near", "B"),
+    "b02_refund_ratio": hits("refund_ratio_spike", "(SELECT *, refunded / gross AS v FROM f WHERE refunds >= 1 AND gross > 0) WHERE v >= 0.3", "'refund_ratio'", "v", "0.3", "v - 0.3", "least(v, 1)", "refunds", "B"),
+    "b03_bust_out": hits("bust_out", "(SELECT f.*, now_, before_, now_ / before_ AS v FROM f JOIN lv USING (merchant_id) WHERE before_ > 0) WHERE v >= 1.5", "'recent_vs_earlier_daily_value'", "now_", "before_", "v", None, "refunds", "B"),
+    "b04_dormant": hits("dormant_reactivation", f"(SELECT *, date_diff('day', last_active, DATE '{DAY:%Y-%m-%d}') AS gap FROM f) WHERE gap >= 7 AND settled >= 1", "'days_silent'", "gap", "7.0", "gap - 7.0", "least(0.5 + gap / 365.0, 1)", "settled", "B"),
+    "b05_rapid_movement": hits("rapid_movement", "(SELECT *, abs(gross - refunded) / gross AS v FROM f WHERE gross >= 1 AND refunded > 0) WHERE v <= 0.5", "'same_day_in_out_mismatch'", "v", "0.5", "0.5 - v", "least(0.6 + (0.5 - v), 1)", "settled + refunds", "B"),
+    "b06_declared_mismatch": hits("declared_vs_actual_mismatch", "(SELECT *, own_center / cohort_center AS v, inside / rows_ AS ov FROM f WHERE own_center <> 0 AND cohort_center > 0 AND has_hours) WHERE v >= 1.5 AND ov < 1", "'declared_category_divergence'", "v", "1.5", "v - 1.5", "least(v / 20 + (1 - ov) / 2, 1)", "rows_ - inside", "B"),
+    "b07_decline_ratio": hits("decline_ratio_spike", "(SELECT *, declined / attempts AS v FROM f WHERE attempts >= 5) WHERE v >= 0.25", "'decline_ratio'", "v", "0.25", "v - 0.25", "least(v, 1)", "declined", "B"),
+}
+for _name, (_template, _rule) in zip(RULE_SQL, ty.EVALUATORS.items()):
+    query(_name, f", {FEATURES}, {_DAILY_VALUE} {RULE_SQL[_name]}")(lambda p, t=_template, e=_rule: e(p, ty.day_features(p), _BY_NAME[t]))
+query("b08_all_family_b", f"SELECT detector, count(*) AS n, round(sum(sub_score), 4) AS score FROM ({' UNION ALL '.join(f'({SQL[n]})' for n in RULE_SQL)}) GROUP BY 1")(
+    lambda p: ty.evaluate(p, RULES).withColumn("sub_score", F.round("sub_score", 6)).groupBy("detector").agg(F.count("*").alias("n"), F.round(F.sum("sub_score"), 4).alias("score"))
+)
+query("b09_day_features", f", {FEATURES} SELECT merchant_id, rows_ AS rows, settled, refunds, {_r('gross', 'refunded')}, attempts, declined, inside, {_r('own_center', 'cohort_center')}, last_active::VARCHAR AS last_active FROM f")(
+    lambda p: ty.day_features(p).select("merchant_id", "rows", "settled", "refunds", "gross", "refunded", "attempts", "declined", "inside", "own_center", "cohort_center", "last_active")
+)
+
+# ---- family C ------------------------------------------------------------------------------
+
+#: The merchants that the fixture's queries of family C take as flagged: every third.
+_FLAGGED = "fl AS (SELECT merchant_id FROM merchants WHERE CAST(substr(merchant_id, 2, 6) AS INT) % 3 = 0)"
+IDS = "ids AS (SELECT * FROM (SELECT merchant_id, unnest(['hashed_br_number', 'hashed_merchant_address', 'hashed_merchant_name']) AS attribute, unnest([hashed_br_number, hashed_merchant_address, hashed_merchant_name]) AS value FROM merchants) WHERE trim(value) <> ''), rel AS (SELECT a.merchant_id, list_sort(list(DISTINCT b.merchant_id)) AS related FROM ids a JOIN ids b USING (attribute, value) WHERE a.merchant_id <> b.merchant_id GROUP BY 1)"
+CARDS = "cr AS (SELECT hashed_pan, 'card ' || row_number() OVER (ORDER BY hashed_pan) AS card_ref FROM (SELECT DISTINCT hashed_pan FROM sales WHERE trim(hashed_pan) <> '')), ce AS (SELECT hashed_pan, card_ref, merchant_id, source_txn_id, occurred_at, txn_date, epoch_us(occurred_at) AS t FROM sales JOIN cr USING (hashed_pan) WHERE card_type IS NULL OR upper(trim(card_type)) <> 'ALIPAYHK')"
+
+
+def _flag(p: Portfolio) -> DataFrame:
+    return p.merchants.where(F.substring("merchant_id", 2, 6).cast("int") % 3 == 0).select("merchant_id")
+
+
+query("j08_related_merchants", f", {IDS} SELECT merchant_id, array_to_string(related, ',') AS related FROM rel")(lambda p: rings.related(p.merchants).select("merchant_id", F.concat_ws(",", "related").alias("related")))
+query("w08_card_references", f", {CARDS} SELECT card_ref, source_txn_id FROM ce")(lambda p: rings.card_events(p).select("card_ref", "source_txn_id"))
+query("c01_shared_identity", f", {_FLAGGED}, {IDS} " + hits("shared_identity_ring", "(SELECT i.*, n, k FROM ids i JOIN (SELECT attribute, value, count(*) AS n, count(fl.merchant_id) AS k FROM ids LEFT JOIN fl USING (merchant_id) GROUP BY 1, 2) USING (attribute, value) WHERE n >= 3 AND k >= 1)", "'shared_' || attribute", "n", "3.0", "n - 3.0", "least(0.4 + 0.1 * n + 0.1 * k, 1)", "k", "C"))(
+    lambda p: rings.shared_identity(p, _flag(p), _BY_NAME["shared_identity_ring"])
+)
+query("c02_agent_concentration", f", {_FLAGGED} " + hits("agent_alert_concentration", "(SELECT m.merchant_id, v, pr, k FROM merchants m JOIN fl USING (merchant_id) JOIN (SELECT agent_id, count(*) AS n, count(fl.merchant_id) AS k, count(fl.merchant_id) / count(*) AS v FROM merchants LEFT JOIN fl USING (merchant_id) GROUP BY 1) USING (agent_id), (SELECT (SELECT count(*) FROM fl) / (SELECT count(*) FROM merchants) AS pr) WHERE n >= 5 AND v >= pr * 1.0)", "'agent_book_alert_rate'", "v", "pr", "v / pr", "least(v, 1)", "k", "C"))(
+    lambda p: rings.agent_concentration(p, _flag(p), Rule("agent_alert_concentration", {"rate_multiple": 1.0}))
+)
+query("c03_card_across_related", f", {IDS}, {CARDS}, cg AS (SELECT ce.*, array_to_string(list_sort(list_append(related, merchant_id)), ',') AS grp FROM ce JOIN rel USING (merchant_id)), cn AS (SELECT hashed_pan, txn_date, grp, merchant_id, count(*) AS c FROM cg GROUP BY 1, 2, 3, 4), cx AS (SELECT hashed_pan, txn_date, grp, count(*) AS n, sum(c) AS e, min((-c, merchant_id)) AS w FROM cn GROUP BY 1, 2, 3 HAVING count(*) > 1) " + hits("card_across_related_merchants", "(SELECT *, w[2] AS merchant_id FROM cx)", "'related_merchants_per_card_per_day'", "n", "1.0", "n - 1.0", "least(0.5 + 0.1 * (n - 1), 1)", "e", "C"))(
+    lambda p: rings.branch_structuring(p, _flag(p), _BY_NAME["card_across_related_merchants"])
+)
+query("c04_card_swarm", f", {IDS}, {CARDS}, wn AS (SELECT e.hashed_pan, e.t, e.source_txn_id AS id, x.merchant_id, x.source_txn_id AS xid FROM ce e JOIN ce x ON x.hashed_pan = e.hashed_pan AND x.t >= e.t - 14400000000 AND (x.t < e.t OR (x.t = e.t AND x.source_txn_id <= e.source_txn_id))), wm AS (SELECT hashed_pan, t, id, merchant_id, count(*) AS c FROM wn GROUP BY 1, 2, 3, 4), wt AS (SELECT hashed_pan, t, id, list(merchant_id) AS touched, count(*) AS n, sum(c) AS e, min((-c, merchant_id)) AS w FROM wm GROUP BY 1, 2, 3), wa AS (SELECT wt.hashed_pan, wt.t, wt.id, count(*) FILTER (NOT list_has_any(coalesce(related, []), touched)) AS apart FROM wt JOIN wm USING (hashed_pan, t, id) LEFT JOIN rel ON rel.merchant_id = wm.merchant_id GROUP BY 1, 2, 3), wf AS (SELECT *, row_number() OVER (PARTITION BY hashed_pan ORDER BY t, id) AS k FROM wt JOIN wa USING (hashed_pan, t, id) WHERE n >= 2 AND apart >= 2) " + hits("card_swarm", "(SELECT *, w[2] AS merchant_id FROM wf WHERE k = 1)", "'unrelated_merchants_per_card_window'", "n", "2.0", "n - 2.0", "least(0.4 + 0.1 * apart, 1)", "e", "C"))(
+    lambda p: rings.card_swarm(p, _flag(p), _BY_NAME["card_swarm"])
+)
+_KM = "2 * 6371.0088 * asin(least(1.0, sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))))"
+LEGS = f"""{CARDS}, loc AS (SELECT merchant_id, coalesce(s.lat, d.lat) AS lat, coalesce(s.lon, d.lon) AS lon FROM merchants
+  LEFT JOIN places s ON s.kind = 'subdistrict' AND lower(s.place) = lower(trim(regexp_replace(merchant_subdistrict, '\\s+', ' ', 'g')))
+  LEFT JOIN places d ON d.kind = 'district' AND lower(d.place) = lower(trim(merchant_district))),
+lg AS (SELECT *, lag(merchant_id) OVER w AS fm, lag(t) OVER w AS ft FROM ce WINDOW w AS (PARTITION BY hashed_pan ORDER BY t, source_txn_id)),
+lk AS (SELECT lg.*, (t - ft) / 60000000.0 AS minutes, {_KM} AS km FROM lg JOIN loc a ON a.merchant_id = fm JOIN loc b ON b.merchant_id = lg.merchant_id WHERE fm <> lg.merchant_id AND t > ft AND t - ft <= 240 * 60000000::BIGINT),
+legs AS (SELECT *, km / (minutes / 60) AS kmh FROM lk WHERE km >= 1 AND km / (minutes / 60) > 5)"""
+query("c05_geo_velocity", f", {LEGS}, lw AS (SELECT hashed_pan, min((-kmh, source_txn_id, merchant_id)) AS w, count(*) AS e FROM legs GROUP BY 1) " + hits("impossible_geo_velocity", "(SELECT w[3] AS merchant_id, -w[1] AS kmh, e FROM lw)", "'implied_speed_kmh'", "kmh", "5.0", "kmh / 5", "least(kmh / 20, 1)", "e", "C"))(
+    lambda p: rings.geo_velocity(p, _flag(p), _BY_NAME["impossible_geo_velocity"], fixture.places(p.ledger.sparkSession))
+)
+query("j10_geo_legs", f", {LEGS} SELECT card_ref, fm AS from_merchant_id, merchant_id, {_r('minutes', 'km', 'kmh')} FROM legs")(
+    lambda p: rings.legs(p, fixture.places(p.ledger.sparkSession), _BY_NAME["impossible_geo_velocity"]).select("card_ref", "from_merchant_id", "merchant_id", "minutes", "km", "kmh")
+)
+query("j11_places", f", {LEGS} SELECT merchant_id, lat, lon FROM loc")(lambda p: geo.locate(p.merchants, fixture.places(p.ledger.sparkSession)))
+
+# ---- ranking, queue, runs ------------------------------------------------------------------
+
+_EVERY_HIT = " UNION ALL ".join(f"({SQL[n]})" for n in (*DETECTOR_SQL, *RULE_SQL))
+_TYPE = "CASE " + " ".join(f"WHEN detector IN ({', '.join(repr(d) for d in ds)}) THEN '{t}'" for t, ds in alerts.ALERT_TYPES.items()) + " ELSE 'single_txn_spike' END"
+
+
+def _first_families(p: Portfolio) -> DataFrame:
+    return det.detect(p).unionByName(ty.evaluate(p, RULES))
+
+
+query("w05_alert_rank", f", {OWN}, eh AS ({_EVERY_HIT}) SELECT eh.* EXCLUDE (evidence), CASE WHEN usable THEN 'A' ELSE 'B' END AS lane, {_TYPE} AS alert_type, row_number() OVER (ORDER BY sub_score DESC, merchant_id, detector, feature_name, merchant_value) AS rank FROM eh LEFT JOIN own USING (merchant_id)")(
+    lambda p: alerts.rank(tidy(_first_families(p)), det.lanes(p)).drop("evidence", "blended_score")
+)
+QUERIES["m04_ranked_alerts"] = lambda spark, sf_dir: tidy(nightly.score(portfolio(spark, sf_dir), fixture.places(spark), RULES))
+
+#: An alert store derived from the ledger: three runs of two days, alerts with types, decisions on some.
+STORE = """runs AS (SELECT * FROM (VALUES (1, DATE '2024-01-30', TIMESTAMP '2024-01-31 01:00:00'), (2, DATE '2024-01-30', NULL), (3, DATE '2024-01-31', NULL)) t(run_id, as_of, superseded_at)),
+alert AS (SELECT CAST(substr(source_txn_id, 2) AS BIGINT) AS alert_id, merchant_id, CASE WHEN CAST(substr(source_txn_id, 2) AS BIGINT) % 4 > 0 THEN CAST(substr(source_txn_id, 2) AS BIGINT) % 4 END AS run_id,
+  CASE CAST(substr(source_txn_id, 2) AS BIGINT) % 5 WHEN 0 THEN 'temporal_anomaly' WHEN 1 THEN 'ring_signal' WHEN 2 THEN 'typology_match' WHEN 3 THEN 'single_txn_spike' END AS alert_type,
+  total_amount AS score, row_number() OVER (ORDER BY total_amount DESC, source_txn_id) AS rank, occurred_at AS created_at FROM ledger WHERE transaction_status = 'DECLINED'),
+disposition AS (SELECT alert_id + 1000000 AS disposition_id, alert_id, CASE WHEN alert_id % 3 = 0 THEN 'TRUE_POSITIVE' ELSE 'FALSE_POSITIVE' END AS verdict, created_at AS decided_at FROM alert WHERE alert_id % 7 = 0),
+case_event AS (SELECT disposition_id * 10 + i AS event_id, disposition_id, CASE WHEN i = 0 THEN 'MERCHANT_CONTACTED' WHEN disposition_id % 2 = 0 THEN 'CLEARED' ELSE 'DOCUMENTS_REQUESTED' END AS event_type, decided_at + i * INTERVAL 1 DAY AS occurred_at
+  FROM disposition, (VALUES (0), (1)) e(i) WHERE verdict = 'TRUE_POSITIVE' AND disposition_id % 5 <> i)"""
+_OPEN = "oq AS (SELECT * FROM alert a WHERE alert_id NOT IN (SELECT alert_id FROM disposition) AND (run_id IS NULL OR run_id IN (SELECT run_id FROM runs WHERE superseded_at IS NULL)))"
+
+
+def store(p: Portfolio) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(runs, alerts, dispositions, case events), as STORE defines them."""
+    spark = p.ledger.sparkSession
+    runs = spark.sql("SELECT * FROM VALUES (1L, DATE '2024-01-30', TIMESTAMP_NTZ '2024-01-31 01:00:00'), (2L, DATE '2024-01-30', NULL), (3L, DATE '2024-01-31', NULL) AS t(run_id, as_of, superseded_at)")
+    i = F.substring("source_txn_id", 2, 9).cast("long")
+    kind = F.when(i % 5 == 0, "temporal_anomaly").when(i % 5 == 1, "ring_signal").when(i % 5 == 2, "typology_match").when(i % 5 == 3, "single_txn_spike")
+    declined = p.ledger.where("transaction_status = 'DECLINED'")
+    from pyspark.sql import Window
+
+    rank = F.row_number().over(Window.orderBy(F.desc("total_amount"), "source_txn_id")).cast("long")
+    alert = declined.select(i.alias("alert_id"), "merchant_id", F.when(i % 4 > 0, i % 4).alias("run_id"), kind.alias("alert_type"), F.col("total_amount").alias("score"), rank.alias("rank"), F.col("occurred_at").alias("created_at"))
+    verdict = F.when(F.col("alert_id") % 3 == 0, "TRUE_POSITIVE").otherwise("FALSE_POSITIVE")
+    disposition = alert.where("alert_id % 7 = 0").select((F.col("alert_id") + 1_000_000).alias("disposition_id"), "alert_id", verdict.alias("verdict"), F.col("created_at").alias("decided_at"))
+    d = F.col("disposition_id")
+    events = disposition.where("verdict = 'TRUE_POSITIVE'").select("disposition_id", "decided_at", F.explode(F.array(F.lit(0), F.lit(1))).alias("i")).where(d % 5 != F.col("i"))
+    stage = F.when(F.col("i") == 0, "MERCHANT_CONTACTED").when(d % 2 == 0, "CLEARED").otherwise("DOCUMENTS_REQUESTED")
+    case_event = events.select((d * 10 + F.col("i")).alias("event_id"), "disposition_id", stage.alias("event_type"), (F.col("decided_at") + F.make_dt_interval(F.col("i"))).alias("occurred_at"))
+    return runs, alert, disposition, case_event
+
+
+def _queue(p: Portfolio) -> DataFrame:
+    runs, alert, disposition, _ = store(p)
+    return alerts.open_queue(alert, disposition, runs)
+
+
+def _cleared(p: Portfolio, part: int) -> DataFrame:
+    runs, alert, disposition, _ = store(p)
+    return alerts.clear_superseded(alert, runs, disposition, "2024-01-30")[part]
+
+
+query("p14_undecided", f", {STORE} SELECT alert_id, merchant_id FROM alert WHERE alert_id NOT IN (SELECT alert_id FROM disposition)")(lambda p: alerts.undecided(store(p)[1], store(p)[2]).select("alert_id", "merchant_id"))
+query("p15_current_runs", f", {STORE} SELECT alert_id, run_id FROM alert WHERE run_id IS NULL OR run_id IN (SELECT run_id FROM runs WHERE superseded_at IS NULL)")(lambda p: alerts.current(store(p)[1], store(p)[0]).select("alert_id", "run_id"))
+query("k02_queue_page", f", {STORE}, {_OPEN} SELECT alert_id, rank, greatest(1, CAST(ceil((SELECT count(*) FROM oq) / 20.0) AS BIGINT)) AS pages FROM oq ORDER BY rank LIMIT 20 OFFSET 20")(lambda p: alerts.queue_page(_queue(p), 2, 20).select("alert_id", "rank", "pages"))
+query("a25_queue_counts", f", {STORE}, {_OPEN} SELECT alert_type, count(*) AS n FROM oq WHERE alert_type IS NOT NULL GROUP BY 1 UNION ALL SELECT 'total', count(*) FROM oq")(lambda p: alerts.queue_counts(_queue(p)))
+query("m03_supersede", f", {STORE} SELECT run_id, as_of::VARCHAR AS as_of, strftime(CASE WHEN as_of = DATE '2024-01-30' AND run_id <> 9 AND superseded_at IS NULL THEN TIMESTAMP '2024-02-01 00:00:00' ELSE superseded_at END, '%Y-%m-%d %H:%M:%S') AS superseded_at FROM runs")(
+    lambda p: alerts.supersede(store(p)[0], 9, "2024-01-30", datetime(2024, 2, 1))
+)
+query("m05_cleared_alerts", f", {STORE} SELECT alert_id FROM alert a WHERE NOT (coalesce(run_id, 0) = 1 AND alert_id NOT IN (SELECT alert_id FROM disposition))")(lambda p: _cleared(p, 0).select("alert_id"))
+query("m05_cleared_runs", f", {STORE} SELECT run_id FROM runs WHERE NOT (run_id = 1 AND NOT EXISTS (SELECT 1 FROM alert JOIN disposition USING (alert_id) WHERE run_id = 1))")(lambda p: _cleared(p, 1).select("run_id"))
+query("u02_flagged", f", {STORE}, {_DAY_COUNT} SELECT merchant_id FROM alert WHERE alert_id NOT IN (SELECT alert_id FROM disposition) UNION SELECT merchant_id FROM nd WHERE v > 2")(
+    lambda p: alerts.flagged(store(p)[1], store(p)[2], p.sales().groupBy("merchant_id").agg(F.count("*").alias("v")).where("v > 2"))
+)
+query("j02_confirmed_days", f", {STORE} SELECT DISTINCT merchant_id, CAST(created_at AS DATE)::VARCHAR AS txn_date FROM alert JOIN disposition USING (alert_id) WHERE verdict = 'TRUE_POSITIVE'")(lambda p: alerts.confirmed_days(store(p)[1], store(p)[2]))
+query("m07_cases", f""", {STORE}, ev AS (SELECT *, row_number() OVER (PARTITION BY disposition_id ORDER BY occurred_at DESC, event_id DESC) AS k FROM case_event),
+  cs AS (SELECT d.disposition_id, d.alert_id, a.merchant_id, coalesce(event_type, 'OPENED') AS stage, coalesce(e.occurred_at, d.decided_at) AS updated_at FROM disposition d LEFT JOIN (SELECT * FROM ev WHERE k = 1) e USING (disposition_id) LEFT JOIN alert a ON a.alert_id = d.alert_id WHERE verdict = 'TRUE_POSITIVE')
+  SELECT disposition_id, alert_id, merchant_id, stage, strftime(updated_at, '%Y-%m-%d') AS updated_at, (epoch_us(TIMESTAMP '2024-02-15') - epoch_us(updated_at)) // 86400000000 AS days,
+    (epoch_us(TIMESTAMP '2024-02-15') - epoch_us(updated_at)) // 86400000000 >= 7 AND stage NOT IN ('CLEARED', 'CONFIRMED_ILLICIT', 'OFFBOARDED') AS stale FROM cs""")(
+    lambda p: alerts.cases(store(p)[2], store(p)[3], store(p)[1], datetime(2024, 2, 15)).withColumn("updated_at", F.date_format("updated_at", "yyyy-MM-dd"))
+)
+query("m06_record_disposition", f", {STORE} SELECT alert_id, verdict FROM disposition UNION ALL SELECT alert_id, 'FALSE_POSITIVE' FROM alert WHERE alert_id % 2 = 0 AND alert_id NOT IN (SELECT alert_id FROM disposition)")(
+    lambda p: alerts.record_disposition(store(p)[2].select("alert_id", "verdict"), store(p)[1].where("alert_id % 2 = 0").select("alert_id", F.lit("FALSE_POSITIVE").alias("verdict")))
+)
+query("w06_card_trail", "SELECT source_txn_id, merchant_id, round((epoch_us(occurred_at) - lag(epoch_us(occurred_at)) OVER (ORDER BY occurred_at, source_txn_id)) / 60000000.0, 1) AS gap_minutes FROM ledger WHERE hashed_pan = 'P7'")(
+    lambda p: alerts.card_trail(p.ledger, "P7").select("source_txn_id", "merchant_id", "gap_minutes")
+)
+query("s08_top_merchants", "SELECT merchant_id, count(*) AS n FROM ledger GROUP BY 1 ORDER BY n DESC, merchant_id LIMIT 20")(lambda p: ingest.dry_run(p.ledger)[1])
+query("s02_idempotent_ingest", ", b AS (SELECT *, row_number() OVER (PARTITION BY merchant_id, txn_date ORDER BY source_txn_id) AS k FROM ledger) SELECT merchant_id || txn_date AS source_txn_id, source_txn_id AS arrived FROM b WHERE k = 1 AND txn_date >= DATE '2024-01-16'")(
+    lambda p: ingest.new_rows(
+        pr.dated(p.ledger).select(F.concat("merchant_id", F.col("txn_date").cast("string")).alias("source_txn_id"), F.col("source_txn_id").alias("arrived")),
+        pr.dated(p.ledger).where("txn_date < date'2024-01-16'").select(F.concat("merchant_id", F.col("txn_date").cast("string")).alias("source_txn_id")), "arrived",
+    )
+)
+query("s03_merchant_upsert", ", lr AS (SELECT merchant_id, max_by(nullif(trim(card_type), ''), source_txn_id) FILTER (trim(card_type) <> '') AS city FROM ledger GROUP BY 1) SELECT merchant_id, mcc, mcc_description, coalesce(city, NULL) AS city FROM merchants LEFT JOIN lr USING (merchant_id)")(
+    lambda p: ingest.upsert_merchants(p.merchants, p.ledger.select("merchant_id", F.col("card_type").alias("city"), F.lit(None).cast("string").alias("mcc"), F.col("source_txn_id").alias("seq")), "seq").select("merchant_id", "mcc", "mcc_description", "city")
+)
+query("p16_refund_rows", "SELECT source_txn_id, upper(coalesce(transaction_status, '')) IN ('REFUNDED', 'REFUND', 'REVERSED', 'CHARGEBACK') OR total_amount < 0 AS is_refund, nullif(trim(card_type), '') AS card_type, strftime(occurred_at, '%Y-%m-%d %H:%M:%S') AS occurred_at FROM ledger")(
+    lambda p: ingest.to_ledger(p.ledger.select(F.col("source_txn_id").alias("payment_id"), "merchant_id", F.col("total_amount").cast("string").alias("total_amount"), F.date_format("occurred_at", "yyyy-MM-dd'T'HH:mm:ss'+09:00'").alias("hkt_transaction_time"), "transaction_status", "card_type")).select(
+        "source_txn_id", "is_refund", "card_type", F.date_format("occurred_at", "yyyy-MM-dd HH:mm:ss").alias("occurred_at")
+    )
+)

@@ -30,8 +30,19 @@ def _pick(index, values):
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per event; merchants of lane B have no rows before 20 January."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").where(~((F.col("user_id") % 10 == 9) & (F.col("ts") < F.lit("2024-01-20").cast("timestamp_ntz"))))
+    """One row per event, with planted shapes.
+
+    Every tenth merchant begins on 20 January (lane B); every fifteenth is silent from then until the
+    scored day. On that day a quarter of the rows goes to five merchants, some merchants take twenty
+    times their amounts, and others see cards of a new country. Some are dear all along.
+    """
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    at, day = F.col("ts").cast("timestamp_ntz"), F.lit("2024-01-30").cast("timestamp_ntz")
+    late = at >= F.lit("2024-01-20").cast("timestamp_ntz")
+    e = e.where(~((F.col("user_id") % 10 == 9) & ~late) & ~((F.col("user_id") % 15 == 4) & late & (at < day)))
+    e = e.withColumn("user_id", F.when((at >= day) & (F.col("event_id") % 4 == 0), F.col("user_id") % 5 + 10).otherwise(F.col("user_id")))
+    factor = F.when((F.col("user_id") % 20 == 1) & (at >= day), 20).when(F.col("user_id") % 50 == 2, 8).otherwise(1)
+    abroad = F.col("user_id") % 10 == 7
     k = F.get_json_object("props", "$.k").cast("int")
     rail, origin = (F.col("event_id") + k) % 6, (F.col("event_id") * 7 + k) % 20
     status = F.lit(None).cast("string")
@@ -40,12 +51,12 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(
         F.concat(F.lit("T"), F.lpad(F.col("event_id").cast("string"), 9, "0")).alias("source_txn_id"),
         F.concat(F.lit("M"), F.lpad(F.col("user_id").cast("string"), 6, "0")).alias("merchant_id"),
-        F.col("value").alias("total_amount"),
+        (F.col("value") * factor).alias("total_amount"),
         F.col("ts").cast("timestamp_ntz").alias("occurred_at"),
         (F.col("event_type") == "signup").alias("is_refund"),
         status.alias("transaction_status"),
         _pick(rail, ("VISA", "MASTERCARD", "AMEX", " AlipayHK ", "")).alias("card_type"),
-        F.when(origin == 0, "US").when(origin == 1, "CN").when(origin == 2, "JP").when(origin == 3, "").when(origin > 4, "HK").alias("card_issuing_country"),
+        F.when(abroad, F.when(at >= day, "JP").when(origin % 2 == 0, "US").otherwise("CN")).when(origin == 0, "US").when(origin == 1, "CN").when(origin == 2, "JP").when(origin == 3, "").when(origin > 4, "HK").alias("card_issuing_country"),
         F.when(rail == 4, F.lit(" ")).otherwise(F.concat(F.lit("P"), k.cast("string"))).alias("hashed_pan"),
     )
 
@@ -85,14 +96,15 @@ def _case(index: str, values) -> str:
 LEDGER_SQL = f"""
 ledger AS (
   SELECT 'T' || lpad(CAST(event_id AS VARCHAR), 9, '0') AS source_txn_id, 'M' || lpad(CAST(user_id AS VARCHAR), 6, '0') AS merchant_id,
-    value AS total_amount, CAST(ts AS TIMESTAMP) AS occurred_at, event_type = 'signup' AS is_refund,
+    value * CASE WHEN user_id % 20 = 1 AND ts >= TIMESTAMP '2024-01-30' THEN 20 WHEN user_id % 50 = 2 THEN 8 ELSE 1 END AS total_amount, CAST(ts AS TIMESTAMP) AS occurred_at, event_type = 'signup' AS is_refund,
     CASE event_type {" ".join(f"WHEN '{a}' THEN '{b}'" for a, b in STATUS.items())} END AS transaction_status,
     {_case("(event_id + k) % 6", ("VISA", "MASTERCARD", "AMEX", " AlipayHK ", ""))} AS card_type,
-    CASE WHEN (event_id * 7 + k) % 20 = 0 THEN 'US' WHEN (event_id * 7 + k) % 20 = 1 THEN 'CN' WHEN (event_id * 7 + k) % 20 = 2 THEN 'JP'
+    CASE WHEN user_id % 10 = 7 THEN CASE WHEN ts >= TIMESTAMP '2024-01-30' THEN 'JP' WHEN (event_id * 7 + k) % 20 % 2 = 0 THEN 'US' ELSE 'CN' END WHEN (event_id * 7 + k) % 20 = 0 THEN 'US' WHEN (event_id * 7 + k) % 20 = 1 THEN 'CN' WHEN (event_id * 7 + k) % 20 = 2 THEN 'JP'
       WHEN (event_id * 7 + k) % 20 = 3 THEN '' WHEN (event_id * 7 + k) % 20 > 4 THEN 'HK' END AS card_issuing_country,
     CASE WHEN (event_id + k) % 6 = 4 THEN ' ' ELSE 'P' || k END AS hashed_pan, CAST(ts AS DATE) AS txn_date
-  FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events)
-  WHERE NOT (user_id % 10 = 9 AND ts < TIMESTAMP '2024-01-20')),
+  FROM (SELECT event_id, ts, event_type, value, CAST(json_extract_string(props, '$.k') AS INT) AS k,
+      CASE WHEN ts >= TIMESTAMP '2024-01-30' AND event_id % 4 = 0 THEN user_id % 5 + 10 ELSE user_id END AS user_id FROM events
+    WHERE NOT (user_id % 10 = 9 AND ts < TIMESTAMP '2024-01-20') AND NOT (user_id % 15 = 4 AND ts >= TIMESTAMP '2024-01-20' AND ts < TIMESTAMP '2024-01-30'))),
 merchants AS (
   SELECT 'M' || lpad(CAST(user_id AS VARCHAR), 6, '0') AS merchant_id, '500' || user_id % 4 AS mcc,
     CASE WHEN user_id % 3 > 0 THEN 'Trade ' || user_id % 4 END AS mcc_description,
