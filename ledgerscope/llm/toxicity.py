@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +31,7 @@ class FtrlParams:
     passes: int = 10
     positive_weight: float = 5.0  #: of the rarer class's gradients
     shards: int = 8  #: learners that run side by side; their states are averaged after each pass
-    rows_per_class: int = 10_000  #: labelled documents learned from, at most, of each class
+    rows_per_class: int = 4_000  #: labelled documents learned from, at most, of each class
 
 
 class _Hashes(dict):
@@ -102,9 +103,9 @@ def fit(docs: DataFrame, labelled: DataFrame, p: FtrlParams = FtrlParams()) -> T
     """Learn from ``labelled(doc_id, y)``, y 0 or 1, and the whole texts of those ``docs``.
 
     Several labels of one id count as their largest. The drawn ids, bounded by ``rows_per_class``,
-    are broadcast to the texts. In each pass every shard starts from the common state and learns
-    its rows in order of their hash; the changes are averaged. Without labelled rows all weights
-    are zero and every score is 0.5.
+    are broadcast to the texts. Their features are written once, in ``shards`` parts. In each pass
+    the learner of every part starts from the common state and takes its rows in order of their
+    hash; the changes are averaged. Without labelled rows all weights are zero and every score is 0.5.
     """
     spark = docs.sparkSession
     size = (1 << p.bits) + 1
@@ -115,22 +116,24 @@ def fit(docs: DataFrame, labelled: DataFrame, p: FtrlParams = FtrlParams()) -> T
         for texts in batches:
             yield pd.Series([features(t, p.bits) for t in texts])
 
-    shard = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(p.shards)).alias("shard")
-    rows = materialize(drawn.select("doc_id", "y", shard, indexed("text").alias("x")), "toxic-rows")
+    dealt = drawn.repartition(p.shards)
+    rows = materialize(dealt.select("doc_id", "y", indexed("text").alias("x")), "toxic-rows")
     z, n = np.zeros(size), np.zeros(size)
     for turn in range(p.passes):
         state = spark.sparkContext.broadcast((z, n))
 
-        def one_pass(group: pd.DataFrame) -> pd.DataFrame:
-            order = np.argsort([xxhash.xxh64_intdigest(str(d), turn) for d in group["doc_id"]], kind="stable")
-            x, y = [np.asarray(group["x"].iloc[k]) for k in order], group["y"].to_numpy()[order]
+        def one_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(batches, schema=pa.schema([("doc_id", pa.int64()), ("y", pa.int64()), ("x", pa.list_(pa.int32()))]))
+            ids, y = table["doc_id"].to_pylist(), table["y"].to_numpy()
+            order = np.argsort([xxhash.xxh64_intdigest(str(d), turn) for d in ids], kind="stable")
+            x = [table["x"][int(k)].values.to_numpy() for k in order]
             z0, n0 = state.value
             z1, n1 = z0.copy(), n0.copy()
-            learn(x, y, z1, n1, p)
+            learn(x, y[order], z1, n1, p)
             i = np.flatnonzero(n1 != n0)
-            return pd.DataFrame({"i": i, "dz": z1[i] - z0[i], "dn": n1[i] - n0[i]})
+            yield pa.RecordBatch.from_pydict({"i": i, "dz": z1[i] - z0[i], "dn": n1[i] - n0[i]})
 
-        moved = rows.groupBy("shard").applyInPandas(one_pass, "i long, dz double, dn double")
+        moved = rows.select(F.col("doc_id").cast("long"), F.col("y").cast("long"), "x").mapInArrow(one_pass, "i long, dz double, dn double")
         # an entry that only one shard has seen moves by that shard's change
         step = moved.groupBy("i").agg(F.avg("dz").alias("dz"), F.avg("dn").alias("dn")).toPandas()
         z[step["i"]] += step["dz"]
