@@ -83,14 +83,13 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
     fields = ", ".join(f"{c} string" for c in _FIELDS)
     lines = spark.read.schema(fields + ", _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(path)
     whole = spark.read.text(path, wholetext=True)
-    wrapped = ", ".join(f"{w} array<struct<{fields.replace(' string', ':string')}>>" for w in WRAPPERS)
-    kind = F.substring(F.ltrim("value"), 1, 1)
     array_of = f"array<struct<{fields.replace(' string', ':string')}>>"
-    document = whole.where((kind == "[") | F.from_json("value", wrapped)[WRAPPERS[0]].isNotNull() | reduce(Column.__or__, [F.from_json("value", wrapped)[w].isNotNull() for w in WRAPPERS]))
-    if document.isEmpty():
+    bare = F.when(F.substring(F.ltrim("value"), 1, 1) == "[", F.col("value"))
+    inner = F.coalesce(bare, *[F.get_json_object("value", f"$.{w}") for w in WRAPPERS])
+    documents = whole.select(inner.alias("rows")).where("rows is not null")
+    if documents.isEmpty():
         return lines.where("_corrupt is null").drop("_corrupt")
-    inner = F.coalesce(F.from_json("value", array_of), *[F.from_json("value", wrapped)[w] for w in WRAPPERS])
-    return document.select(F.inline(inner))
+    return documents.select(F.inline(F.from_json("rows", array_of)))
 
 
 def blank_to_null(c: str) -> Column:
