@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerscope.llm.shared import materialize, with_columns
+from ledgerscope.llm.shared import materialize, ship, with_columns
 
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
@@ -25,9 +25,8 @@ class LangParams:
     docs_per_lang: int = 5_000  #: labelled documents of each language that are learned from, about
     max_langs: int = 1_000  #: the most frequent ones
     max_words: int = 200_000  #: known words of all languages
-    max_grams: int = 200_000  #: known n-grams of all languages and lengths
+    max_grams: int = 100_000  #: known n-grams of all languages and lengths
     longest: int = 5  #: characters of the longest n-grams, word ends included
-    backoff: float = 0.4  #: factor for each step to a shorter n-gram
 
 
 def words_of(text: str | None) -> list[str]:
@@ -96,38 +95,44 @@ class LangModel:
                 parts.append(logs)
                 size += len(logs)
             self.gram_logs = np.concatenate(parts)
-        self.unseen: dict[str, np.ndarray] = {}
+        self.unseen: dict[str, list[int]] = {}
 
-    def by_grams(self, word: str) -> np.ndarray:
-        """Mean over the word's characters of the longest known n-gram that starts there, with the backoff's cost."""
+    def backed_off(self, word: str) -> list[int]:
+        """Indexes of the longest known n-gram at each character of an unseen word.
+
+        A cost for each step to a shorter n-gram would be the same in all languages, so there is none.
+        """
         if (found := self.unseen.get(word)) is not None:
             return found
-        marked, longest = f"<{word}>", self.p.longest
-        out = np.zeros(len(self.langs))
+        marked, known = f"<{word}>", self.grams
+        found = []
         for at in range(len(marked)):
-            top = min(longest, len(marked) - at)
-            for n in range(top, 0, -1):
-                if (k := self.grams.get(marked[at : at + n])) is not None:
-                    out += self.gram_logs[k] + (top - n) * np.log(self.p.backoff)
+            for end in range(min(at + self.p.longest, len(marked)), at, -1):
+                if (k := known.get(marked[at:end])) is not None:
+                    found.append(k)
                     break
-        out /= len(marked)
         if len(self.unseen) > 100_000:
             self.unseen.clear()
-        self.unseen[word] = out
-        return out
+        self.unseen[word] = found
+        return found
 
     def predict(self, text: str | None) -> tuple[str, float]:
         counted = Counter(words_of(text))
         if not counted or not self.langs:
             return UNKNOWN, 0.0
-        known = [(k, n) for w, n in counted.items() if (k := self.words.get(w)) is not None]
-        total = np.zeros(len(self.langs))
-        if known:
-            k, n = np.array(known).T
-            total += n @ self.word_logs[k]
+        words, times, grams, shares = [], [], [], []
         for w, n in counted.items():
-            if w not in self.words:
-                total += n * self.by_grams(w)
+            if (k := self.words.get(w)) is not None:
+                words.append(k)
+                times.append(n)
+            elif found := self.backed_off(w):
+                grams += found
+                shares += [n / len(found)] * len(found)
+        total = np.zeros(len(self.langs))
+        if words:
+            total += np.array(times) @ self.word_logs[words]
+        if grams:
+            total += np.array(shares) @ self.gram_logs[grams]
         best = int(np.argmax(total))
         return self.langs[best], float(1 / np.exp(total - total[best]).sum())
 
@@ -147,6 +152,7 @@ def fit(labelled: DataFrame, p: LangParams = LangParams()) -> LangModel:
     Documents are sampled by a hash of their id, each language at its own rate, so that about
     ``docs_per_lang`` of each are learned from, whole texts.
     """
+    ship(labelled.sparkSession)
     rows = labelled.where("lang is not null and text is not null")
     counted = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(p.max_langs).collect()
     rates = {r["lang"]: min(1.0, p.docs_per_lang / r["n"]) for r in counted}
@@ -171,6 +177,7 @@ def predict(docs: DataFrame, model: LangModel, text_col: str = "text") -> DataFr
     A null text, one without a letter, or a model without languages gives ``und`` and score 0.
     Repeated rows get equal results; an empty table an empty one; texts are read whole.
     """
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
