@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerscope.llm.components import components
-from ledgerscope.llm.shared import materialize
+from ledgerscope.llm.shared import materialize, ship
 
 #: Distances between unit vectors carry rounding errors below this.
 SLACK = 1e-9
@@ -166,6 +166,7 @@ def _cells(reps: DataFrame, p: CoverParams) -> tuple[DataFrame, DataFrame]:
         v = np.array(r["vector"], float)
         pivots.setdefault((r["label"], r["dim"]), []).append(v / np.linalg.norm(v))
     tables = {k: np.stack(v) for k, v in pivots.items()}
+    ship(reps.sparkSession)
     shared = reps.sparkSession.sparkContext.broadcast(tables)
 
     @F.pandas_udf("at int, distance double")

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerscope.llm.shared import with_columns
+from ledgerscope.llm.shared import ship, with_columns
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.DOTALL)
 ATTRIBUTE = re.compile(r"([\w:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
@@ -207,6 +207,7 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     container. Pages are read whole, each on its own: repeated rows get equal texts, an empty table
     an empty one.
     """
+    ship(pages.sparkSession)
     tree = train(pages.sparkSession)
 
     @F.pandas_udf("string")

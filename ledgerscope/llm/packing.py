@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerscope.llm.shared import materialize
+from ledgerscope.llm.shared import materialize, ship
 
 SPANS = "array<struct<piece:int,start:long,length:long,ids_crc32:long,ids:array<int>>>"
 PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -82,6 +82,7 @@ def pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, with_ids: boo
                 )
             yield pd.Series(out)
 
+    ship(docs.sparkSession)
     each = docs.select("doc_id", F.explode(cut("text")).alias("p")).select("doc_id", "p.*")
     return each if with_ids else each.drop("ids")
 

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerscope.llm.shared import with_columns
+from ledgerscope.llm.shared import ship, with_columns
 
 WHITE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -129,6 +129,7 @@ def score_quality(docs: DataFrame, text_col: str = "text", rules: LineRules = Li
         for texts in batches:
             yield pd.DataFrame([figures(t, rules, with_text) for t in texts], columns=names)
 
+    ship(docs.sparkSession)
     base = with_columns(docs, {"__q": measured(F.col(f"`{text_col}`"))})
     out = {x.split()[0]: F.col(f"__q.{x.split()[0]}") for x in FIGURES.split(", ")}
     failed = (out["n_words"] < 20) | (100 * out["n_repeat_words"] > 30 * out["n_words"])

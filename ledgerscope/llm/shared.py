@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +27,20 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once a session, so that their Python workers can import it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_ledgerscope_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    path = Path(tempfile.mkdtemp(prefix="spark-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(str(path))
+    sc._ledgerscope_shipped = True
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -37,6 +53,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     a lost executor costs a reread of the table, not a rerun of the plan.
     """
     spark = df.sparkSession
+    ship(spark)
     path = shared_path(spark, name)
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")

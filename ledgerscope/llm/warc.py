@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerscope.llm.shared import materialize, shared_path
+from ledgerscope.llm.shared import materialize, shared_path, ship
 
 #: Records of one archive file, at most: a file is read back whole by one task.
 FILE_RECORDS = 500
@@ -225,6 +225,7 @@ def archive(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
     payloads, revisits the largest id unless all are null (then all are responses). Rows that repeat
     the largest page_id of a payload are all responses. An empty table gives no rows.
     """
+    ship(pages.sparkSession)
     spark = pages.sparkSession
     path = shared_path(spark, "warc")
     write_archives(pages, path, min_bytes)
