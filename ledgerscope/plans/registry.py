@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerscope.functions import density, geo, robust
-from ledgerscope.operators import alerts, baselines as bl, detectors as det, predicates as pr, rings, typology as ty
+from ledgerscope.operators import alerts, baselines as bl, detectors as det, predicates as pr, rings, study, typology as ty
 from ledgerscope.operators.detectors import Portfolio, Tuning
 from ledgerscope.operators.typology import Rule
 from ledgerscope.plans import nightly
@@ -501,3 +501,34 @@ query("p16_refund_rows", "SELECT source_txn_id, upper(coalesce(transaction_statu
         "source_txn_id", "is_refund", "card_type", F.date_format("occurred_at", "yyyy-MM-dd HH:mm:ss").alias("occurred_at")
     )
 )
+
+# ---- verdicts ------------------------------------------------------------------------------
+
+_BY_DETECTOR = dict(zip((d.__name__ for d in det.DETECTORS), DETECTOR_SQL))
+_STUDY_SALES = VIEWS.replace("sales AS (SELECT * FROM dy WHERE NOT is_refund)", f"sales AS (SELECT * FROM dy WHERE {_SETTLED})")
+_FAILS = " UNION ".join(f"SELECT merchant_id, detector FROM (WITH {DETECTOR_SQL[_BY_DETECTOR[d]].strip()})" for d in study.ORDER)
+_GATE = {
+    "amount_vs_own_baseline": (OWN, "own", "merchant_id", "sales"), "count_vs_own_baseline": (COUNT, "cnt", "merchant_id", "sales"),
+    "burst_rate_vs_own_baseline": (VELOCITY, "vel", "merchant_id", "sales"), "hour_vs_own_pattern": (f"{OWN_HOURS}, g AS (SELECT *, n >= 20 AS usable FROM oh)", "g", "merchant_id", "sales"),
+    "card_origin_vs_own_mix": (f"{ORIGINS}, g AS (SELECT *, n >= 20 AS usable FROM om)", "g", "merchant_id", "(SELECT * FROM sales WHERE card_issuing_country NOT IN ('', 'HK'))"),
+    "ticket_vs_mcc_peers": (cohort("mcc"), "ct", "mcc", "sales"), "count_vs_mcc_peers": (PEER_COUNT, "peer_cnt", "mcc", "sales"),
+    "merchant_level_vs_mcc_peers": (f"{OWN}, {PEER}, g AS (SELECT o.merchant_id, o.usable AND o.center <> 0 AND p.usable AS usable FROM own o JOIN merchants USING (merchant_id) JOIN peer p USING (mcc))", "g", "merchant_id", "sales"),
+    "hour_vs_mcc_peers": (f"{COHORT_HOURS}, g AS (SELECT *, n >= 20 AS usable FROM ch)", "g", "mcc", "sales"), "ticket_vs_subdistrict_peers": (cohort("merchant_subdistrict"), "ct", "merchant_subdistrict", "sales"),
+    "foreign_card_ratio_vs_subdistrict": (FOREIGN, "frn", "merchant_subdistrict", f"(SELECT * FROM dy WHERE {_SETTLED} AND card_issuing_country <> '')"),
+    "unsettled_ratio_vs_own_baseline": (UNSETTLED, "uns", "merchant_id", "dy"), "unsettled_ratio_vs_mcc_peers": (PEER_UNSETTLED, "puns", "mcc", "dy"),
+}
+_LIVE = "SELECT merchant_id, 'level_shift_ramp' AS detector FROM merchants UNION ALL " + " UNION ALL ".join(
+    f"SELECT * FROM (WITH {ctes.strip()} SELECT DISTINCT m.merchant_id, '{d}' AS detector FROM merchants m JOIN {base} b USING ({key}) WHERE usable AND m.merchant_id IN (SELECT merchant_id FROM {rows}))"
+    for d, (ctes, base, key, rows) in _GATE.items()
+)
+_STUDY = f"""WITH {fixture.LEDGER_SQL}, {_STUDY_SALES}, fails AS ({_FAILS}), live AS ({_LIVE}),
+  vd AS (SELECT m.merchant_id, s.step, s.detector, CASE WHEN f.detector IS NOT NULL THEN 'FAIL' WHEN l.detector IS NOT NULL THEN 'OK' ELSE 'SKIP' END AS status
+    FROM merchants m, (VALUES {", ".join(f"({k}, '{d}')" for k, d in enumerate(study.ORDER))}) s(step, detector)
+    LEFT JOIN fails f ON f.merchant_id = m.merchant_id AND f.detector = s.detector LEFT JOIN live l ON l.merchant_id = m.merchant_id AND l.detector = s.detector)"""
+query("m10_merchant_study")(study.study)
+query("m12_root_cause")(lambda p: study.root_cause(study.study(p)))
+SQL["m10_merchant_study"] = f"{_STUDY} SELECT merchant_id, step, detector, status FROM vd"
+SQL["m12_root_cause"] = f"{_STUDY} SELECT merchant_id, arg_min(detector, step) AS detector FROM vd WHERE status = 'FAIL' GROUP BY 1"
+query("m11_rule_study", f", {FEATURES}, {_DAILY_VALUE}, bh AS ({' UNION ALL '.join(f'SELECT merchant_id, detector FROM ({s})' for s in RULE_SQL.values())}) SELECT f.merchant_id, r.rule, CASE WHEN bh.detector IS NULL THEN 'OK' ELSE 'FAIL' END AS status FROM f, (VALUES {', '.join(f'({t!r})' for t in ty.EVALUATORS)}) r(rule) LEFT JOIN bh ON bh.merchant_id = f.merchant_id AND bh.detector = r.rule")(
+    lambda p: study.rule_study(p, [r for r in RULES if r.template in ty.EVALUATORS])
+)
