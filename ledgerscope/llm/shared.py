@@ -10,7 +10,9 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Set by Spark 4 when a finished query may drop its own shuffle files.
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 1000
+#: Lets a finished query drop its own shuffle files.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -28,7 +30,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once a session, so that their Python workers can import it."""
+    """Send this package to the executors, once, so that their Python workers can import it.
+
+    Texts are long, so Arrow batches of the session are set to ``BATCH_ROWS`` rows where they have
+    Spark's default size; a worker's memory then holds few texts at a time.
+    """
+    if spark.conf.get(_BATCH, "10000") == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
     sc = spark.sparkContext
     if getattr(sc, "_ledgerscope_shipped", False):
         return
