@@ -95,4 +95,18 @@ SELECT d.page_id, d.payload_bytes, d.payload_digest,
 FROM d LEFT JOIN g USING (payload_digest)
 """
 
-SQL: dict[str, str] = {"op8_warc": _WARC_SQL}
+#: Links and components of vectors; equal labels, finite components, one length, not zero.
+_VECTOR_SQL = """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+     s AS (SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+           AND list_sum(list_transform(e, lambda x: x * x)) > 0),
+     l AS (SELECT a.r AS a, b.r AS b FROM s a JOIN s b ON a.label = b.label AND len(a.e) = len(b.e) AND a.r <> b.r
+           WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+     reach(a, b) AS (SELECT r, r FROM v UNION SELECT reach.a, l.b FROM reach JOIN l ON l.a = reach.b),
+     c AS (SELECT a AS r, min(vec_id) AS component_id FROM reach JOIN v ON v.r = reach.b GROUP BY a),
+     n AS (SELECT a AS r, count(*) AS n_links FROM l GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM v JOIN c USING (r) LEFT JOIN n USING (r)
+"""
+
+SQL: dict[str, str] = {"op4_embedding_near_dedup": _VECTOR_SQL, "op8_warc": _WARC_SQL}
