@@ -110,9 +110,7 @@ def peers(name: str, source: str, floor: float) -> str:
 {name} AS (SELECT t.*, greatest(mad, {floor}) AS dispersion, n >= 3 AND greatest(mad, {floor}) > 0 AS usable, (SELECT CAST(sum(rows_) AS BIGINT) FROM {name}_g g WHERE g.mcc = t.mcc) AS n_observations FROM {name}_t t)"""
 
 
-_SPAN_DAYS = "o_days AS (SELECT merchant_id, epoch_us(max(occurred_at) - min(occurred_at)) / 86400000000.0 AS span_days FROM sw GROUP BY 1)" if False else (
-    "o_days AS (SELECT merchant_id, (epoch_us(max(occurred_at)) - epoch_us(min(occurred_at))) / 86400000000.0 AS span_days FROM sw GROUP BY 1)"
-)
+_SPAN_DAYS = "o_days AS (SELECT merchant_id, (epoch_us(max(occurred_at)) - epoch_us(min(occurred_at))) / 86400000000.0 AS span_days FROM sw GROUP BY 1)"
 OWN = f"""{stats("o_s", "sw", "merchant_id", "total_amount")}, {_SPAN_DAYS},
 o_e AS (SELECT m.merchant_id, n, center, mad, q1, q3, span_days FROM merchants m LEFT JOIN o_s USING (merchant_id) LEFT JOIN o_days USING (merchant_id)),
 {fitted("own", "o_e", "merchant_id", 12, 0.0, "span_days >= 14")}"""
@@ -331,8 +329,8 @@ DETECTOR_SQL = {
 }
 for _name, _detector in zip(DETECTOR_SQL, det.DETECTORS):
     query(_name, f", {DETECTOR_SQL[_name]}")(_detector)
-query("d00_all_family_a", f"SELECT family, detector, count(*) AS n, round(sum(sub_score), 4) AS score FROM ({' UNION ALL '.join(f'({SQL[n]})' for n in DETECTOR_SQL)}) GROUP BY 1, 2")(
-    lambda p: det.detect(p).withColumn("sub_score", F.round("sub_score", 6)).groupBy("family", "detector").agg(F.count("*").alias("n"), F.round(F.sum("sub_score"), 4).alias("score"))
+query("d00_all_family_a", f"SELECT family, detector, count(*) AS n, CAST(sum(evidence) AS BIGINT) AS evidence FROM ({' UNION ALL '.join(f'({SQL[n]})' for n in DETECTOR_SQL)}) GROUP BY 1, 2")(
+    lambda p: det.detect(p).groupBy("family", "detector").agg(F.count("*").alias("n"), F.sum("evidence").alias("evidence"))
 )
 
 # ---- family B ------------------------------------------------------------------------------
@@ -357,8 +355,8 @@ RULE_SQL = {
 }
 for _name, (_template, _rule) in zip(RULE_SQL, ty.EVALUATORS.items()):
     query(_name, f", {FEATURES}, {_DAILY_VALUE} {RULE_SQL[_name]}")(lambda p, t=_template, e=_rule: e(p, ty.day_features(p), _BY_NAME[t]))
-query("b08_all_family_b", f"SELECT detector, count(*) AS n, round(sum(sub_score), 4) AS score FROM ({' UNION ALL '.join(f'({SQL[n]})' for n in RULE_SQL)}) GROUP BY 1")(
-    lambda p: ty.evaluate(p, RULES).withColumn("sub_score", F.round("sub_score", 6)).groupBy("detector").agg(F.count("*").alias("n"), F.round(F.sum("sub_score"), 4).alias("score"))
+query("b08_all_family_b", f"SELECT detector, count(*) AS n, CAST(sum(evidence) AS BIGINT) AS evidence FROM ({' UNION ALL '.join(f'({SQL[n]})' for n in RULE_SQL)}) GROUP BY 1")(
+    lambda p: ty.evaluate(p, RULES).groupBy("detector").agg(F.count("*").alias("n"), F.sum("evidence").alias("evidence"))
 )
 query("b09_day_features", f", {FEATURES} SELECT merchant_id, rows_ AS rows, settled, refunds, {_r('gross', 'refunded')}, attempts, declined, inside, {_r('own_center', 'cohort_center')}, last_active::VARCHAR AS last_active FROM f")(
     lambda p: ty.day_features(p).select("merchant_id", "rows", "settled", "refunds", "gross", "refunded", "attempts", "declined", "inside", "own_center", "cohort_center", "last_active")
