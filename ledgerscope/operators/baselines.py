@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerscope.functions import density, robust
-from ledgerscope.operators.predicates import HOME, UNSETTLED, Span, baseline_span, dated, has_card_origin, micros, scored_day, settled_sale, without_confirmed
+from ledgerscope.operators.predicates import HOME, UNSETTLED, Span, dated, has_card_origin, micros, scored_day, settled_sale, without_confirmed
 
 
 @dataclass(frozen=True)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ledgerscope.functions import geo
 from ledgerscope.operators.detectors import Portfolio, hit
-from ledgerscope.operators.predicates import fold, has_card, micros, not_refund
+from ledgerscope.operators.predicates import fold, has_card, micros
 from ledgerscope.operators.typology import Rule, validate
 
 IDENTITY = ("hashed_br_number", "hashed_merchant_address", "hashed_merchant_name")

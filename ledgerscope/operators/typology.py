@@ -5,10 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerscope.functions import density, robust
+from ledgerscope.functions import density
 from ledgerscope.operators import baselines as bl
 from ledgerscope.operators.detectors import Portfolio, hit
 from ledgerscope.operators.predicates import scored_day
@@ -127,8 +127,6 @@ def refund_ratio(p: Portfolio, f: DataFrame, r: Rule) -> DataFrame:
 
 def bust_out(p: Portfolio, f: DataFrame, r: Rule) -> DataFrame:
     """The last active days' median value against all earlier ones'. Days are few, so a window ranks them."""
-    from pyspark.sql import Window
-
     recent = int(r.value("recent_days"))
     w = Window.partitionBy("merchant_id")
     ranked = bl.daily_value(p.ledger, p.as_of, p.fit).withColumn("k", F.row_number().over(w.orderBy(F.desc("txn_date")))).withColumn("days", F.count("*").over(w)).where(F.col("days") >= 2 * recent)

@@ -9,10 +9,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerscope.functions import density, geo, robust
+from ledgerscope.functions import geo, robust
 from ledgerscope.operators import alerts, baselines as bl, detectors as det, predicates as pr, rings, study, typology as ty
 from ledgerscope.operators.detectors import Portfolio, Tuning
 from ledgerscope.operators.typology import Rule
@@ -436,8 +436,6 @@ def store(p: Portfolio) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     i = F.substring("source_txn_id", 2, 9).cast("long")
     kind = F.when(i % 5 == 0, "temporal_anomaly").when(i % 5 == 1, "ring_signal").when(i % 5 == 2, "typology_match").when(i % 5 == 3, "single_txn_spike")
     declined = p.ledger.where("transaction_status = 'DECLINED'")
-    from pyspark.sql import Window
-
     rank = F.row_number().over(Window.orderBy(F.desc("total_amount"), "source_txn_id")).cast("long")
     alert = declined.select(i.alias("alert_id"), "merchant_id", F.when(i % 4 > 0, i % 4).alias("run_id"), kind.alias("alert_type"), F.col("total_amount").alias("score"), rank.alias("rank"), F.col("occurred_at").alias("created_at"))
     verdict = F.when(F.col("alert_id") % 3 == 0, "TRUE_POSITIVE").otherwise("FALSE_POSITIVE")
