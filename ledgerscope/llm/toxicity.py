@@ -29,9 +29,9 @@ class FtrlParams:
     l1: float = 4.0
     l2: float = 1.0
     passes: int = 10
-    positive_weight: float = 5.0  #: of the rarer class's gradients
+    positive_weight: float = 5.0  #: of the gradients of class 1
     shards: int = 8  #: learners that run side by side; their states are averaged after each pass
-    rows_per_class: int = 4_000  #: labelled documents learned from, at most, of each class
+    rows: int = 20_000  #: labelled documents learned from, at most; both classes are drawn at one rate
 
 
 class _Hashes(dict):
@@ -93,16 +93,19 @@ class ToxicModel:
 
 
 def sample(labelled: DataFrame, p: FtrlParams) -> DataFrame:
-    """``(doc_id, y)``, at most ``rows_per_class`` of each class, drawn by a hash of the id."""
+    """``(doc_id, y)``: of all labelled ids those with the ``rows`` smallest hashes.
+
+    The hash knows nothing of the class, so the classes keep their natural balance, and with it the
+    odds behind a score, whatever the size of the table.
+    """
     each = labelled.where("doc_id is not null and y is not null").groupBy("doc_id").agg(F.max("y").alias("y"))
-    draw = lambda y: each.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.rows_per_class)
-    return draw(1).unionAll(draw(0))
+    return each.orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.rows)
 
 
 def fit(docs: DataFrame, labelled: DataFrame, p: FtrlParams = FtrlParams()) -> ToxicModel:
     """Learn from ``labelled(doc_id, y)``, y 0 or 1, and the whole texts of those ``docs``.
 
-    Several labels of one id count as their largest. The drawn ids, bounded by ``rows_per_class``,
+    Several labels of one id count as their largest. The drawn ids, bounded by ``rows``,
     are broadcast to the texts. Their features are written once, in ``shards`` parts. In each pass
     the learner of every part starts from the common state and takes its rows in order of their
     hash; the changes are averaged. Without labelled rows all weights are zero and every score is 0.5.
