@@ -154,7 +154,10 @@ def test_lines_against_brute_force(spark):
                 sets[line] = {line[k : k + 9] for k in range(len(line) - 8)}
     alike = lambda a, b: bool(sets[a] and sets[b]) and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
     want = brute_components(sorted(sets), alike)
-    got = {r["doc_id"]: r for r in lines.dedup_lines(docs, p).collect()}
+    result = lines.dedup_lines(docs, p).collect()
+    again = sorted((r["text"] for r in result if r["doc_id"] == rows[0][0]), key=len)
+    assert len(again) == 2 and not again[0].strip()  # of two equal rows one loses its visible lines
+    got = {r["doc_id"]: r for r in result if r["doc_id"] != rows[0][0] or r["text"] == again[1]}
     seen = {}
     for i, text in sorted({r[0]: r[1] for r in rows}.items()):
         kept = []
