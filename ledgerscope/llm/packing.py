@@ -19,6 +19,8 @@ SPANS = "array<struct<piece:int,start:long,length:long,ids_crc32:long,ids:array<
 PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 #: Pieces of one shard, about; shards are packed apart from each other.
 SHARD_PIECES = 16_384
+#: Targets that are tried, as shares of the least number of sequences that could hold a shard.
+TARGETS = (0.9, 0.95, 1.0)
 
 
 def vocabulary_paths() -> tuple[str, str]:
@@ -30,10 +32,10 @@ def vocabulary_paths() -> tuple[str, str]:
 
 @lru_cache(maxsize=2)
 def encoder(json_path: str, ranks_path: str):
-    """A function from text to ids. Texts hold no special tokens: their strings are ordinary text.
+    """A function from text to the ids that ``tokenizers`` gives without special tokens of its own.
 
-    The rank file gives the same ids as the tokenizer file at a fifth of the time; the tokenizer
-    file encodes the rare text that the faster library refuses.
+    The rank file gives the same ids as the tokenizer file at a fifth of the time. The tokenizer
+    file encodes what the faster library refuses, and texts that spell an added token.
     """
     import public_tokenizers
     import tiktoken
@@ -42,17 +44,16 @@ def encoder(json_path: str, ranks_path: str):
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     fast = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-    def slow(text: str) -> list[int]:
-        t = Tokenizer.from_file(json_path)
-        t.encode_special_tokens = True
-        return t.encode(text, add_special_tokens=False).ids
+    exact = Tokenizer.from_file(json_path)
+    added = [t.content for t in exact.get_added_tokens_decoder().values()]
 
     def encode(text: str) -> list[int]:
-        try:
-            return fast.encode_ordinary(text)
-        except (ValueError, OverflowError, RuntimeError):
-            return slow(text)
+        if not any(a in text for a in added):
+            try:
+                return fast.encode_ordinary(text)
+            except (ValueError, OverflowError, RuntimeError):
+                pass
+        return exact.encode(text, add_special_tokens=False).ids
 
     return encode
 
@@ -87,23 +88,27 @@ def pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, with_ids: boo
     return each if with_ids else each.drop("ids")
 
 
-def sum_of_squares(lengths: np.ndarray, capacity: int) -> list[list[int]]:
+def sum_of_squares(lengths: np.ndarray, capacity: int, target: int) -> list[list[int]]:
     """Indexes of ``lengths`` by sequence, longest pieces placed first.
 
     A piece goes where the sum, over all gaps, of the squared number of open sequences with that
-    gap becomes smallest; of equal choices the fullest sequence. A new sequence is a choice, too.
+    gap becomes smallest; of equal choices the fullest sequence. A new sequence is a choice like
+    the others while fewer than ``target`` are made; after that only where no open one has room.
     """
+    never = np.iinfo(np.int64).max
     count = np.zeros(capacity + 1, np.int64)
     open_at: list[list[int]] = [[] for _ in range(capacity + 1)]
     bins: list[list[int]] = []
     for i in np.argsort(-lengths, kind="stable"):
         n = int(lengths[i])
         leaves, becomes = count[n:], count[: capacity + 1 - n]
-        change = np.where(leaves > 0, 2 * (becomes - leaves) + 2, np.iinfo(np.int64).max)
+        change = np.where(leaves > 0, 2 * (becomes - leaves) + 2, never)
         if leaves[0]:
             change[0] = 1 - 2 * leaves[0]  # a filled sequence is no longer open
-        change[-1] = 2 * becomes[-1] + 1 if n < capacity else 0
-        gap = n + int(np.argmin(change))
+        fresh = 2 * becomes[-1] + 1 if n < capacity else 0
+        change[-1] = fresh if len(bins) < target else never
+        best = int(np.argmin(change))
+        gap = capacity if change[best] == never else n + best
         if gap == capacity:
             at = len(bins)
             bins.append([])
@@ -117,31 +122,14 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def refit(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
-    """The sequences that stayed open are taken apart and refitted, longest piece first into the smallest gap.
+def fewest(lengths: np.ndarray, capacity: int) -> list[list[int]]:
+    """The best of some sum-of-squares packings, with targets up to the least number of sequences possible.
 
-    Sum-of-squares keeps sequences of all gaps open for pieces to come; at the end none come. The
-    fewer sequences of the two packings count.
+    The rule alone keeps sequences of all gaps open for pieces to come; with a target the last
+    pieces, the short ones, fill them.
     """
-    done = [b for b in bins if lengths[b].sum() == capacity]
-    loose = sorted((i for b in bins if lengths[b].sum() < capacity for i in b), key=lambda i: (-lengths[i], i))
-    open_at: list[list[list[int]]] = [[] for _ in range(capacity + 1)]
-    count = np.zeros(capacity + 1, np.int64)
-    again: list[list[int]] = []
-    for i in loose:
-        n = int(lengths[i])
-        fits = np.flatnonzero(count[n:])
-        if len(fits):
-            gap = n + int(fits[0])
-            b = open_at[gap].pop()
-            count[gap] -= 1
-        else:
-            gap, b = capacity, []
-            again.append(b)
-        b.append(i)
-        open_at[gap - n].append(b)
-        count[gap - n] += 1
-    return min(bins, done + again, key=len)
+    least = -(-int(lengths.sum()) // capacity)
+    return min((sum_of_squares(lengths, capacity, int(share * least)) for share in TARGETS), key=len)
 
 
 def pack(docs: DataFrame, capacity: int = 1024, end_id: int = 2, shard_pieces: int = SHARD_PIECES) -> DataFrame:
@@ -150,8 +138,8 @@ def pack(docs: DataFrame, capacity: int = 1024, end_id: int = 2, shard_pieces: i
     A document is its text's ids and ``end_id``; a null or empty text is ``end_id`` alone. Documents
     longer than ``capacity`` are cut; of their pieces only the first may be shorter than
     ``capacity``. Full pieces are sequences of their own. The others are dealt by a hash of
-    (doc_id, piece, crc) into shards of about ``shard_pieces``, each packed by one task; no text or
-    ids are shuffled. Repeated rows are packed as often as they occur; null ids like any other; an
+    (doc_id, piece, crc) into shards of about ``shard_pieces``, each packed by sum of squares in one
+    task; no text or ids are shuffled. Repeated rows are packed as often as they occur; null ids like any other; an
     empty table gives no rows. Columns: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
     """
     cut = materialize(pieces(docs.select("doc_id", "text"), capacity, end_id), "pieces")
@@ -165,7 +153,7 @@ def pack(docs: DataFrame, capacity: int = 1024, end_id: int = 2, shard_pieces: i
     def place(key: tuple, rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
         lengths = rows["length"].to_numpy()
-        bins = refit(sum_of_squares(lengths, capacity), lengths, capacity)
+        bins = fewest(lengths, capacity)
         where, offset = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
         for k, b in enumerate(bins):
             where[b] = k
