@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerscope.llm.html_pages import PAGES, page
 from ledgerscope.llm.shared import ship, with_columns
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.DOTALL)
@@ -30,9 +31,15 @@ CHROME_WORDS = frozenset(
 )
 COMMENT_WORDS = frozenset("comment comments discussion disqus replies reply respond".split())
 ARTICLE_WORDS = frozenset("article articlebody content entry post story text".split())
+#: Phrases of notices, as page furniture words them.
+NOTICE = re.compile(
+    r"accept (?:all )?cookies|uses? cookies|cookie policy|privacy policy|terms of (?:use|service)|all rights reserved|copyright \d|copyright ©|©|"
+    r"(?:sign up|subscribe) (?:for|to) our|share this|log in|newsletter", re.IGNORECASE
+)
+WHITE = re.compile(r"[ \t\n\f\r\v]+")
 WORDS_IN_NAME = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*")
 
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "article", "chrome", "heading", "item")
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "article", "chrome", "heading", "item", "notice")
 
 
 def marks(tag: str, attributes: str) -> tuple[bool, bool]:
@@ -56,7 +63,7 @@ def marks(tag: str, attributes: str) -> tuple[bool, bool]:
 
 
 def blocks(page: str) -> list[tuple[str, list[float]]]:
-    """The page's text blocks in order: text and, without neighbours, (words, links, article, chrome, heading, item).
+    """The page's text blocks in order: text and, without neighbours, (words, links, article, chrome, heading, item, notice).
 
     Elements that break lines end a block; others only contribute their text. ``links`` is the share
     of words inside links. The content of raw elements, comments and declarations is no text.
@@ -70,12 +77,12 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
 
     def close() -> None:
         nonlocal linked
-        text = " ".join(html.unescape("".join(parts)).split())
+        text = WHITE.sub(" ", html.unescape("".join(parts))).strip(" ")
         parts.clear()
         if text:
             n = len(text.split(" "))
             article, chrome = any(s[1] for s in stack), any(s[2] for s in stack)
-            out.append((text, [n, min(1.0, linked / n), article, chrome, heading, any(s[0] == "li" for s in stack)]))
+            out.append((text, [n, min(1.0, linked / n), article, chrome, heading, any(s[0] == "li" for s in stack), bool(NOTICE.search(text))]))
         linked = 0
 
     while at < end:
@@ -130,48 +137,22 @@ def with_neighbours(own: list[list[float]]) -> list[list[float]]:
     ]
 
 
-#: Labelled pages: blocks as (words, links, article, chrome, heading, item, main text?).
-LABELLED = (
-    # an article element with furniture around it, one paragraph very short
-    [(4, 1, 0, 1, 0, 1, 0), (5, 1, 0, 1, 0, 1, 0), (8, 0, 0, 1, 0, 0, 0), (7, 0, 1, 0, 1, 0, 1), (40, 0, 1, 0, 0, 0, 1), (1, 0, 1, 0, 0, 0, 1), (55, 0.1, 1, 0, 0, 0, 1), (9, 0, 0, 1, 0, 0, 0)],
-    # an article with one short paragraph; long footer and notice
-    [(1, 1, 0, 1, 0, 1, 0), (1, 1, 0, 1, 0, 1, 0), (3, 0, 1, 0, 1, 0, 1), (3, 0, 1, 0, 0, 0, 1), (60, 0.1, 0, 1, 0, 0, 0), (35, 0, 0, 1, 0, 0, 0)],
-    # an article with a list, a wholly linked paragraph, a sidebar and an advert inside
-    [(6, 0, 1, 0, 1, 0, 1), (80, 0.05, 1, 0, 0, 0, 1), (12, 0, 1, 0, 0, 1, 1), (9, 0.3, 1, 0, 0, 1, 1), (5, 1, 1, 0, 0, 0, 1), (25, 0, 1, 1, 0, 0, 0), (14, 0.2, 1, 1, 0, 0, 0), (33, 0, 1, 0, 0, 0, 1)],
-    # reader comments and a form after the article
-    [(50, 0, 1, 0, 0, 0, 1), (45, 0, 1, 0, 0, 0, 1), (2, 0, 0, 1, 1, 0, 0), (48, 0, 0, 1, 0, 0, 0), (60, 0, 1, 1, 0, 0, 0), (3, 0, 0, 1, 0, 0, 0)],
-    # no article element: long text between short linked blocks
-    [(1, 1, 0, 0, 0, 0, 0), (2, 1, 0, 0, 0, 1, 0), (3, 1, 0, 0, 0, 1, 0), (6, 0, 0, 0, 1, 0, 1), (42, 0, 0, 0, 0, 0, 1), (60, 0.15, 0, 0, 0, 0, 1), (18, 0.2, 0, 0, 0, 0, 1), (38, 0.3, 0, 0, 0, 0, 1), (24, 0.35, 0, 0, 0, 0, 1), (4, 0.8, 0, 0, 0, 0, 0), (5, 1, 0, 0, 0, 1, 0)],
-    # no article element: lead, list, quote and closing words
-    [(2, 1, 0, 0, 0, 1, 0), (2, 1, 0, 0, 0, 1, 0), (5, 0, 0, 0, 1, 0, 1), (25, 0, 0, 0, 0, 0, 1), (12, 0, 0, 0, 0, 1, 1), (11, 0, 0, 0, 0, 1, 1), (30, 0.1, 0, 0, 0, 0, 1), (9, 0.2, 0, 0, 0, 0, 1), (28, 0.25, 0, 0, 0, 0, 1), (3, 0.7, 0, 0, 0, 0, 0), (2, 1, 0, 0, 0, 0, 0)],
-    # link lists alone
-    [(3, 1, 0, 0, 0, 1, 0), (4, 1, 0, 0, 0, 1, 0), (6, 1, 0, 0, 0, 1, 0), (8, 0.9, 0, 0, 0, 1, 0), (12, 1, 0, 0, 0, 1, 0), (2, 0, 0, 0, 1, 0, 0), (4, 1, 0, 0, 0, 1, 0)],
-    # furniture only, marked
-    [(30, 0, 0, 1, 0, 0, 0), (5, 0, 0, 1, 1, 0, 0), (70, 0.2, 0, 1, 0, 0, 0), (2, 1, 0, 1, 0, 1, 0), (16, 0, 1, 1, 0, 1, 0), (11, 0.5, 1, 1, 0, 0, 0)],
-    # short blocks of an article next to links and furniture
-    [(2, 1, 0, 1, 0, 1, 0), (1, 0, 1, 0, 1, 0, 1), (1, 0, 1, 0, 0, 0, 1), (3, 1, 1, 1, 0, 0, 0), (2, 0, 1, 0, 0, 0, 1), (6, 1, 1, 0, 0, 0, 1), (1, 0, 1, 0, 0, 0, 1), (4, 0.9, 1, 1, 0, 1, 0), (5, 1, 0, 1, 0, 1, 0)],
-    [(5, 0.5, 1, 0, 0, 0, 1), (2, 0, 1, 0, 0, 1, 1), (1, 1, 1, 0, 0, 1, 1), (2, 0.5, 1, 0, 0, 1, 1), (1, 1, 0, 0, 0, 1, 0), (2, 1, 0, 0, 0, 1, 0), (1, 0, 0, 0, 0, 0, 0), (3, 1, 0, 0, 0, 0, 0)],
-    [(1, 0, 0, 0, 0, 0, 0), (2, 1, 0, 0, 0, 0, 0), (2, 0, 0, 0, 0, 0, 0), (1, 1, 0, 0, 0, 1, 0), (2, 0, 1, 0, 0, 0, 1), (2, 0.6, 0, 0, 0, 0, 0), (3, 0.6, 1, 0, 0, 0, 1), (9, 0.7, 0, 0, 0, 0, 0), (14, 0.6, 1, 0, 0, 0, 1)],
-    # footers, notices, sidebars and comments of any length, in and beside an article, last or first
-    [(50, 0, 1, 0, 0, 0, 1), (14, 0, 0, 1, 0, 0, 0)],
-    [(20, 0, 1, 0, 0, 0, 1), (28, 0, 0, 1, 0, 0, 0)],
-    [(12, 0, 0, 1, 0, 0, 0), (35, 0, 1, 0, 0, 0, 1), (20, 0, 0, 1, 0, 0, 0)],
-    [(26, 0, 0, 1, 0, 0, 0), (30, 0, 0, 0, 0, 0, 1), (34, 0, 0, 0, 0, 0, 1), (17, 0, 0, 1, 0, 0, 0)],
-    [(45, 0, 0, 1, 0, 0, 0), (4, 0, 1, 0, 1, 0, 1), (15, 0, 1, 0, 0, 0, 1), (90, 0.1, 1, 1, 0, 0, 0), (18, 0, 1, 0, 0, 0, 1), (24, 0, 1, 1, 0, 0, 0), (7, 0.3, 0, 1, 0, 0, 0)],
-    [(22, 0.3, 0, 1, 0, 0, 0), (19, 0, 0, 1, 0, 0, 0), (27, 0, 1, 1, 0, 0, 0), (16, 0.1, 0, 1, 0, 0, 0), (6, 0, 0, 1, 1, 0, 0), (40, 0, 1, 1, 0, 0, 0), (13, 0, 0, 1, 0, 1, 0)],
-    # links and short blocks at the end of an article
-    [(65, 0, 1, 0, 0, 0, 1), (22, 0.1, 1, 0, 0, 0, 1), (7, 0, 1, 0, 1, 0, 1), (31, 0, 1, 0, 0, 0, 1), (2, 1, 1, 0, 0, 0, 1), (2, 0, 1, 0, 0, 0, 1)],
-)
+def labelled() -> list[tuple[list[float], float]]:
+    """Figures and label (1: main text) of each block of the invented pages."""
+    rows = []
+    for form in PAGES:
+        found = blocks(page(form))
+        rows += zip(with_neighbours([own for _, own in found]), [float(text.startswith("*")) for text, _ in found])
+    return rows
 
 
-def train(spark: SparkSession, depth: int = 6) -> tuple:
-    """A decision tree over FEATURES, fitted to LABELLED: nested (feature, threshold, left, right), leaves 0.0 or 1.0."""
+def train(spark: SparkSession, depth: int = 12) -> tuple:
+    """A decision tree over FEATURES, fitted to ``labelled``: nested (feature, threshold, left, right), leaves 0.0 or 1.0."""
     from pyspark.ml.classification import DecisionTreeClassifier
     from pyspark.ml.linalg import Vectors
 
-    rows = [(Vectors.dense(x), float(b[-1])) for page in LABELLED for x, b in zip(with_neighbours([list(b[:-1]) for b in page]), page)]
-    table = spark.createDataFrame(rows, ["features", "label"])
-    model = DecisionTreeClassifier(maxDepth=depth, seed=1).fit(table.coalesce(1))
+    table = spark.createDataFrame([(Vectors.dense(x), y) for x, y in labelled()], ["features", "label"])
+    model = DecisionTreeClassifier(maxDepth=depth, maxBins=128, seed=1).fit(table.coalesce(1))
     return _parse(iter(model.toDebugString.splitlines()[1:]))
 
 

@@ -34,14 +34,52 @@ def test_main_text(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
-def test_tree_fits_its_labels(spark):
-    tree = html_text.train(spark)
-    for page in html_text.LABELLED:
-        for x, b in zip(html_text.with_neighbours([list(b[:-1]) for b in page]), page):
-            at = tree
-            while isinstance(at, tuple):
-                at = at[2] if x[at[0]] <= at[1] else at[3]
-            assert at == b[-1], (page, b)
+def follow(tree, x):
+    while isinstance(tree, tuple):
+        tree = tree[2] if x[tree[0]] <= tree[1] else tree[3]
+    return tree
+
+
+def features_of(tree):
+    return {html_text.FEATURES[tree[0]]} | features_of(tree[2]) | features_of(tree[3]) if isinstance(tree, tuple) else set()
+
+
+def test_tree_fits_its_labels_and_needs_neighbours(spark):
+    tree, rows = html_text.train(spark), html_text.labelled()
+    assert all(follow(tree, x) == y for x, y in rows)
+    around = [k for k, n in enumerate(html_text.FEATURES) if n.endswith(("_before", "_after"))]
+    assert len({html_text.FEATURES[k] for k in around} & features_of(tree)) >= 2
+    alone = lambda x: tuple(v for k, v in enumerate(x) if k not in around)
+    seen = {}
+    for x, y in rows:
+        seen.setdefault(alone(x), set()).add(y)
+    assert any(len(y) == 2 for y in seen.values())  # blocks that only their neighbours tell apart
+
+
+def test_page_whose_names_tell_nothing(spark):
+    words = lambda n, w="tide": " ".join([w] * n)
+    html = (
+        "<html><body><div>We use cookies to improve your visit. <a href='/ok'>OK</a></div>"
+        "<div class='x1'><a href='/'>Start</a></div><div><a href='/b'>Boats</a></div><div>Menu</div><div><a href='/c'>Crews</a></div>"
+        f"<h1>News of the harbour</h1><div>{words(35)}</div><div>Short one here.</div><div>{words(52, 'net')} &#8212; <a href='/z'>more</a></div>"
+        "<div><a href='/1'>Older post about the tide</a></div><div><a href='/2'>Newer post about nets</a></div>"
+        "<div>Copyright 2021 Harbour Press. All rights reserved.</div></body></html>"
+    )
+    got = html_text.extract(spark.createDataFrame([(1, html), (1, html)], "page_id long, html string")).collect()
+    assert [r["text"] for r in got] == [f"News of the harbour\n{words(35)}\nShort one here.\n{words(52, 'net')} \u2014 more"] * 2
+
+
+def test_white_space_and_references(spark):
+    html = "<article><p> a&nbsp;b \t\n c&#32; d </p><p>&lt;p&gt; &eacute;</p></article>"
+    got = html_text.extract(spark.createDataFrame([(html, "x", 3)], "html string, TEXT string, N_CHARS int")).collect()
+    assert got[0]["text"] == "a\u00a0b c d\n<p> \u00e9" and got[0]["n_chars"] == 13
+
+
+def test_articles_of_the_given_pages(spark):
+    pages = spark.read.parquet(f"{SMALL}/pages.parquet")
+    for r in html_text.extract(pages).collect():
+        inside = r["html"][r["html"].index("<article>") : r["html"].index("<footer")]
+        assert r["text"] == "\n".join(t for t, _ in html_text.blocks(inside))
 
 
 def test_warc_round_trip(spark):
