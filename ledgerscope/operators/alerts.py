@@ -7,6 +7,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerscope.sources import tables
+
 #: Detectors by alert type; any other detector is ``single_txn_spike``.
 ALERT_TYPES = {
     "mcc_peer_discrepancy": ("count_vs_mcc_peers", "level_shift_ramp", "merchant_level_vs_mcc_peers", "ticket_vs_mcc_peers"),
@@ -34,17 +36,11 @@ def alert_type(detector: Column) -> Column:
 def rank(hits: DataFrame, lanes: DataFrame) -> DataFrame:
     """One alert for each hit, numbered from 1 by (score down, merchant, detector, feature, value).
 
-    Numbers are made without one global sort task: rows are dealt to ranges of the order, counted
-    by range, and numbered within.
+    Scores that are equal to six places count as equal, so that the order doesn't hang on the last bits of a sum.
     """
-    order = [F.desc("sub_score"), F.asc("merchant_id"), F.asc("detector"), F.asc("feature_name"), F.asc("merchant_value")]
+    order = [F.desc(F.round("sub_score", 6)), F.asc("merchant_id"), F.asc("detector"), F.asc("feature_name"), F.asc("merchant_value")]
     named = hits.join(lanes, "merchant_id", "left").withColumn("lane", F.coalesce("lane", F.lit("B"))).withColumn("alert_type", alert_type(F.col("detector")))
-    ranged = named.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
-    sizes = ranged.groupBy("__part").agg(F.count("*").alias("__c"))
-    before = sizes.select("__part", F.coalesce(F.sum("__c").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    numbered = ranged.join(F.broadcast(before), "__part")
-    place = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) + F.col("__before")
-    return numbered.withColumn("rank", place.cast("long")).withColumn("blended_score", F.col("sub_score")).drop("__part", "__before")
+    return tables.numbered(named, order, "rank").withColumn("blended_score", F.col("sub_score"))
 
 
 def supersede(runs: DataFrame, run_id: int, as_of: str, now: datetime) -> DataFrame:

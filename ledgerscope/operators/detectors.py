@@ -5,9 +5,10 @@ Every detector gives hits in HIT_COLUMNS; ``evidence`` is the number of rows tha
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Mapping
+from dataclasses import dataclass, field, replace
 from datetime import datetime
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from ledgerscope.functions import density, robust
 from ledgerscope.operators import baselines as bl
 from ledgerscope.operators.predicates import HOME, UNSETTLED, baseline_span, by_mcc, dated, fires, has_card_origin, micros, not_refund, scored_day, settled_sale
+from ledgerscope.sources import tables
 
 HIT_COLUMNS = ("merchant_id", "family", "detector", "sub_score", "feature_name", "merchant_value", "baseline_value", "deviation", "evidence")
 ORIGIN_PRIOR, SURPRISAL_FLAG = 0.5, 3.0
@@ -42,13 +44,20 @@ class Portfolio:
     as_of: datetime
     tuning: Tuning = Tuning()
     fit: bl.FitSettings = bl.FitSettings()
+    written: Mapping[str, DataFrame] = field(default_factory=dict)
 
     @property
     def span(self):
         return baseline_span(self.as_of, self.fit.window_days, self.fit.lag_days)
 
+    def fitted(self, name: str) -> DataFrame:
+        """A table of FITS: read back if the run has written it, else planned from the ledger."""
+        return self.written[name] if name in self.written else FITS[name](self)
+
     def day(self) -> DataFrame:
         """All rows of the scored day, dated, with their merchants' cohorts."""
+        if "day" in self.written:
+            return self.written["day"]
         rows = dated(self.ledger.where(scored_day(self.as_of).holds(F.col("occurred_at"))))
         return rows.join(self.merchants.select("merchant_id", "mcc", "merchant_subdistrict"), "merchant_id")
 
@@ -57,27 +66,56 @@ class Portfolio:
         return self.day().where(not_refund())
 
 
-def hit(df: DataFrame, detector: str, feature: Column | str, value: Column, base: Column, deviation: Column, score: Column | None = None, evidence: Column | None = None, family: str = "A") -> DataFrame:
-    """Rows of ``df`` as hits; without a score, a tenth of the deviation, at most 1."""
+#: Tables that a run reads more than once: baselines of merchants and cohorts.
+FITS = {
+    "own_amount": lambda p: bl.own_amount(p.ledger, p.merchants, p.span, p.confirmed, p.fit),
+    "rail_amount": lambda p: bl.rail_amount(p.ledger, p.span, p.confirmed, p.fit),
+    "peer_amount": lambda p: bl.peer_amount(p.ledger, p.merchants, p.span, p.confirmed),
+    "own_daily_count": lambda p: bl.own_daily_count(p.ledger, p.span, p.confirmed, p.fit),
+    "peer_daily_count": lambda p: bl.peer_daily_count(p.ledger, p.merchants, p.span, p.confirmed, p.fit),
+    "own_velocity": lambda p: bl.own_velocity(p.ledger, p.span, p.confirmed, p.fit),
+    "own_hours": lambda p: bl.own_hours(p.ledger, p.span, p.fit),
+    "cohort_hours": lambda p: bl.cohort_hours(p.ledger, p.merchants, p.span, "mcc", p.fit),
+    "subdistrict_tickets": lambda p: bl.cohort_tickets(p.ledger, p.merchants, "merchant_subdistrict", p.span, p.confirmed, p.fit),
+    "mcc_tickets": lambda p: bl.cohort_tickets(p.ledger, p.merchants, "mcc", p.span, p.confirmed, p.fit),
+    "own_unsettled": lambda p: bl.own_unsettled(p.ledger, p.span, p.confirmed, p.fit),
+    "peer_unsettled": lambda p: bl.peer_unsettled(p.ledger, p.merchants, p.span, p.confirmed, p.fit),
+    "subdistrict_foreign": lambda p: bl.subdistrict_foreign(p.ledger, p.merchants, p.span, p.confirmed, p.fit),
+    "origin_mix": lambda p: bl.origin_mix(p.ledger, p.span),
+    "trend": lambda p: bl.trend(p.ledger, p.as_of, p.fit),
+    "daily_value": lambda p: bl.daily_value(p.ledger, p.as_of, p.fit),
+    "last_activity": lambda p: bl.last_activity(p.ledger, p.as_of),
+}
+
+
+def hit(
+    df: DataFrame, detector: str, feature: Column | str, value: Column, base: Column, deviation: Column, score: Column | None = None,
+    evidence: Column | None = None, family: str = "A", places: tuple[int | None, int | None, int | None] = (None, None, 2),
+) -> DataFrame:
+    """Rows of ``df`` as hits; without a score, a tenth of the deviation, at most 1.
+
+    ``places`` are those that value, baseline and deviation are rounded to.
+    """
+    value, base, given = (c.cast("double") if n is None else F.round(c.cast("double"), n) for c, n in zip((value, base, deviation), places))
     return df.select(
         "merchant_id",
         F.lit(family).alias("family"),
         F.lit(detector).alias("detector"),
         (F.least(deviation / 10, F.lit(1.0)) if score is None else score).cast("double").alias("sub_score"),
         (F.lit(feature) if isinstance(feature, str) else feature).alias("feature_name"),
-        value.cast("double").alias("merchant_value"),
-        base.cast("double").alias("baseline_value"),
-        deviation.cast("double").alias("deviation"),
+        value.alias("merchant_value"),
+        base.alias("baseline_value"),
+        given.alias("deviation"),
         (F.lit(0) if evidence is None else evidence).cast("long").alias("evidence"),
     )
 
 
-def _above(measured: DataFrame, base: DataFrame, key: str, detector: str, feature: str, above_center: bool = False) -> DataFrame:
+def _above(measured: DataFrame, base: DataFrame, key: str, detector: str, feature: str, above_center: bool = False, places: int | None = None) -> DataFrame:
     """Hits of ``measured(merchant_id, key, v, evidence)`` that are outliers of the usable baselines of their key."""
     both = measured.join(base.where("usable").select(key, "center", "dispersion"), key)
     z = robust.modified_z(F.col("v"), F.col("center"), F.col("dispersion"))
     found = both.withColumn("z", z).where((F.col("z") > robust.OUTLIER_Z) & (F.col("v") > F.col("center") if above_center else F.lit(True)))
-    return hit(found, detector, feature, F.col("v"), F.col("center"), F.col("z"), evidence=F.col("evidence"))
+    return hit(found, detector, feature, F.col("v"), F.col("center"), F.col("z"), evidence=F.col("evidence"), places=(places, places, 2))
 
 
 def _counts(p: Portfolio) -> DataFrame:
@@ -86,17 +124,17 @@ def _counts(p: Portfolio) -> DataFrame:
 
 
 def count_vs_own_baseline(p: Portfolio) -> DataFrame:
-    return _above(_counts(p), bl.own_daily_count(p.ledger, p.span, p.confirmed, p.fit), "merchant_id", "count_vs_own_baseline", "daily_count")
+    return _above(_counts(p), p.fitted("own_daily_count"), "merchant_id", "count_vs_own_baseline", "daily_transaction_count")
 
 
 def count_vs_mcc_peers(p: Portfolio) -> DataFrame:
-    return _above(_counts(p), bl.peer_daily_count(p.ledger, p.merchants, p.span, p.confirmed, p.fit), "mcc", "count_vs_mcc_peers", "daily_count_vs_peers")
+    return _above(_counts(p), p.fitted("peer_daily_count"), "mcc", "count_vs_mcc_peers", "daily_count_vs_mcc_peers")
 
 
 def burst_rate_vs_own_baseline(p: Portfolio) -> DataFrame:
     """The most sales within 60 minutes; they are the evidence."""
     peak = p.sales().withColumn("n", bl.in_last_hour(["merchant_id"])).groupBy("merchant_id").agg(F.max("n").alias("v"))
-    return _above(peak.withColumn("evidence", F.col("v")), bl.own_velocity(p.ledger, p.span, p.confirmed, p.fit), "merchant_id", "burst_rate_vs_own_baseline", "peak_hourly_rate")
+    return _above(peak.withColumn("evidence", F.col("v")), p.fitted("own_velocity"), "merchant_id", "burst_rate_vs_own_baseline", "peak_transactions_per_hour")
 
 
 def peak_rows(rows: DataFrame) -> DataFrame:
@@ -118,15 +156,15 @@ def _odd_hours(p: Portfolio, hours: DataFrame, key: str, detector: str, feature:
     )
     deep = density.depth(F.lit(True), F.col("worst.at"), F.col("worst.threshold"))
     score = density.temporal_severity(F.col("odd"), F.col("day"), deep)
-    return hit(day.where("odd > 0"), detector, feature, F.col("worst.hour"), F.col("peak_hour"), F.col("worst.at"), score, F.col("odd"))
+    return hit(day.where("odd > 0"), detector, feature, F.col("worst.hour"), F.col("peak_hour"), F.col("worst.at"), score, F.col("odd"), places=(2, 2, 4))
 
 
 def hour_vs_own_pattern(p: Portfolio) -> DataFrame:
-    return _odd_hours(p, bl.own_hours(p.ledger, p.span, p.fit), "merchant_id", "hour_vs_own_pattern", "transaction_hour")
+    return _odd_hours(p, p.fitted("own_hours"), "merchant_id", "hour_vs_own_pattern", "transaction_hour")
 
 
 def hour_vs_mcc_peers(p: Portfolio) -> DataFrame:
-    return _odd_hours(p, bl.cohort_hours(p.ledger, p.merchants, p.span, "mcc", p.fit), "mcc", "hour_vs_mcc_peers", "hour_vs_trade_hours")
+    return _odd_hours(p, p.fitted("cohort_hours"), "mcc", "hour_vs_mcc_peers", "hour_vs_trade_hours")
 
 
 def surprisal(count: Column, n: Column, kinds: Column) -> Column:
@@ -136,14 +174,14 @@ def surprisal(count: Column, n: Column, kinds: Column) -> Column:
 
 def card_origin_vs_own_mix(p: Portfolio) -> DataFrame:
     """Overseas countries of the day that surprise; of equal surprises the first country by name."""
-    mix = bl.origin_mix(p.ledger, p.span)
+    mix = p.fitted("origin_mix")
     usable = mix.where(F.col("n") >= p.fit.min_origins)
     today = p.sales().where(has_card_origin() & (F.col("card_issuing_country") != HOME)).groupBy("merchant_id", F.col("card_issuing_country").alias("country")).agg(F.count("*").alias("today"))
     totals = today.groupBy("merchant_id").agg(F.sum("today").alias("all_today"))
     each = today.join(usable.select("merchant_id", "n", "kinds").distinct(), "merchant_id").join(usable.select("merchant_id", "country", "c"), ["merchant_id", "country"], "left")
     bits = each.withColumn("c", F.coalesce("c", F.lit(0))).withColumn("bits", surprisal(F.col("c"), F.col("n"), F.col("kinds"))).where(F.col("bits") > SURPRISAL_FLAG)
     worst = bits.groupBy("merchant_id").agg(F.min(F.struct((-F.col("bits")).alias("b"), "country", "today", "c", "n")).alias("w"), F.sum("today").alias("evidence")).join(totals, "merchant_id")
-    return hit(worst, "card_origin_vs_own_mix", F.concat(F.lit("card_origin_"), F.col("w.country")), F.col("w.today") / F.col("all_today"), F.col("w.c") / F.col("w.n"), -F.col("w.b"), evidence=F.col("evidence"))
+    return hit(worst, "card_origin_vs_own_mix", F.concat(F.lit("card_origin_"), F.col("w.country")), F.col("w.today") / F.col("all_today"), F.col("w.c") / F.col("w.n"), -F.col("w.b"), evidence=F.col("evidence"), places=(3, 3, 2))
 
 
 def _tickets(p: Portfolio, base: DataFrame, keys: list[str], detector: str, feature: str, rows: DataFrame | None = None) -> DataFrame:
@@ -153,27 +191,26 @@ def _tickets(p: Portfolio, base: DataFrame, keys: list[str], detector: str, feat
     scored = both.withColumn("z", robust.modified_z(F.col("total_amount"), F.col("center"), F.col("dispersion"))).where(p.tuning.fires(F.col("z"), F.col("total_amount")))
     group = ["merchant_id", *[k for k in keys if k == "card_type"]]
     worst = scored.groupBy(*group).agg(F.max(F.struct("z", "total_amount")).alias("w"), F.first("center").alias("center"), F.count("*").alias("evidence"))
-    named = F.concat(F.lit(f"{feature}_"), F.col("card_type")) if "card_type" in keys else feature
+    named = F.concat(F.lit(f"{feature}_"), F.lower("card_type")) if "card_type" in keys else feature
     return hit(worst, detector, named, F.col("w.total_amount"), F.col("center"), F.col("w.z"), evidence=F.col("evidence"))
 
 
 def ticket_vs_subdistrict_peers(p: Portfolio) -> DataFrame:
-    return _tickets(p, bl.cohort_tickets(p.ledger, p.merchants, "merchant_subdistrict", p.span, p.confirmed, p.fit), ["merchant_subdistrict"], "ticket_vs_subdistrict_peers", "amount_vs_subdistrict")
+    return _tickets(p, p.fitted("subdistrict_tickets"), ["merchant_subdistrict"], "ticket_vs_subdistrict_peers", "ticket_vs_subdistrict_peers")
 
 
 def ticket_vs_mcc_peers(p: Portfolio) -> DataFrame:
-    return _tickets(p, bl.cohort_tickets(p.ledger, p.merchants, "mcc", p.span, p.confirmed, p.fit), ["mcc"], "ticket_vs_mcc_peers", "amount_vs_mcc")
+    return _tickets(p, p.fitted("mcc_tickets"), ["mcc"], "ticket_vs_mcc_peers", "ticket_vs_mcc_peers")
 
 
 def amount_vs_payment_method_baseline(p: Portfolio) -> DataFrame:
     """One hit for each rail."""
-    return _tickets(p, bl.rail_amount(p.ledger, p.span, p.confirmed, p.fit), ["merchant_id", "card_type"], "amount_vs_payment_method_baseline", "amount_on")
+    return _tickets(p, p.fitted("rail_amount"), ["merchant_id", "card_type"], "amount_vs_payment_method_baseline", "amount_on")
 
 
 def amount_vs_own_baseline(p: Portfolio) -> DataFrame:
     """Lane A alone: merchants whose own baseline is usable."""
-    own = bl.own_amount(p.ledger, p.merchants, p.span, p.confirmed, p.fit)
-    return _tickets(p, own, ["merchant_id"], "amount_vs_own_baseline", "total_amount")
+    return _tickets(p, p.fitted("own_amount"), ["merchant_id"], "amount_vs_own_baseline", "ticket_amount")
 
 
 def _day_unsettled(p: Portfolio) -> DataFrame:
@@ -182,24 +219,24 @@ def _day_unsettled(p: Portfolio) -> DataFrame:
 
 
 def unsettled_ratio_vs_own_baseline(p: Portfolio) -> DataFrame:
-    return _above(_day_unsettled(p), bl.own_unsettled(p.ledger, p.span, p.confirmed, p.fit), "merchant_id", "unsettled_ratio_vs_own_baseline", "unsettled_share", True)
+    return _above(_day_unsettled(p), p.fitted("own_unsettled"), "merchant_id", "unsettled_ratio_vs_own_baseline", "unsettled_share_vs_own_history", True, 4)
 
 
 def unsettled_ratio_vs_mcc_peers(p: Portfolio) -> DataFrame:
-    return _above(_day_unsettled(p), bl.peer_unsettled(p.ledger, p.merchants, p.span, p.confirmed, p.fit), "mcc", "unsettled_ratio_vs_mcc_peers", "unsettled_share_vs_peers", True)
+    return _above(_day_unsettled(p), p.fitted("peer_unsettled"), "mcc", "unsettled_ratio_vs_mcc_peers", "unsettled_share_vs_mcc_peers", True, 4)
 
 
 def foreign_card_ratio_vs_subdistrict(p: Portfolio) -> DataFrame:
     share = bl.foreign_share(p.day().where(settled_sale()))
     abroad = p.sales().where(has_card_origin() & (F.col("card_issuing_country") != HOME)).groupBy("merchant_id").agg(F.count("*").alias("evidence"))
     measured = share.withColumnRenamed("share", "v").join(p.merchants.select("merchant_id", "merchant_subdistrict"), "merchant_id").join(abroad, "merchant_id", "left").fillna(0, ["evidence"])
-    return _above(measured, bl.subdistrict_foreign(p.ledger, p.merchants, p.span, p.confirmed, p.fit), "merchant_subdistrict", "foreign_card_ratio_vs_subdistrict", "foreign_card_share")
+    return _above(measured, p.fitted("subdistrict_foreign"), "merchant_subdistrict", "foreign_card_ratio_vs_subdistrict", "foreign_card_share_vs_district", places=3)
 
 
 def merchant_level_vs_mcc_peers(p: Portfolio) -> DataFrame:
     """The merchant's typical amount among its peers'; not comparable without peers, own baseline or sales that day."""
-    own = bl.own_amount(p.ledger, p.merchants, p.span, p.confirmed, p.fit).where("usable and center <> 0").select("merchant_id", F.col("center").alias("own"))
-    peers = bl.peer_amount(p.ledger, p.merchants, p.span, p.confirmed).where("usable").select("mcc", "center", "dispersion")
+    own = p.fitted("own_amount").where("usable and center <> 0").select("merchant_id", F.col("center").alias("own"))
+    peers = p.fitted("peer_amount").where("usable").select("mcc", "center", "dispersion")
     active = p.sales().select("merchant_id").distinct()
     both = own.join(active, "merchant_id").join(p.merchants.select("merchant_id", "mcc"), "merchant_id").join(peers, "mcc")
     found = both.withColumn("z", robust.modified_z(F.col("own"), F.col("center"), F.col("dispersion"))).where(p.tuning.fires(F.col("z"), F.col("own")))
@@ -207,10 +244,10 @@ def merchant_level_vs_mcc_peers(p: Portfolio) -> DataFrame:
 
 
 def level_shift_ramp(p: Portfolio) -> DataFrame:
-    ramps = bl.trend(p.ledger, p.as_of, p.fit).where("is_ramp").withColumn("ratio", F.round("trend_ratio", 3))
-    own = bl.own_amount(p.ledger, p.merchants, p.span, p.confirmed, p.fit).select("merchant_id", "center")
+    ramps = p.fitted("trend").where("is_ramp").withColumn("ratio", F.round("trend_ratio", 3))
+    own = p.fitted("own_amount").select("merchant_id", "center")
     found = ramps.join(own, "merchant_id")
-    return hit(found, "level_shift_ramp", "level_shift_7d_vs_90d", F.col("center"), F.col("center") / F.col("ratio"), F.col("ratio"))
+    return hit(found, "level_shift_ramp", "level_shift_7d_vs_90d", F.col("center"), F.col("center") / F.col("ratio"), F.col("ratio"), places=(None, None, 3))
 
 
 DETECTORS = (
@@ -228,5 +265,11 @@ def detect(p: Portfolio) -> DataFrame:
 
 def lanes(p: Portfolio) -> DataFrame:
     """(merchant_id, lane): A with a usable baseline of its own, else B."""
-    own = bl.own_amount(p.ledger, p.merchants, p.span, p.confirmed, p.fit)
+    own = p.fitted("own_amount")
     return own.select("merchant_id", F.when(F.col("usable"), "A").otherwise("B").alias("lane"))
+
+
+def write_fits(p: Portfolio) -> Portfolio:
+    """``p`` with FITS and the scored day's rows written once; what reads it reads them back."""
+    made = {name: partial(make, p) for name, make in FITS.items() if name not in p.written}
+    return replace(p, written={**p.written, **tables.write_all(p.ledger.sparkSession, made | {"day": p.day})})

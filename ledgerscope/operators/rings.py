@@ -14,6 +14,7 @@ from ledgerscope.functions import geo
 from ledgerscope.operators.detectors import Portfolio, hit
 from ledgerscope.operators.predicates import fold, has_card, micros
 from ledgerscope.operators.typology import Rule, validate
+from ledgerscope.sources import tables
 
 IDENTITY = ("hashed_br_number", "hashed_merchant_address", "hashed_merchant_name")
 
@@ -38,12 +39,13 @@ def related(merchants: DataFrame) -> DataFrame:
 def card_events(p: Portfolio) -> DataFrame:
     """Card rows of the scored day that are no refunds, whether settled or not, with the card's reference.
 
-    References count the day's cards, wallet tokens among them, in order of their numbers. The rank
-    is over the distinct cards, in ranges, not over the rows.
+    References count the day's cards, wallet tokens among them, in order of their numbers.
     """
+    if "card_events" in p.written:
+        return p.written["card_events"]
     rows = p.sales().where(F.length(fold(F.coalesce("hashed_pan", F.lit("")))) > 0).withColumn("t", micros())
     cards = rows.select("hashed_pan").distinct()
-    refs = cards.withColumn("card_ref", F.concat(F.lit("card "), F.row_number().over(Window.orderBy("hashed_pan"))))
+    refs = tables.numbered(cards, [F.asc("hashed_pan")], "k").select("hashed_pan", F.concat(F.lit("card "), "k").alias("card_ref"))
     return rows.where(has_card()).join(refs, "hashed_pan").select("hashed_pan", "card_ref", "merchant_id", "source_txn_id", "occurred_at", "txn_date", "t")
 
 
@@ -54,7 +56,7 @@ def shared_identity(p: Portfolio, flagged: DataFrame, r: Rule) -> DataFrame:
     live = groups.where((F.col("n") >= r.value("min_members")) & (F.col("k") >= r.value("min_flagged")))
     found = each.join(live, ["attribute", "value"])
     score = F.least(0.4 + 0.1 * F.col("n") + 0.1 * F.col("k"), F.lit(1.0))
-    return hit(found, r.name, F.concat(F.lit("shared_"), F.col("attribute")), F.col("n"), F.lit(r.value("min_members")), F.col("n") - r.value("min_members"), score, F.col("k"), "C")
+    return hit(found, r.name, F.concat(F.lit("merchants_sharing_"), F.col("attribute")), F.col("n"), F.lit(r.value("min_members")), F.col("n") - r.value("min_members"), score, F.col("k"), "C")
 
 
 def agent_concentration(p: Portfolio, flagged: DataFrame, r: Rule) -> DataFrame:
@@ -65,7 +67,7 @@ def agent_concentration(p: Portfolio, flagged: DataFrame, r: Rule) -> DataFrame:
     books = flags.groupBy("agent_id").agg(F.count("*").alias("n"), F.count("flag").alias("k")).withColumn("v", F.col("k") / F.col("n"))
     live = books.join(rate).where((F.col("portfolio") > 0) & (F.col("n") >= r.value("min_merchants")) & (F.col("v") >= F.col("portfolio") * r.value("rate_multiple")))
     found = flags.where("flag = 1").join(live, "agent_id")
-    return hit(found, r.name, "agent_book_alert_rate", F.col("v"), F.col("portfolio"), F.col("v") / F.col("portfolio"), F.least("v", F.lit(1.0)), F.col("k"), "C")
+    return hit(found, r.name, "agent_book_alert_rate", F.col("v"), F.col("portfolio"), F.col("v") / F.col("portfolio"), F.least("v", F.lit(1.0)), F.col("k"), "C", (4, 4, 2))
 
 
 def _busiest(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -137,7 +139,7 @@ def geo_velocity(p: Portfolio, flagged: DataFrame, r: Rule, places: DataFrame) -
     worst = legs(p, places, r).groupBy("hashed_pan").agg(F.min(F.struct(-F.col("kmh"), "source_txn_id", "merchant_id")).alias("w"), F.count("*").alias("evidence"))
     found = worst.select(F.col("w.merchant_id").alias("merchant_id"), (-F.col("w.col1")).alias("kmh"), "evidence")
     limit = r.value("max_kmh")
-    return hit(found, r.name, "implied_speed_kmh", F.col("kmh"), F.lit(limit), F.col("kmh") / limit, F.least(F.col("kmh") / (4 * limit), F.lit(1.0)), F.col("evidence"), "C")
+    return hit(found, r.name, "implied_travel_speed_kmh", F.col("kmh"), F.lit(limit), F.col("kmh") / limit, F.least(F.col("kmh") / (4 * limit), F.lit(1.0)), F.col("evidence"), "C", (1, None, 2))
 
 
 EVALUATORS = {

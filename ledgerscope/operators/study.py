@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerscope.operators import baselines as bl, detectors as det
+from ledgerscope.operators import detectors as det
 from ledgerscope.operators.detectors import Portfolio, Tuning
 from ledgerscope.operators.predicates import HOME, has_card_origin, settled_sale
 from ledgerscope.operators.typology import Rule, day_features, evaluate
@@ -31,37 +31,36 @@ class Study(Portfolio):
 
 def comparable(p: Portfolio) -> DataFrame:
     """(merchant_id, detector): checks whose baseline is usable and that have rows of the day to compare."""
-    args = (p.ledger, p.span, p.confirmed, p.fit)
-    cohort = (p.ledger, p.merchants, p.span, p.confirmed)
     sales, day = p.sales().select("merchant_id").distinct(), p.day().select("merchant_id").distinct()
     abroad = p.sales().where(has_card_origin() & (F.col("card_issuing_country") != HOME)).select("merchant_id").distinct()
     cards = p.day().where(settled_sale() & has_card_origin()).select("merchant_id").distinct()
     by = lambda base, key: base.where("usable").join(p.merchants, key).select("merchant_id") if key != "merchant_id" else base.where("usable").select("merchant_id")
-    own = bl.own_amount(p.ledger, p.merchants, p.span, p.confirmed, p.fit)
-    mix = bl.origin_mix(p.ledger, p.span).where(F.col("n") >= p.fit.min_origins).select("merchant_id").distinct()
-    peers = by(bl.peer_amount(*cohort), "mcc")
+    own = p.fitted("own_amount")
+    mix = p.fitted("origin_mix").where(F.col("n") >= p.fit.min_origins).select("merchant_id").distinct()
+    peers = by(p.fitted("peer_amount"), "mcc")
     gates = {
         "amount_vs_own_baseline": (by(own, "merchant_id"), sales),
-        "count_vs_own_baseline": (by(bl.own_daily_count(*args), "merchant_id"), sales),
-        "burst_rate_vs_own_baseline": (by(bl.own_velocity(*args), "merchant_id"), sales),
+        "count_vs_own_baseline": (by(p.fitted("own_daily_count"), "merchant_id"), sales),
+        "burst_rate_vs_own_baseline": (by(p.fitted("own_velocity"), "merchant_id"), sales),
         "level_shift_ramp": (p.merchants.select("merchant_id"), p.merchants.select("merchant_id")),
-        "hour_vs_own_pattern": (by(bl.own_hours(p.ledger, p.span, p.fit), "merchant_id"), sales),
+        "hour_vs_own_pattern": (by(p.fitted("own_hours"), "merchant_id"), sales),
         "card_origin_vs_own_mix": (mix, abroad),
-        "ticket_vs_mcc_peers": (by(bl.cohort_tickets(p.ledger, p.merchants, "mcc", p.span, p.confirmed, p.fit), "mcc"), sales),
+        "ticket_vs_mcc_peers": (by(p.fitted("mcc_tickets"), "mcc"), sales),
         "merchant_level_vs_mcc_peers": (own.where("usable and center <> 0").join(peers, "merchant_id", "left_semi").select("merchant_id"), sales),
-        "count_vs_mcc_peers": (by(bl.peer_daily_count(*cohort, p.fit), "mcc"), sales),
-        "hour_vs_mcc_peers": (by(bl.cohort_hours(p.ledger, p.merchants, p.span, "mcc", p.fit), "mcc"), sales),
-        "ticket_vs_subdistrict_peers": (by(bl.cohort_tickets(p.ledger, p.merchants, "merchant_subdistrict", p.span, p.confirmed, p.fit), "merchant_subdistrict"), sales),
-        "foreign_card_ratio_vs_subdistrict": (by(bl.subdistrict_foreign(*cohort, p.fit), "merchant_subdistrict"), cards),
-        "unsettled_ratio_vs_own_baseline": (by(bl.own_unsettled(*args), "merchant_id"), day),
-        "unsettled_ratio_vs_mcc_peers": (by(bl.peer_unsettled(*cohort, p.fit), "mcc"), day),
+        "count_vs_mcc_peers": (by(p.fitted("peer_daily_count"), "mcc"), sales),
+        "hour_vs_mcc_peers": (by(p.fitted("cohort_hours"), "mcc"), sales),
+        "ticket_vs_subdistrict_peers": (by(p.fitted("subdistrict_tickets"), "merchant_subdistrict"), sales),
+        "foreign_card_ratio_vs_subdistrict": (by(p.fitted("subdistrict_foreign"), "merchant_subdistrict"), cards),
+        "unsettled_ratio_vs_own_baseline": (by(p.fitted("own_unsettled"), "merchant_id"), day),
+        "unsettled_ratio_vs_mcc_peers": (by(p.fitted("peer_unsettled"), "mcc"), day),
     }
     return reduce(DataFrame.unionByName, [base.join(rows, "merchant_id", "left_semi").select("merchant_id", F.lit(d).alias("detector")) for d, (base, rows) in gates.items()])
 
 
 def study(p: Portfolio) -> DataFrame:
     """(merchant_id, step, detector, status): FAIL, OK or SKIP for each of 14 checks, at fixed cut-offs without a materiality floor."""
-    s = Study(p.ledger, p.merchants, p.confirmed, p.as_of, Tuning(materiality_floor=float("-inf")), p.fit)
+    fits = det.write_fits(p).written
+    s = Study(p.ledger, p.merchants, p.confirmed, p.as_of, Tuning(materiality_floor=float("-inf")), p.fit, fits)
     checks = {d.__name__: d for d in det.DETECTORS}
     failed = reduce(DataFrame.unionByName, [checks[d](s).select("merchant_id", "detector").distinct() for d in ORDER]).withColumn("failed", F.lit(True))
     live = comparable(s).withColumn("live", F.lit(True))

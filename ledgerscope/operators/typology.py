@@ -92,9 +92,9 @@ def day_features(p: Portfolio) -> DataFrame:
     refund = F.coalesce("is_refund", F.lit(False))
     settled = ~refund & ~status.isin("DECLINED", "CANCELLED", "VOIDED")
     amount = F.coalesce("total_amount", F.lit(0.0))
-    own = bl.own_amount(p.ledger, p.merchants, p.span, p.confirmed, p.fit).select("merchant_id", F.col("center").alias("own_center"))
-    peers = bl.peer_amount(p.ledger, p.merchants, p.span, p.confirmed).select("mcc", F.col("center").alias("cohort_center"))
-    hours = bl.cohort_hours(p.ledger, p.merchants, p.span, "mcc", p.fit).select("mcc", "density", F.round("threshold", 6).alias("threshold"))
+    own = p.fitted("own_amount").select("merchant_id", F.col("center").alias("own_center"))
+    peers = p.fitted("peer_amount").select("mcc", F.col("center").alias("cohort_center"))
+    hours = p.fitted("cohort_hours").select("mcc", "density", F.round("threshold", 6).alias("threshold"))
     rows = p.day().join(hours, "mcc", "left").withColumn("inside", F.round(density.density_at(F.col("density"), density.bin_of()), 6) >= F.col("threshold"))
     day = rows.groupBy("merchant_id", "mcc").agg(
         F.count("*").alias("rows"),
@@ -107,7 +107,7 @@ def day_features(p: Portfolio) -> DataFrame:
         F.count(F.when(F.col("inside"), 1)).alias("inside"),
         F.max(F.col("density").isNotNull()).alias("has_hours"),
     )
-    return day.join(own, "merchant_id", "left").join(peers, "mcc", "left").join(bl.last_activity(p.ledger, p.as_of), "merchant_id", "left")
+    return day.join(own, "merchant_id", "left").join(peers, "mcc", "left").join(p.fitted("last_activity"), "merchant_id", "left")
 
 
 def structuring(p: Portfolio, f: DataFrame, r: Rule) -> DataFrame:
@@ -117,47 +117,47 @@ def structuring(p: Portfolio, f: DataFrame, r: Rule) -> DataFrame:
     counts = near.groupBy("merchant_id").agg(F.count("*").alias("near"))
     found = f.join(counts, "merchant_id").where((F.col("own_center") < top * r.value("max_baseline_ratio")) & (F.col("near") >= r.value("min_count")))
     n = F.col("near")
-    return hit(found, r.name, "count_below_threshold", n, F.lit(r.value("min_count")), n - r.value("min_count"), F.least(0.55 + 0.05 * (n - r.value("min_count")), F.lit(1.0)), n, "B")
+    return hit(found, r.name, "near_threshold_transaction_count", n, F.lit(r.value("min_count")), n - r.value("min_count"), F.least(0.55 + 0.05 * (n - r.value("min_count")), F.lit(1.0)), n, "B")
 
 
 def refund_ratio(p: Portfolio, f: DataFrame, r: Rule) -> DataFrame:
     found = f.where((F.col("refunds") >= r.value("min_refunds")) & (F.col("gross") > 0)).withColumn("v", F.col("refunded") / F.col("gross")).where(F.col("v") >= r.value("ratio"))
-    return hit(found, r.name, "refund_ratio", F.col("v"), F.lit(r.value("ratio")), F.col("v") - r.value("ratio"), F.least("v", F.lit(1.0)), F.col("refunds"), "B")
+    return hit(found, r.name, "refund_value_share", F.col("v"), F.lit(r.value("ratio")), F.col("v") - r.value("ratio"), F.least("v", F.lit(1.0)), F.col("refunds"), "B", (4, None, 4))
 
 
 def bust_out(p: Portfolio, f: DataFrame, r: Rule) -> DataFrame:
     """The last active days' median value against all earlier ones'. Days are few, so a window ranks them."""
     recent = int(r.value("recent_days"))
     w = Window.partitionBy("merchant_id")
-    ranked = bl.daily_value(p.ledger, p.as_of, p.fit).withColumn("k", F.row_number().over(w.orderBy(F.desc("txn_date")))).withColumn("days", F.count("*").over(w)).where(F.col("days") >= 2 * recent)
+    ranked = p.fitted("daily_value").withColumn("k", F.row_number().over(w.orderBy(F.desc("txn_date")))).withColumn("days", F.count("*").over(w)).where(F.col("days") >= 2 * recent)
     levels = ranked.groupBy("merchant_id").agg(F.median(F.when(F.col("k") <= recent, F.col("gross"))).alias("now"), F.median(F.when(F.col("k") > recent, F.col("gross"))).alias("before"))
     share = F.when(F.col("gross") > 0, F.col("refunded") / F.col("gross")).otherwise(F.lit(0.0))
     found = f.join(levels.where("before > 0"), "merchant_id").withColumn("v", F.col("now") / F.col("before")).where((F.col("v") >= r.value("spike_ratio")) & (share >= r.value("refund_ratio")))
-    return hit(found, r.name, "recent_vs_earlier_daily_value", F.col("now"), F.col("before"), F.col("v"), evidence=F.col("refunds"), family="B")
+    return hit(found, r.name, "recent_vs_earlier_daily_value", F.col("now"), F.col("before"), F.col("v"), evidence=F.col("refunds"), family="B", places=(2, 2, 2))
 
 
 def dormant(p: Portfolio, f: DataFrame, r: Rule) -> DataFrame:
     gap = F.datediff(F.lit(scored_day(p.as_of).start.date().isoformat()).cast("date"), F.col("last_active"))
     found = f.withColumn("gap", gap).where((F.col("gap") >= r.value("silence_days")) & (F.col("settled") >= r.value("return_count")))
-    return hit(found, r.name, "days_silent", F.col("gap"), F.lit(r.value("silence_days")), F.col("gap") - r.value("silence_days"), F.least(0.5 + F.col("gap") / 365, F.lit(1.0)), F.col("settled"), "B")
+    return hit(found, r.name, "days_dormant_before_return", F.col("gap"), F.lit(r.value("silence_days")), F.col("gap") - r.value("silence_days"), F.least(0.5 + F.col("gap") / 365, F.lit(1.0)), F.col("settled"), "B")
 
 
 def rapid_movement(p: Portfolio, f: DataFrame, r: Rule) -> DataFrame:
     limit = r.value("match_tolerance")
     live = f.where((F.col("gross") >= r.value("min_value")) & (F.col("gross") > 0) & (F.col("refunded") > 0))
     found = live.withColumn("v", F.abs(F.col("gross") - F.col("refunded")) / F.col("gross")).where(F.col("v") <= limit)
-    return hit(found, r.name, "same_day_in_out_mismatch", F.col("v"), F.lit(limit), limit - F.col("v"), F.least(0.6 + (limit - F.col("v")), F.lit(1.0)), F.col("settled") + F.col("refunds"), "B")
+    return hit(found, r.name, "same_day_in_out_mismatch", F.col("v"), F.lit(limit), limit - F.col("v"), F.least(0.6 + (limit - F.col("v")), F.lit(1.0)), F.col("settled") + F.col("refunds"), "B", (4, None, 4))
 
 
 def declared_mismatch(p: Portfolio, f: DataFrame, r: Rule) -> DataFrame:
     live = f.where("own_center <> 0 and cohort_center > 0 and has_hours").withColumn("v", F.col("own_center") / F.col("cohort_center")).withColumn("overlap", F.col("inside") / F.col("rows"))
     found = live.where((F.col("v") >= r.value("ticket_ratio")) & (F.col("overlap") < r.value("hours_overlap")))
-    return hit(found, r.name, "declared_category_divergence", F.col("v"), F.lit(r.value("ticket_ratio")), F.col("v") - r.value("ticket_ratio"), F.least(F.col("v") / 20 + (1 - F.col("overlap")) / 2, F.lit(1.0)), F.col("rows") - F.col("inside"), "B")
+    return hit(found, r.name, "declared_category_divergence", F.col("v"), F.lit(r.value("ticket_ratio")), F.col("v") - r.value("ticket_ratio"), F.least(F.col("v") / 20 + (1 - F.col("overlap")) / 2, F.lit(1.0)), F.col("rows") - F.col("inside"), "B", (2, None, 2))
 
 
 def decline_ratio(p: Portfolio, f: DataFrame, r: Rule) -> DataFrame:
     found = f.where(F.col("attempts") >= r.value("min_attempts")).withColumn("v", F.col("declined") / F.col("attempts")).where(F.col("v") >= r.value("ratio"))
-    return hit(found, r.name, "decline_ratio", F.col("v"), F.lit(r.value("ratio")), F.col("v") - r.value("ratio"), F.least("v", F.lit(1.0)), F.col("declined"), "B")
+    return hit(found, r.name, "declined_authorisation_share", F.col("v"), F.lit(r.value("ratio")), F.col("v") - r.value("ratio"), F.least("v", F.lit(1.0)), F.col("declined"), "B", (4, None, 4))
 
 
 EVALUATORS = {

@@ -2,23 +2,35 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+from functools import partial, reduce
+
 from pyspark.sql import DataFrame
 
 from ledgerscope.operators import alerts, detectors, rings, typology
 from ledgerscope.operators.detectors import Portfolio
 from ledgerscope.operators.typology import DEFAULT_RULES, Rule
+from ledgerscope.sources import tables
 
 
 def score(p: Portfolio, places: DataFrame, rules: list[Rule] = DEFAULT_RULES, open_alerts: DataFrame | None = None) -> DataFrame:
     """Ranked alerts of the scored day, one for each hit.
 
-    Families A and B come first; the merchants they flag, and those with ``open_alerts``, are what
-    the rules of family C call flagged.
+    Baselines and the day's rows are written once and read by every check; so are each check's
+    hits. Families A and B come first; the merchants they flag, and those with ``open_alerts``, are
+    what the rules of family C call flagged.
     """
-    first = detectors.detect(p).unionByName(typology.evaluate(p, rules))
-    first = first.persist()
+    spark = p.ledger.sparkSession
+    p = detectors.write_fits(p)
+    p = replace(p, written={**p.written, **tables.write_all(spark, {"features": partial(typology.day_features, p), "card_events": partial(rings.card_events, p)})})
+    checks = {d.__name__: partial(d, p) for d in detectors.DETECTORS}
+    for r in (r for r in rules if r.enabled and r.template in typology.EVALUATORS):
+        checks[f"rule-{r.name}"] = partial(typology.evaluate, p, [r], p.written["features"])
+    typology.validate(rules)
+    first = reduce(DataFrame.unionByName, tables.write_all(spark, checks).values())
     flagged = first.select("merchant_id")
     if open_alerts is not None:
         flagged = flagged.union(open_alerts.select("merchant_id"))
-    found = first.unionByName(rings.evaluate(p, flagged.distinct(), places, rules))
-    return alerts.rank(found, detectors.lanes(p))
+    flagged = tables.write(flagged.distinct(), "flagged")
+    rung = tables.write_all(spark, {f"ring-{r.name}": partial(rings.evaluate, p, flagged, places, [r]) for r in rules if r.enabled and r.template in rings.EVALUATORS})
+    return alerts.rank(reduce(DataFrame.unionByName, rung.values(), first), detectors.lanes(p))

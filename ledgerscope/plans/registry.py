@@ -7,9 +7,10 @@ six places, dates and times are text, so that two engines give equal values.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerscope.functions import geo, robust
@@ -17,7 +18,7 @@ from ledgerscope.operators import alerts, baselines as bl, detectors as det, pre
 from ledgerscope.operators.detectors import Portfolio, Tuning
 from ledgerscope.operators.typology import Rule
 from ledgerscope.plans import nightly
-from ledgerscope.sources import fixture, ingest
+from ledgerscope.sources import fixture, ingest, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -43,6 +44,12 @@ def portfolio(spark: SparkSession, sf_dir: str) -> Portfolio:
     return Portfolio(fixture.ledger(spark, sf_dir), fixture.merchants(spark, sf_dir), fixture.confirmed_days(spark, sf_dir), AS_OF, TUNING)
 
 
+def stored(p: Portfolio) -> Portfolio:
+    """The portfolio of a fixture that is read many times, its tables written once."""
+    made = tables.write_all(p.ledger.sparkSession, {"ledger": lambda: p.ledger, "merchants": lambda: p.merchants, "confirmed": lambda: p.confirmed})
+    return replace(p, **made)
+
+
 def tidy(df: DataFrame) -> DataFrame:
     """Floats to six places, dates and times as text."""
     kinds = dict(df.dtypes)
@@ -226,7 +233,7 @@ query("a15_own_unsettled", f", {UNSETTLED} SELECT merchant_id, {_FIT} FROM uns")
 query("a16_peer_unsettled", f", {PEER_UNSETTLED} SELECT mcc, {_FIT} FROM puns")(lambda p: bl.peer_unsettled(p.ledger, p.merchants, p.span, p.confirmed).select("mcc", *_COLS))
 query("a17_day_unsettled_share", f"SELECT merchant_id, round(avg(CASE WHEN {_UNSETTLED} THEN 1.0 ELSE 0.0 END), 6) AS share FROM dy GROUP BY 1")(lambda p: bl.unsettled_share(p.day(), ["merchant_id"]))
 query("a18_trend", f", {TREND} SELECT merchant_id, {_r('trend_short', 'trend_long', 'trend_ratio')}, is_ramp FROM trend")(lambda p: bl.trend(p.ledger, p.as_of))
-_HOURS = f"n, {_r('threshold', 'peak_hour')}, round(list_sum(list_transform(density, lambda x: x * x)), 6) AS sharpness"
+_HOURS = f"n, round(threshold, 6) AS threshold, CAST(peak_hour AS DOUBLE) AS peak_hour, round(list_sum(list_transform(density, lambda x: x * x)), 6) AS sharpness"
 
 
 def _sharp():
@@ -269,11 +276,12 @@ query("w02_peak_rows", """, pk AS (SELECT *, epoch_us(occurred_at) AS t, count(*
 # ---- detectors of family A -----------------------------------------------------------------
 
 
-def hits(detector: str, source: str, feature: str, value: str, base: str, deviation: str, score: str | None = None, evidence: str = "0", family: str = "A") -> str:
+def hits(detector: str, source: str, feature: str, value: str, base: str, deviation: str, score: str | None = None, evidence: str = "0", family: str = "A", places: tuple = (None, None, 2)) -> str:
     """SELECT of hits; ``feature`` is SQL."""
     score = score or f"least(({deviation}) / 10.0, 1.0)"
+    at = [6 if n is None else n for n in places]
     return f"""SELECT merchant_id, '{family}' AS family, '{detector}' AS detector, round(CAST({score} AS DOUBLE), 6) AS sub_score, {feature} AS feature_name,
-    round(CAST({value} AS DOUBLE), 6) AS merchant_value, round(CAST({base} AS DOUBLE), 6) AS baseline_value, round(CAST({deviation} AS DOUBLE), 6) AS deviation,
+    round(CAST({value} AS DOUBLE), {at[0]}) AS merchant_value, round(CAST({base} AS DOUBLE), {at[1]}) AS baseline_value, round(CAST({deviation} AS DOUBLE), {at[2]}) AS deviation,
     CAST({evidence} AS BIGINT) AS evidence FROM {source}"""
 
 
@@ -283,21 +291,21 @@ _DAY_PEAK = """np AS (SELECT merchant_id, max(k) AS v FROM (SELECT merchant_id,
 _DAY_UNSETTLED = f"nu AS (SELECT merchant_id, mcc, avg(CASE WHEN {_UNSETTLED} THEN 1.0 ELSE 0.0 END) AS v, count(*) FILTER ({_UNSETTLED}) AS e FROM dy GROUP BY 1, 2)"
 
 
-def above(detector: str, feature: str, day: str, base: str, key: str, evidence: str, center: bool = False) -> str:
+def above(detector: str, feature: str, day: str, base: str, key: str, evidence: str, center: bool = False, places: int | None = None) -> str:
     both = f"(SELECT d.*, center, dispersion, {_Z.format(v='d.v')} AS z FROM {day} d JOIN {base} b USING ({key}) WHERE usable) WHERE z > 3.5" + (" AND v > center" if center else "")
-    return hits(detector, both, f"'{feature}'", "v", "center", "z", evidence=evidence)
+    return hits(detector, both, f"'{feature}'", "v", "center", "z", evidence=evidence, places=(places, places, 2))
 
 
 def odd(detector: str, feature: str, name: str, key: str) -> str:
     return f"""ow AS (SELECT s.merchant_id, hour(occurred_at) + minute(occurred_at) / 60.0 + second(occurred_at) / 3600.0 AS hour, round(density[{_BIN} + 1], 6) AS dn, round(threshold, 6) AS thr, peak_hour
       FROM sales s JOIN {name} h USING ({key}) WHERE h.n >= 20),
     oa AS (SELECT merchant_id, count(*) AS day, count(*) FILTER (thr > 0 AND dn < thr) AS odd, any_value(peak_hour) AS peak, min((dn, hour, thr)) FILTER (thr > 0 AND dn < thr) AS w FROM ow GROUP BY 1)
-    """ + hits(detector, "oa WHERE odd > 0", f"'{feature}'", "w[2]", "peak", "w[1]", "least(0.55 * least(ln(1 + odd) / ln(101.0), 1.0) + 0.30 * odd / greatest(day, odd) + 0.15 * greatest(0, least(1, 1 - w[1] / w[3])), 1)", "odd")
+    """ + hits(detector, "oa WHERE odd > 0", f"'{feature}'", "w[2]", "peak", "w[1]", "least(0.55 * least(ln(1 + odd) / ln(101.0), 1.0) + 0.30 * odd / greatest(day, odd) + 0.15 * greatest(0, least(1, 1 - w[1] / w[3])), 1)", "odd", places=(2, 2, 4))
 
 
 def tickets(detector: str, feature: str, base: str, key: str) -> str:
     rail = ", card_type" if "card_type" in key else ""
-    name = f"'{feature}_' || card_type" if rail else f"'{feature}'"
+    name = f"'{feature}_' || lower(card_type)" if rail else f"'{feature}'"
     src = f"""(SELECT merchant_id{rail}, max((z, total_amount)) AS w, any_value(center) AS center, count(*) AS e FROM
       (SELECT s.merchant_id{", s.card_type" if rail else ""}, total_amount, center, {_Z.format(v="total_amount")} AS z FROM sales s JOIN {base} b USING ({key}) WHERE usable) WHERE z > 3.5 AND total_amount >= 0 GROUP BY merchant_id{rail})"""
     return hits(detector, src, name, "w[2]", "center", "w[1]", evidence="e")
@@ -311,26 +319,26 @@ _ORIGIN_HITS = """td AS (SELECT merchant_id, card_issuing_country AS country, co
 _SHARE_ABROAD = f"nf AS (SELECT merchant_id, avg(CASE WHEN card_issuing_country <> 'HK' THEN 1.0 ELSE 0.0 END) AS v FROM dy WHERE {_SETTLED} AND card_issuing_country <> '' GROUP BY 1), na AS (SELECT merchant_id, count(*) AS e FROM sales WHERE card_issuing_country NOT IN ('', 'HK') GROUP BY 1), ng AS (SELECT nf.merchant_id, merchant_subdistrict, v, coalesce(e, 0) AS e FROM nf JOIN merchants USING (merchant_id) LEFT JOIN na USING (merchant_id))"
 _LEVEL = f"ml AS (SELECT o.merchant_id, o.center AS own, p.center, {_Z.format(v='o.center').replace('center) / dispersion', 'p.center) / p.dispersion')} AS z FROM own o JOIN merchants USING (merchant_id) JOIN peer p USING (mcc) WHERE o.usable AND o.center <> 0 AND p.usable AND o.merchant_id IN (SELECT merchant_id FROM sales))"
 DETECTOR_SQL = {
-    "d01_count_vs_own": f"{COUNT}, {_DAY_COUNT} {above('count_vs_own_baseline', 'daily_count', 'nd', 'cnt', 'merchant_id', 'v')}",
-    "d02_count_vs_peers": f"{PEER_COUNT}, {_DAY_COUNT} {above('count_vs_mcc_peers', 'daily_count_vs_peers', 'nd', 'peer_cnt', 'mcc', 'v')}",
-    "d03_burst_rate": f"{VELOCITY}, {_DAY_PEAK} {above('burst_rate_vs_own_baseline', 'peak_hourly_rate', 'np', 'vel', 'merchant_id', 'v')}",
+    "d01_count_vs_own": f"{COUNT}, {_DAY_COUNT} {above('count_vs_own_baseline', 'daily_transaction_count', 'nd', 'cnt', 'merchant_id', 'v')}",
+    "d02_count_vs_peers": f"{PEER_COUNT}, {_DAY_COUNT} {above('count_vs_mcc_peers', 'daily_count_vs_mcc_peers', 'nd', 'peer_cnt', 'mcc', 'v')}",
+    "d03_burst_rate": f"{VELOCITY}, {_DAY_PEAK} {above('burst_rate_vs_own_baseline', 'peak_transactions_per_hour', 'np', 'vel', 'merchant_id', 'v')}",
     "d04_hour_vs_own": f"{OWN_HOURS}, {odd('hour_vs_own_pattern', 'transaction_hour', 'oh', 'merchant_id')}",
-    "d05_card_origin": f"{ORIGINS}, {_ORIGIN_HITS.format(low=20)} {hits('card_origin_vs_own_mix', 'tw', chr(39) + 'card_origin_' + chr(39) + ' || w[2]', 'w[3] / w[6]', 'w[4] / w[5]', '-w[1]', evidence='e')}",
+    "d05_card_origin": f"{ORIGINS}, {_ORIGIN_HITS.format(low=20)} {hits('card_origin_vs_own_mix', 'tw', chr(39) + 'card_origin_' + chr(39) + ' || w[2]', 'w[3] / w[6]', 'w[4] / w[5]', '-w[1]', evidence='e', places=(3, 3, 2))}",
     "d06_hour_vs_peers": f"{COHORT_HOURS}, {odd('hour_vs_mcc_peers', 'hour_vs_trade_hours', 'ch', 'mcc')}",
-    "d07_ticket_vs_subdistrict": f"{cohort('merchant_subdistrict')} {tickets('ticket_vs_subdistrict_peers', 'amount_vs_subdistrict', 'ct', 'merchant_subdistrict')}",
-    "d08_unsettled_vs_own": f"{UNSETTLED}, {_DAY_UNSETTLED} {above('unsettled_ratio_vs_own_baseline', 'unsettled_share', 'nu', 'uns', 'merchant_id', 'e', True)}",
-    "d09_unsettled_vs_peers": f"{PEER_UNSETTLED}, {_DAY_UNSETTLED} {above('unsettled_ratio_vs_mcc_peers', 'unsettled_share_vs_peers', 'nu', 'puns', 'mcc', 'e', True)}",
-    "d10_foreign_vs_subdistrict": f"{FOREIGN}, {_SHARE_ABROAD} {above('foreign_card_ratio_vs_subdistrict', 'foreign_card_share', 'ng', 'frn', 'merchant_subdistrict', 'e')}",
+    "d07_ticket_vs_subdistrict": f"{cohort('merchant_subdistrict')} {tickets('ticket_vs_subdistrict_peers', 'ticket_vs_subdistrict_peers', 'ct', 'merchant_subdistrict')}",
+    "d08_unsettled_vs_own": f"{UNSETTLED}, {_DAY_UNSETTLED} {above('unsettled_ratio_vs_own_baseline', 'unsettled_share_vs_own_history', 'nu', 'uns', 'merchant_id', 'e', True, 4)}",
+    "d09_unsettled_vs_peers": f"{PEER_UNSETTLED}, {_DAY_UNSETTLED} {above('unsettled_ratio_vs_mcc_peers', 'unsettled_share_vs_mcc_peers', 'nu', 'puns', 'mcc', 'e', True, 4)}",
+    "d10_foreign_vs_subdistrict": f"{FOREIGN}, {_SHARE_ABROAD} {above('foreign_card_ratio_vs_subdistrict', 'foreign_card_share_vs_district', 'ng', 'frn', 'merchant_subdistrict', 'e', places=3)}",
     "d11_amount_on_rail": f"{RAIL} {tickets('amount_vs_payment_method_baseline', 'amount_on', 'rail', 'merchant_id, card_type')}",
-    "d12_ticket_vs_peers": f"{cohort('mcc')} {tickets('ticket_vs_mcc_peers', 'amount_vs_mcc', 'ct', 'mcc')}",
+    "d12_ticket_vs_peers": f"{cohort('mcc')} {tickets('ticket_vs_mcc_peers', 'ticket_vs_mcc_peers', 'ct', 'mcc')}",
     "d13_level_vs_peers": f"{OWN}, {PEER}, {_LEVEL} {hits('merchant_level_vs_mcc_peers', 'ml WHERE z > 3.5', chr(39) + 'typical_ticket_vs_mcc_peers' + chr(39), 'own', 'center', 'z')}",
-    "d14_level_shift": f"{OWN}, {TREND} {hits('level_shift_ramp', 'trend JOIN own USING (merchant_id) WHERE is_ramp', chr(39) + 'level_shift_7d_vs_90d' + chr(39), 'center', 'center / round(trend_ratio, 3)', 'round(trend_ratio, 3)')}",
-    "d15_amount_vs_own": f"{OWN} {tickets('amount_vs_own_baseline', 'total_amount', 'own', 'merchant_id')}",
+    "d14_level_shift": f"{OWN}, {TREND} {hits('level_shift_ramp', 'trend JOIN own USING (merchant_id) WHERE is_ramp', chr(39) + 'level_shift_7d_vs_90d' + chr(39), 'center', 'center / round(trend_ratio, 3)', 'round(trend_ratio, 3)', places=(None, None, 3))}",
+    "d15_amount_vs_own": f"{OWN} {tickets('amount_vs_own_baseline', 'ticket_amount', 'own', 'merchant_id')}",
 }
 for _name, _detector in zip(DETECTOR_SQL, det.DETECTORS):
     query(_name, f", {DETECTOR_SQL[_name]}")(_detector)
 query("d00_all_family_a", f"SELECT family, detector, count(*) AS n, CAST(sum(evidence) AS BIGINT) AS evidence FROM ({' UNION ALL '.join(f'({SQL[n]})' for n in DETECTOR_SQL)}) GROUP BY 1, 2")(
-    lambda p: det.detect(p).groupBy("family", "detector").agg(F.count("*").alias("n"), F.sum("evidence").alias("evidence"))
+    lambda p: det.detect(det.write_fits(stored(p))).groupBy("family", "detector").agg(F.count("*").alias("n"), F.sum("evidence").alias("evidence"))
 )
 
 # ---- family B ------------------------------------------------------------------------------
@@ -345,18 +353,18 @@ fd AS (SELECT merchant_id, mcc, count(*) AS rows_, count(*) FILTER (NOT is_refun
 f AS (SELECT fd.*, o.center AS own_center, p.center AS cohort_center, last_active FROM fd LEFT JOIN own o USING (merchant_id) LEFT JOIN peer p ON p.mcc = fd.mcc LEFT JOIN la USING (merchant_id))"""
 _DAILY_VALUE = f"dv AS (SELECT merchant_id, txn_date, sum(total_amount) AS g, row_number() OVER (PARTITION BY merchant_id ORDER BY txn_date DESC) AS k, count(*) OVER (PARTITION BY merchant_id) AS days FROM ledger WHERE {_SETTLED} AND occurred_at >= {_ts(AS_OF - timedelta(days=90))} AND occurred_at < {_ts(AS_OF)} GROUP BY 1, 2), lv AS (SELECT merchant_id, median(g) FILTER (k <= 3) AS now_, median(g) FILTER (k > 3) AS before_ FROM dv WHERE days >= 6 GROUP BY 1)"
 RULE_SQL = {
-    "b01_structuring": hits("structuring_below_threshold", "(SELECT f.merchant_id, near FROM f JOIN (SELECT merchant_id, count(*) AS near FROM sales WHERE upper(coalesce(transaction_status, '')) NOT IN ('DECLINED', 'CANCELLED', 'VOIDED') AND total_amount >= 500 AND total_amount < 1000 GROUP BY 1) USING (merchant_id) WHERE own_center < 500 AND near >= 3)", "'count_below_threshold'", "near", "3.0", "near - 3.0", "least(0.55 + 0.05 * (near - 3), 1)", "near", "B"),
-    "b02_refund_ratio": hits("refund_ratio_spike", "(SELECT *, refunded / gross AS v FROM f WHERE refunds >= 1 AND gross > 0) WHERE v >= 0.3", "'refund_ratio'", "v", "0.3", "v - 0.3", "least(v, 1)", "refunds", "B"),
-    "b03_bust_out": hits("bust_out", "(SELECT f.*, now_, before_, now_ / before_ AS v FROM f JOIN lv USING (merchant_id) WHERE before_ > 0) WHERE v >= 1.5", "'recent_vs_earlier_daily_value'", "now_", "before_", "v", None, "refunds", "B"),
-    "b04_dormant": hits("dormant_reactivation", f"(SELECT *, date_diff('day', last_active, DATE '{DAY:%Y-%m-%d}') AS gap FROM f) WHERE gap >= 7 AND settled >= 1", "'days_silent'", "gap", "7.0", "gap - 7.0", "least(0.5 + gap / 365.0, 1)", "settled", "B"),
-    "b05_rapid_movement": hits("rapid_movement", "(SELECT *, abs(gross - refunded) / gross AS v FROM f WHERE gross >= 1 AND refunded > 0) WHERE v <= 0.5", "'same_day_in_out_mismatch'", "v", "0.5", "0.5 - v", "least(0.6 + (0.5 - v), 1)", "settled + refunds", "B"),
-    "b06_declared_mismatch": hits("declared_vs_actual_mismatch", "(SELECT *, own_center / cohort_center AS v, inside / rows_ AS ov FROM f WHERE own_center <> 0 AND cohort_center > 0 AND has_hours) WHERE v >= 1.5 AND ov < 1", "'declared_category_divergence'", "v", "1.5", "v - 1.5", "least(v / 20 + (1 - ov) / 2, 1)", "rows_ - inside", "B"),
-    "b07_decline_ratio": hits("decline_ratio_spike", "(SELECT *, declined / attempts AS v FROM f WHERE attempts >= 5) WHERE v >= 0.25", "'decline_ratio'", "v", "0.25", "v - 0.25", "least(v, 1)", "declined", "B"),
+    "b01_structuring": hits("structuring_below_threshold", "(SELECT f.merchant_id, near FROM f JOIN (SELECT merchant_id, count(*) AS near FROM sales WHERE upper(coalesce(transaction_status, '')) NOT IN ('DECLINED', 'CANCELLED', 'VOIDED') AND total_amount >= 500 AND total_amount < 1000 GROUP BY 1) USING (merchant_id) WHERE own_center < 500 AND near >= 3)", "'near_threshold_transaction_count'", "near", "3.0", "near - 3.0", "least(0.55 + 0.05 * (near - 3), 1)", "near", "B"),
+    "b02_refund_ratio": hits("refund_ratio_spike", "(SELECT *, refunded / gross AS v FROM f WHERE refunds >= 1 AND gross > 0) WHERE v >= 0.3", "'refund_value_share'", "v", "0.3", "v - 0.3", "least(v, 1)", "refunds", "B", (4, None, 4)),
+    "b03_bust_out": hits("bust_out", "(SELECT f.*, now_, before_, now_ / before_ AS v FROM f JOIN lv USING (merchant_id) WHERE before_ > 0) WHERE v >= 1.5", "'recent_vs_earlier_daily_value'", "now_", "before_", "v", None, "refunds", "B", (2, 2, 2)),
+    "b04_dormant": hits("dormant_reactivation", f"(SELECT *, date_diff('day', last_active, DATE '{DAY:%Y-%m-%d}') AS gap FROM f) WHERE gap >= 7 AND settled >= 1", "'days_dormant_before_return'", "gap", "7.0", "gap - 7.0", "least(0.5 + gap / 365.0, 1)", "settled", "B"),
+    "b05_rapid_movement": hits("rapid_movement", "(SELECT *, abs(gross - refunded) / gross AS v FROM f WHERE gross >= 1 AND refunded > 0) WHERE v <= 0.5", "'same_day_in_out_mismatch'", "v", "0.5", "0.5 - v", "least(0.6 + (0.5 - v), 1)", "settled + refunds", "B", (4, None, 4)),
+    "b06_declared_mismatch": hits("declared_vs_actual_mismatch", "(SELECT *, own_center / cohort_center AS v, inside / rows_ AS ov FROM f WHERE own_center <> 0 AND cohort_center > 0 AND has_hours) WHERE v >= 1.5 AND ov < 1", "'declared_category_divergence'", "v", "1.5", "v - 1.5", "least(v / 20 + (1 - ov) / 2, 1)", "rows_ - inside", "B", (2, None, 2)),
+    "b07_decline_ratio": hits("decline_ratio_spike", "(SELECT *, declined / attempts AS v FROM f WHERE attempts >= 5) WHERE v >= 0.25", "'declined_authorisation_share'", "v", "0.25", "v - 0.25", "least(v, 1)", "declined", "B", (4, None, 4)),
 }
 for _name, (_template, _rule) in zip(RULE_SQL, ty.EVALUATORS.items()):
     query(_name, f", {FEATURES}, {_DAILY_VALUE} {RULE_SQL[_name]}")(lambda p, t=_template, e=_rule: e(p, ty.day_features(p), _BY_NAME[t]))
 query("b08_all_family_b", f"SELECT detector, count(*) AS n, CAST(sum(evidence) AS BIGINT) AS evidence FROM ({' UNION ALL '.join(f'({SQL[n]})' for n in RULE_SQL)}) GROUP BY 1")(
-    lambda p: ty.evaluate(p, RULES).groupBy("detector").agg(F.count("*").alias("n"), F.sum("evidence").alias("evidence"))
+    lambda p: ty.evaluate(det.write_fits(stored(p)), RULES).groupBy("detector").agg(F.count("*").alias("n"), F.sum("evidence").alias("evidence"))
 )
 query("b09_day_features", f", {FEATURES} SELECT merchant_id, rows_ AS rows, settled, refunds, {_r('gross', 'refunded')}, attempts, declined, inside, {_r('own_center', 'cohort_center')}, last_active::VARCHAR AS last_active FROM f")(
     lambda p: ty.day_features(p).select("merchant_id", "rows", "settled", "refunds", "gross", "refunded", "attempts", "declined", "inside", "own_center", "cohort_center", "last_active")
@@ -376,10 +384,10 @@ def _flag(p: Portfolio) -> DataFrame:
 
 query("j08_related_merchants", f", {IDS} SELECT merchant_id, array_to_string(related, ',') AS related FROM rel")(lambda p: rings.related(p.merchants).select("merchant_id", F.concat_ws(",", "related").alias("related")))
 query("w08_card_references", f", {CARDS} SELECT card_ref, source_txn_id FROM ce")(lambda p: rings.card_events(p).select("card_ref", "source_txn_id"))
-query("c01_shared_identity", f", {_FLAGGED}, {IDS} " + hits("shared_identity_ring", "(SELECT i.*, n, k FROM ids i JOIN (SELECT attribute, value, count(*) AS n, count(fl.merchant_id) AS k FROM ids LEFT JOIN fl USING (merchant_id) GROUP BY 1, 2) USING (attribute, value) WHERE n >= 3 AND k >= 1)", "'shared_' || attribute", "n", "3.0", "n - 3.0", "least(0.4 + 0.1 * n + 0.1 * k, 1)", "k", "C"))(
+query("c01_shared_identity", f", {_FLAGGED}, {IDS} " + hits("shared_identity_ring", "(SELECT i.*, n, k FROM ids i JOIN (SELECT attribute, value, count(*) AS n, count(fl.merchant_id) AS k FROM ids LEFT JOIN fl USING (merchant_id) GROUP BY 1, 2) USING (attribute, value) WHERE n >= 3 AND k >= 1)", "'merchants_sharing_' || attribute", "n", "3.0", "n - 3.0", "least(0.4 + 0.1 * n + 0.1 * k, 1)", "k", "C"))(
     lambda p: rings.shared_identity(p, _flag(p), _BY_NAME["shared_identity_ring"])
 )
-query("c02_agent_concentration", f", {_FLAGGED} " + hits("agent_alert_concentration", "(SELECT m.merchant_id, v, pr, k FROM merchants m JOIN fl USING (merchant_id) JOIN (SELECT agent_id, count(*) AS n, count(fl.merchant_id) AS k, count(fl.merchant_id) / count(*) AS v FROM merchants LEFT JOIN fl USING (merchant_id) GROUP BY 1) USING (agent_id), (SELECT (SELECT count(*) FROM fl) / (SELECT count(*) FROM merchants) AS pr) WHERE n >= 5 AND v >= pr * 1.0)", "'agent_book_alert_rate'", "v", "pr", "v / pr", "least(v, 1)", "k", "C"))(
+query("c02_agent_concentration", f", {_FLAGGED} " + hits("agent_alert_concentration", "(SELECT m.merchant_id, v, pr, k FROM merchants m JOIN fl USING (merchant_id) JOIN (SELECT agent_id, count(*) AS n, count(fl.merchant_id) AS k, count(fl.merchant_id) / count(*) AS v FROM merchants LEFT JOIN fl USING (merchant_id) GROUP BY 1) USING (agent_id), (SELECT (SELECT count(*) FROM fl) / (SELECT count(*) FROM merchants) AS pr) WHERE n >= 5 AND v >= pr * 1.0)", "'agent_book_alert_rate'", "v", "pr", "v / pr", "least(v, 1)", "k", "C", (4, 4, 2)))(
     lambda p: rings.agent_concentration(p, _flag(p), Rule("agent_alert_concentration", {"rate_multiple": 1.0}))
 )
 query("c03_card_across_related", f", {IDS}, {CARDS}, cg AS (SELECT ce.*, array_to_string(list_sort(list_append(related, merchant_id)), ',') AS grp FROM ce JOIN rel USING (merchant_id)), cn AS (SELECT hashed_pan, txn_date, grp, merchant_id, count(*) AS c FROM cg GROUP BY 1, 2, 3, 4), cx AS (SELECT hashed_pan, txn_date, grp, count(*) AS n, sum(c) AS e, min((-c, merchant_id)) AS w FROM cn GROUP BY 1, 2, 3 HAVING count(*) > 1) " + hits("card_across_related_merchants", "(SELECT *, w[2] AS merchant_id FROM cx)", "'related_merchants_per_card_per_day'", "n", "1.0", "n - 1.0", "least(0.5 + 0.1 * (n - 1), 1)", "e", "C"))(
@@ -395,7 +403,7 @@ LEGS = f"""{CARDS}, loc AS (SELECT merchant_id, coalesce(s.lat, d.lat) AS lat, c
 lg AS (SELECT *, lag(merchant_id) OVER w AS fm, lag(t) OVER w AS ft FROM ce WINDOW w AS (PARTITION BY hashed_pan ORDER BY t, source_txn_id)),
 lk AS (SELECT lg.*, (t - ft) / 60000000.0 AS minutes, {_KM} AS km FROM lg JOIN loc a ON a.merchant_id = fm JOIN loc b ON b.merchant_id = lg.merchant_id WHERE fm <> lg.merchant_id AND t > ft AND t - ft <= 240 * 60000000::BIGINT),
 legs AS (SELECT *, km / (minutes / 60) AS kmh FROM lk WHERE km >= 1 AND km / (minutes / 60) > 5)"""
-query("c05_geo_velocity", f", {LEGS}, lw AS (SELECT hashed_pan, min((-kmh, source_txn_id, merchant_id)) AS w, count(*) AS e FROM legs GROUP BY 1) " + hits("impossible_geo_velocity", "(SELECT w[3] AS merchant_id, -w[1] AS kmh, e FROM lw)", "'implied_speed_kmh'", "kmh", "5.0", "kmh / 5", "least(kmh / 20, 1)", "e", "C"))(
+query("c05_geo_velocity", f", {LEGS}, lw AS (SELECT hashed_pan, min((-kmh, source_txn_id, merchant_id)) AS w, count(*) AS e FROM legs GROUP BY 1) " + hits("impossible_geo_velocity", "(SELECT w[3] AS merchant_id, -w[1] AS kmh, e FROM lw)", "'implied_travel_speed_kmh'", "kmh", "5.0", "kmh / 5", "least(kmh / 20, 1)", "e", "C", (1, None, 2)))(
     lambda p: rings.geo_velocity(p, _flag(p), _BY_NAME["impossible_geo_velocity"], fixture.places(p.ledger.sparkSession))
 )
 query("j10_geo_legs", f", {LEGS} SELECT card_ref, fm AS from_merchant_id, merchant_id, {_r('minutes', 'km', 'kmh')} FROM legs")(
@@ -410,13 +418,19 @@ _TYPE = "CASE " + " ".join(f"WHEN detector IN ({', '.join(repr(d) for d in ds)})
 
 
 def _first_families(p: Portfolio) -> DataFrame:
-    return det.detect(p).unionByName(ty.evaluate(p, RULES))
+    fitted = det.write_fits(stored(p))
+    return det.detect(fitted).unionByName(ty.evaluate(fitted, RULES))
 
 
 query("w05_alert_rank", f", {OWN}, eh AS ({_EVERY_HIT}) SELECT eh.* EXCLUDE (evidence), CASE WHEN usable THEN 'A' ELSE 'B' END AS lane, {_TYPE} AS alert_type, row_number() OVER (ORDER BY sub_score DESC, merchant_id, detector, feature_name, merchant_value) AS rank FROM eh LEFT JOIN own USING (merchant_id)")(
     lambda p: alerts.rank(tidy(_first_families(p)), det.lanes(p)).drop("evidence", "blended_score")
 )
-QUERIES["m04_ranked_alerts"] = lambda spark, sf_dir: tidy(nightly.score(portfolio(spark, sf_dir), fixture.places(spark), RULES))
+QUERIES["m04_ranked_alerts"] = lambda spark, sf_dir: tidy(nightly.score(stored(portfolio(spark, sf_dir)), fixture.places(spark), RULES))
+_RING_HITS = [SQL[n].replace(_FLAGGED, "fl AS (SELECT merchant_id FROM flg)").replace("pr * 1.0", "pr * 1.2") for n in ("c01_shared_identity", "c02_agent_concentration", "c03_card_across_related", "c04_card_swarm", "c05_geo_velocity")]
+SQL["m04_ranked_alerts"] = f"""WITH RECURSIVE {fixture.LEDGER_SQL}, {VIEWS}, {OWN}, eh AS ({_EVERY_HIT}), flg AS (SELECT DISTINCT merchant_id FROM eh),
+  ah AS (SELECT * FROM eh UNION ALL {' UNION ALL '.join(f'({s})' for s in _RING_HITS)})
+  SELECT ah.*, CASE WHEN usable THEN 'A' ELSE 'B' END AS lane, {_TYPE} AS alert_type, sub_score AS blended_score,
+    row_number() OVER (ORDER BY sub_score DESC, merchant_id, detector, feature_name, merchant_value) AS rank FROM ah LEFT JOIN own USING (merchant_id)"""
 
 #: An alert store derived from the ledger: three runs of two days, alerts with types, decisions on some.
 STORE = """runs AS (SELECT * FROM (VALUES (1, DATE '2024-01-30', TIMESTAMP '2024-01-31 01:00:00'), (2, DATE '2024-01-30', NULL), (3, DATE '2024-01-31', NULL)) t(run_id, as_of, superseded_at)),
@@ -436,8 +450,8 @@ def store(p: Portfolio) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     i = F.substring("source_txn_id", 2, 9).cast("long")
     kind = F.when(i % 5 == 0, "temporal_anomaly").when(i % 5 == 1, "ring_signal").when(i % 5 == 2, "typology_match").when(i % 5 == 3, "single_txn_spike")
     declined = p.ledger.where("transaction_status = 'DECLINED'")
-    rank = F.row_number().over(Window.orderBy(F.desc("total_amount"), "source_txn_id")).cast("long")
-    alert = declined.select(i.alias("alert_id"), "merchant_id", F.when(i % 4 > 0, i % 4).alias("run_id"), kind.alias("alert_type"), F.col("total_amount").alias("score"), rank.alias("rank"), F.col("occurred_at").alias("created_at"))
+    declined = tables.numbered(declined, [F.desc("total_amount"), F.asc("source_txn_id")], "rank")
+    alert = declined.select(i.alias("alert_id"), "merchant_id", F.when(i % 4 > 0, i % 4).alias("run_id"), kind.alias("alert_type"), F.col("total_amount").alias("score"), "rank", F.col("occurred_at").alias("created_at"))
     verdict = F.when(F.col("alert_id") % 3 == 0, "TRUE_POSITIVE").otherwise("FALSE_POSITIVE")
     disposition = alert.where("alert_id % 7 = 0").select((F.col("alert_id") + 1_000_000).alias("disposition_id"), "alert_id", verdict.alias("verdict"), F.col("created_at").alias("decided_at"))
     d = F.col("disposition_id")
@@ -521,8 +535,8 @@ _STUDY = f"""WITH {fixture.LEDGER_SQL}, {_STUDY_SALES}, fails AS ({_FAILS}), liv
   vd AS (SELECT m.merchant_id, s.step, s.detector, CASE WHEN f.detector IS NOT NULL THEN 'FAIL' WHEN l.detector IS NOT NULL THEN 'OK' ELSE 'SKIP' END AS status
     FROM merchants m, (VALUES {", ".join(f"({k}, '{d}')" for k, d in enumerate(study.ORDER))}) s(step, detector)
     LEFT JOIN fails f ON f.merchant_id = m.merchant_id AND f.detector = s.detector LEFT JOIN live l ON l.merchant_id = m.merchant_id AND l.detector = s.detector)"""
-query("m10_merchant_study")(study.study)
-query("m12_root_cause")(lambda p: study.root_cause(study.study(p)))
+query("m10_merchant_study")(lambda p: study.study(stored(p)))
+query("m12_root_cause")(lambda p: study.root_cause(study.study(stored(p))))
 SQL["m10_merchant_study"] = f"{_STUDY} SELECT merchant_id, step, detector, status FROM vd"
 SQL["m12_root_cause"] = f"{_STUDY} SELECT merchant_id, arg_min(detector, step) AS detector FROM vd WHERE status = 'FAIL' GROUP BY 1"
 query("m11_rule_study", f", {FEATURES}, {_DAILY_VALUE}, bh AS ({' UNION ALL '.join(f'SELECT merchant_id, detector FROM ({s})' for s in RULE_SQL.values())}) SELECT f.merchant_id, r.rule, CASE WHEN bh.detector IS NULL THEN 'OK' ELSE 'FAIL' END AS status FROM f, (VALUES {', '.join(f'({t!r})' for t in ty.EVALUATORS)}) r(rule) LEFT JOIN bh ON bh.merchant_id = f.merchant_id AND bh.detector = r.rule")(
