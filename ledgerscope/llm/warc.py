@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 
 from ledgerscope.llm.shared import materialize, shared_path, ship
 
-#: Records of one archive file, at most: a file is read back whole by one task.
-FILE_RECORDS = 500
+#: An archive file holds at most so many records and, but for one that is larger alone, about so many
+#: bytes: it is read back whole by one task.
+FILE_RECORDS, FILE_BYTES = 500, 64 << 20
+#: The profile of revisits that share a payload digest with the record they refer to.
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Capture time of page 0; later pages follow by the second, where the pages have no time of their own.
 EPOCH = "2024-01-01T00:00:00Z"
 END = "\r\n\r\n"
@@ -49,36 +52,54 @@ def records(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
     copied = materialize(groups.where("copies > 1").select("digest", "newest"), "warc-copied")
     joined = sized.join(copied, "digest", "left")
     revisit = F.col("newest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("newest"))
-    return joined.select("page_id", "url", "payload", "n", "digest", F.when(revisit, F.col("newest")).alias("refers_to"))
+    original = F.coalesce(F.col("page_id") == F.col("newest"), F.lit(False)).alias("original")
+    return joined.select("page_id", "url", "payload", "n", "digest", F.when(revisit, F.col("newest")).alias("refers_to"), original)
 
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 1000) -> None:
-    """Write a WARC/1.1 record for each page to gzipped files under ``path``.
+    """Write a WARC/1.1 record for each page to files in folders under ``path``.
 
     Spark's text writer puts the record end between records, so archives go to any file system
-    that Spark writes to. Header values keep no line breaks; ids and digests of null columns are left out.
+    that Spark writes to. They are not compressed, so a record can be sought by its offset. Pages
+    go to folders by size, in steps of eight, so that files stay near FILE_BYTES. A block is an HTTP
+    response, of a revisit its headers alone. Header values keep no line breaks; those of null
+    columns are left out. A record's id is a UUID from the page's id, digest and url if others may
+    refer to it, else a random one; the page's id has a header of its own.
     """
     rows = records(pages, min_bytes)
     line = lambda name, value: F.when(value.isNotNull(), F.concat(F.lit(f"{name}: "), F.regexp_replace(value.cast("string"), r"[\r\n]+", " "), F.lit("\r\n"))).otherwise(F.lit(""))
     revisit = F.col("refers_to").isNotNull()
-    body = F.when(revisit, F.lit("")).otherwise(F.col("payload"))
+    head = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("n"), F.lit("\r\n\r\n"))
+    block = F.concat(head, F.when(revisit, F.lit("")).otherwise(F.col("payload")))
     when = F.date_format(F.timestamp_seconds(F.unix_timestamp(F.lit(EPOCH), "yyyy-MM-dd'T'HH:mm:ssX") + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(1 << 32))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    uri = lambda page: F.concat(F.lit("<urn:page:"), page.cast("string"), F.lit(">"))
-    text = F.concat(
+    named = lambda page: F.regexp_replace(F.md5(F.concat_ws(":", page.cast("string"), F.col("digest"))), r"^(.{8})(.{4}).(.{3}).(.{3})(.{12})$", "$1-$2-5$3-8$4-$5")
+    uri = lambda u: F.concat(F.lit("<urn:uuid:"), u, F.lit(">"))
+    text = lambda: F.concat(
         F.lit("WARC/1.1\r\n"),
         line("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
-        line("WARC-Record-ID", uri(F.col("page_id"))),
+        line("WARC-Record-ID", uri(F.when(F.col("original"), named(F.col("page_id"))).otherwise(F.uuid()))),
         line("WARC-Target-URI", F.col("url")),
         line("WARC-Date", when),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
-        line("WARC-Payload-Length", F.col("n")),
-        line("WARC-Refers-To", uri(F.col("refers_to"))),
-        line("Content-Type", F.lit("text/html;charset=utf-8")),
-        line("Content-Length", F.octet_length(body)),
+        line("WARC-Profile", F.when(revisit, F.lit(PROFILE))),
+        line("WARC-Refers-To", F.when(revisit, uri(named(F.col("refers_to"))))),
+        line("Page-ID", F.col("page_id")),
+        line("Page-Refers-To", F.col("refers_to")),
+        line("Page-Length", F.col("n")),
+        line("Content-Type", F.lit("application/http; msgtype=response")),
+        line("Content-Length", F.octet_length(block)),
         F.lit("\r\n"),
-        body,
+        block,
     )
-    rows.select(text.alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    largest = pages.agg(F.max(F.octet_length("html"))).first()[0] or 0
+    size, low = FILE_BYTES // FILE_RECORDS, 0
+    while True:
+        some = rows.where((F.col("n") >= low) & (F.col("n") < size))
+        many = max(1, FILE_BYTES // size)
+        some.select(text().alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", many).text(f"{path}/below-{size}")
+        if largest < size:
+            break
+        size, low = 8 * size, size
 
 
 def parse(content: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
@@ -99,26 +120,25 @@ def parse(content: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
 
 
 def _page(value: str | None) -> int | None:
-    return int(value.removeprefix("<urn:page:").rstrip(">")) if value else None
+    return int(value) if value else None
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """The archives' records, in RECORD's columns; a response's length and digest are those of the payload read."""
-    import gzip
-
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file in batch.to_pylist():
                 out = []
-                for at, h, block in parse(gzip.decompress(file["content"])):
-                    digest, n = h["warc-payload-digest"].removeprefix("sha1:"), int(h["warc-payload-length"])
-                    if h["warc-type"] == "response" and (n != len(block) or digest != hashlib.sha1(block).hexdigest()):
+                for at, h, block in parse(file["content"]):
+                    digest, n = h["warc-payload-digest"].removeprefix("sha1:"), int(h["page-length"])
+                    payload = block.partition(b"\r\n\r\n")[2]
+                    if h["warc-type"] == "response" and (n != len(payload) or digest != hashlib.sha1(payload).hexdigest()):
                         raise ValueError(f"{file['path']}: payload of {h.get('warc-record-id')} is damaged")
-                    name = file["path"].rsplit("/", 1)[-1]
-                    out.append((_page(h.get("warc-record-id")), h.get("warc-target-uri"), h["warc-date"], n, digest, h["warc-type"], _page(h.get("warc-refers-to")), name, at))
+                    name = "/".join(file["path"].rsplit("/", 2)[1:])
+                    out.append((_page(h.get("page-id")), h.get("warc-target-uri"), h["warc-date"], n, digest, h["warc-type"], _page(h.get("page-refers-to")), name, at))
                 yield _batch(out, RECORD)
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
     return files.mapInArrow(read, RECORD)
 
 
@@ -220,7 +240,8 @@ def capture_index(found: DataFrame, rows_per_range: int = 50_000) -> DataFrame:
 def archive(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
     """Write ``pages(page_id, url, html)`` to WARC files in the shared folder, read them back and index them.
 
-    Result: CAPTURE's columns, globally ordered by URL key, capture time and page. A null html is
+    ``archive`` and ``record_offset`` name the file below the archives' folder and the record's first
+    byte in it. Result: CAPTURE's columns, globally ordered by URL key, capture time and page. A null html is
     an empty payload; a null url has an empty key; a null page_id has no record id and, among equal
     payloads, revisits the largest id unless all are null (then all are responses). Rows that repeat
     the largest page_id of a payload are all responses. An empty table gives no rows.

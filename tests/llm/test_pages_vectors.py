@@ -96,6 +96,26 @@ def test_warc_round_trip(spark):
         assert (r["record_type"], r["refers_to"]) == (("revisit", 3) if revisit else ("response", None))
     keys = [(r["url_key"], r["capture_time"]) for r in got]
     assert keys == sorted(keys)
+
+
+def test_warc_records_keep_the_standard(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(warc, "FILE_BYTES", 64_000)
+    big = "<p>" + "x" * 3000
+    rows = [(k, f"http://a.com/{k}", big if k < 3 else f"page {k}" * (1 + 4000 * (k == 5))) for k in range(8)] + [(None, None, None), (7, "http://a.com/7", "page 7")]
+    path = str(tmp_path / "w")
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), path)
+    seen = {}
+    for f in sorted((tmp_path / "w").glob("*/part-*")):
+        content = f.read_bytes()
+        found = list(warc.parse(content))
+        assert len(content) < 64_000 + 1000 or len(found) == 1
+        for at, h, block in found:
+            assert content[at:].startswith(b"WARC/1.1\r\n") and h["warc-record-id"] not in seen
+            seen[h["warc-record-id"]] = h
+            assert {"warc-type", "warc-date", "content-length", "content-type"} <= set(h) and block.startswith(b"HTTP/1.1 200 OK\r\n")
+    assert len(seen) == len(rows)
+    revisits = [h for h in seen.values() if h["warc-type"] == "revisit"]
+    assert len(revisits) == 2 and all(h["warc-profile"] == warc.PROFILE and seen[h["warc-refers-to"]]["page-id"] == "2" for h in revisits)
     assert warc.archive(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
