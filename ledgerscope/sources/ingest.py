@@ -10,38 +10,34 @@ from pyspark.sql import functions as F
 from ledgerscope.operators.predicates import REFUND_STATUS
 
 #: Header aliases by internal name (a name is its own alias).
-ALIASES = {
-    "payment_id": "txn_id transaction_id source_txn_id id",
-    "merchant_id": "merchant merchantid",
-    "total_amount": "amount txn_amount transaction_amount gross_amount",
-    "net_amount": "net",
-    "hkt_transaction_time": "transaction_time txn_time occurred_at datetime date timestamp time",
-    "mcc": "merchant_category_code",
-    "mcc_description": "",
-    "hashed_merchant_name": "merchant_name",
-    "city": "",
-    "merchant_area": "area",
-    "merchant_district": "district",
-    "merchant_subdistrict": "subdistrict",
-    "business_plan": "",
-    "business_nature": "",
-    "ownership_or_business_type": "",
-    "merchant_status": "status",
-    "agent_id": "",
-    "hashed_br_number": "",
-    "hashed_merchant_address": "",
-    "registered_address": "",
-    "card_type": "",
-    "card_origin": "",
-    "card_issuing_country": "issuing_country country",
-    "card_issuing_bank": "",
-    "card_bin": "bin",
-    "payment_gateway": "gateway",
-    "currency": "",
-    "transaction_status": "",
-    "hashed_pan": "pan_hash",
-    "is_refund": "refund",
-    "geo": "location",
+ALIASES: dict[str, tuple[str, ...]] = {
+    "payment_id": ("txn_id", "transaction_id", "source_txn_id", "id"),
+    "merchant_id": ("merchant", "merchantid"),
+    "total_amount": ("amount", "txn_amount", "transaction_amount", "gross_amount"),
+    "net_amount": ("net",),
+    "hkt_transaction_time": ("transaction_time", "txn_time", "occurred_at", "datetime", "date", "timestamp", "time"),
+    "mcc": ("merchant_category_code",),
+    "mcc_description": (),
+    "hashed_merchant_name": ("merchant_name",),
+    "city": (),
+    "merchant_area": ("area",),
+    "merchant_district": ("district",),
+    "merchant_subdistrict": ("subdistrict",),
+    "business_plan": (),
+    "business_nature": (),
+    "ownership_or_business_type": (),
+    "merchant_status": ("status",),
+    "agent_id": (),
+    "hashed_br_number": (),
+    "hashed_merchant_address": (),
+    "card_type": (),
+    "card_origin": (),
+    "card_issuing_country": ("issuing_country", "country"),
+    "card_issuing_bank": (),
+    "payment_gateway": ("gateway",),
+    "currency": (),
+    "transaction_status": (),
+    "hashed_pan": ("pan_hash",),
 }
 REQUIRED = ("payment_id", "merchant_id", "total_amount", "hkt_transaction_time")
 MERCHANT_FIELDS = (
@@ -50,7 +46,7 @@ MERCHANT_FIELDS = (
 )
 TXN_FIELDS = ("card_type", "card_origin", "card_issuing_country", "card_issuing_bank", "payment_gateway", "currency", "transaction_status", "hashed_pan")
 WRAPPERS = ("data", "rows", "transactions", "records")
-_INTERNAL = {alias: name for name, aliases in ALIASES.items() for alias in (name, *aliases.split())}
+_INTERNAL = {alias: name for name, aliases in ALIASES.items() for alias in (name, *aliases)}
 _FIELDS = (*REQUIRED, "net_amount", *MERCHANT_FIELDS, *TXN_FIELDS)
 
 
@@ -76,20 +72,25 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """Delivered rows of JSON lines, or of one JSON document: an array, or an object that wraps one.
+    """Delivered rows of JSON files: of each, lines, or one document (an array, an object that wraps one, or one row).
 
-    The wrapper is the first present of WRAPPERS; an object without any is one row.
+    The wrapper is the first present of WRAPPERS. A file is a document if any of its lines is no
+    JSON object, or wraps an array; only such files are read whole. Files of lines are read by line,
+    however large.
     """
     fields = ", ".join(f"{c} string" for c in _FIELDS)
-    lines = spark.read.schema(fields + ", _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    whole = spark.read.text(path, wholetext=True)
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value").where(F.length(F.trim("value")) > 0)
+    row = F.from_json("value", fields + ", _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"})
+    wraps = reduce(Column.__or__, [F.ltrim(F.get_json_object("value", f"$.{w}")).startswith("[") for w in WRAPPERS])
+    whole = F.ltrim("value").startswith("[") | F.coalesce(wraps, F.lit(False)) | row["_corrupt"].isNotNull()
+    documents = [r["file"] for r in lines.groupBy("file").agg(F.max(whole).alias("whole")).where("whole").collect()]
+    by_line = lines.where(~F.col("file").isin(documents)).select(row.alias("row")).select("row.*").drop("_corrupt")
+    if not documents:
+        return by_line
+    text = F.ltrim("value")
+    inner = F.coalesce(F.when(text.startswith("["), text), *[F.get_json_object("value", f"$.{w}") for w in WRAPPERS], F.concat(F.lit("["), text, F.lit("]")))
     array_of = f"array<struct<{fields.replace(' string', ':string')}>>"
-    bare = F.when(F.substring(F.ltrim("value"), 1, 1) == "[", F.col("value"))
-    inner = F.coalesce(bare, *[F.get_json_object("value", f"$.{w}") for w in WRAPPERS])
-    documents = whole.select(inner.alias("rows")).where("rows is not null")
-    if documents.isEmpty():
-        return lines.where("_corrupt is null").drop("_corrupt")
-    return documents.select(F.inline(F.from_json("rows", array_of)))
+    return by_line.unionByName(spark.read.text(documents, wholetext=True).select(F.inline(F.from_json(inner, array_of))))
 
 
 def blank_to_null(c: str) -> Column:
@@ -102,19 +103,26 @@ def parse_time(c: str) -> Column:
     return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd")]).cast("timestamp_ntz")
 
 
+def unreadable(rows: DataFrame) -> DataFrame:
+    """The delivered rows whose time ``to_ledger`` would refuse, for a table of their own."""
+    return rows.where(parse_time("hkt_transaction_time").isNull())
+
+
 def to_ledger(rows: DataFrame) -> DataFrame:
     """Ledger rows of delivered rows: amounts without sign, refunds by status or sign, blanks as null.
 
-    A masked card number is never among the columns.
+    A masked card number is never among the columns. A row without a readable time raises an error,
+    for no window would ever hold it; ``unreadable`` tells such rows beforehand.
     """
     have = set(rows.columns)
     text = lambda c: blank_to_null(c) if c in have else F.lit(None).cast("string")
     amount = F.col("total_amount").try_cast("double")
+    refused = F.raise_error(F.concat(F.lit("no readable time in row "), F.coalesce("payment_id", F.lit(""))))
     refund = F.upper(F.coalesce(text("transaction_status"), F.lit(""))).isin(*REFUND_STATUS) | (amount < 0)
     net = F.abs(F.col("net_amount").try_cast("double")) if "net_amount" in have else F.lit(None).cast("double")
     return rows.select(
         F.trim("payment_id").alias("source_txn_id"), F.trim("merchant_id").alias("merchant_id"), F.abs(amount).alias("total_amount"), net.alias("net_amount"),
-        parse_time("hkt_transaction_time").alias("occurred_at"), refund.alias("is_refund"), *[text(c).alias(c) for c in TXN_FIELDS],
+        F.coalesce(parse_time("hkt_transaction_time"), refused.cast("timestamp_ntz")).alias("occurred_at"), refund.alias("is_refund"), *[text(c).alias(c) for c in TXN_FIELDS],
     )
 
 

@@ -117,3 +117,24 @@ def test_ranks_are_dense_and_total(spark):
     assert [r["rank"] for r in got] == list(range(1, 101))
     keys = [(-r["sub_score"], r["merchant_id"], r["detector"], r["merchant_value"]) for r in got]
     assert keys == sorted(keys) and {r["lane"] for r in got} == {"A", "B"}
+
+
+def test_json_files_of_all_kinds_in_one_folder(spark, tmp_path):
+    (tmp_path / "array.json").write_text('[\n {"payment_id": "a", "total_amount": 1}\n]')
+    (tmp_path / "lines.json").write_text('{"payment_id": "b"}\n\n{"payment_id": "c", "mcc": "5411"}\n')
+    (tmp_path / "wrapped.json").write_text('{"n": 1, "rows": [{"payment_id": "d"}, {"payment_id": "e"}]}')
+    (tmp_path / "one.json").write_text('{\n "payment_id": "f"\n}')
+    (tmp_path / "empty.json").write_text("")
+    got = {r["payment_id"]: (r["total_amount"], r["mcc"]) for r in ingest.read_json(spark, str(tmp_path)).collect()}
+    assert got == {"a": ("1", None), "b": (None, None), "c": (None, "5411"), "d": (None, None), "e": (None, None), "f": (None, None)}
+    only = ingest.read_json(spark, str(tmp_path / "lines.json"))
+    assert sorted(r["payment_id"] for r in only.collect()) == ["b", "c"]
+
+
+def test_rows_without_a_readable_time_are_refused(spark):
+    rows = [("a", "m", "1", "2024-01-02T03:04:05+08:00"), ("b", "m", "2", "yesterday"), ("c", "m", "3", None)]
+    df = spark.createDataFrame(rows, "payment_id string, merchant_id string, total_amount string, hkt_transaction_time string")
+    assert sorted(r["payment_id"] for r in ingest.unreadable(df).collect()) == ["b", "c"]
+    assert ingest.to_ledger(df.where("payment_id = 'a'")).count() == 1
+    with pytest.raises(Exception, match="no readable time"):
+        ingest.to_ledger(df).select("occurred_at").collect()
