@@ -36,40 +36,38 @@ def count_tokens(text: str = "text"):
 
 
 def exponent(sources: DataFrame, mix: Mix) -> float:
-    """The smallest exponent that meets the bounds, to 1e-6, by sections of 16 a Spark job.
+    """The smallest exponent that meets the bounds, to 1e-6, by bisection.
 
-    ``sources(tokens)`` is aggregated in Spark, whatever the number of sources.
+    Both bounds are easier to meet the larger the exponent. ``sources(tokens)`` is aggregated in
+    Spark at each step, whatever the number of sources.
     """
     live = sources.where("tokens > 0").select(F.col("tokens").cast("double").alias("t"))
     n, total, most, least = live.agg(F.count("*"), F.sum("t"), F.max("t"), F.min("t")).first()
     if not n or most == least:
         return 1.0
+    if mix.budget and mix.repetition and mix.budget > mix.repetition * total:
+        raise ValueError(f"{mix.budget} tokens take more than {mix.repetition} passes over all {total}")
     share = F.col("t") / F.lit(most)
 
-    def measured(points: list[float]) -> list[tuple[float, float]]:
-        """Normalisation and entropy at each exponent."""
-        z = [F.sum(F.pow(share, F.lit(a))) for a in points]
-        s = [F.sum(F.pow(share, F.lit(a)) * F.log(share) * a) for a in points]
-        row = live.agg(*z, *s).first()
-        return [(row[i], math.log(row[i]) - row[len(points) + i] / row[i]) for i in range(len(points))]
+    def measured(a: float) -> tuple[float, float]:
+        """Normalisation and entropy at an exponent."""
+        z, s = live.agg(F.sum(F.pow(share, F.lit(a))), F.sum(F.pow(share, F.lit(a)) * F.log(share) * a)).first()
+        return z, math.log(z) - s / z
 
-    (_, natural) = measured([1.0])[0]
+    natural = measured(1.0)[1]
 
     def meets(a: float, z: float, entropy: float) -> bool:
         # passes over a source: weight * budget / tokens, largest for the smallest source
         passes = (most / least) ** (1 - a) if mix.budget is None else mix.budget / most / z * (least / most) ** (a - 1)
-        limit = None if mix.repetition is None else max(mix.repetition, (mix.budget or total) / total)
         most_entropy = None if mix.entropy is None else natural + mix.entropy * (math.log(n) - natural)
-        return (limit is None or passes <= limit * (1 + 1e-9)) and (most_entropy is None or entropy <= most_entropy + 1e-9)
+        return (mix.repetition is None or passes <= mix.repetition * (1 + 1e-9)) and (most_entropy is None or entropy <= most_entropy + 1e-9)
 
-    low, high = 0.0, 1.0  # the bounds hold at high
+    if meets(0.0, *measured(0.0)):
+        return 0.0
+    low, high = 0.0, 1.0  # the bounds hold at high, not at low
     while high - low > 1e-6:
-        points = [low + (high - low) * k / 16 for k in range(17)]
-        good = [meets(a, *m) for a, m in zip(points, measured(points))]
-        first = good.index(True) if True in good else 16
-        if first == 0:
-            return low
-        low, high = points[first - 1], points[first]
+        middle = (low + high) / 2
+        low, high = (low, middle) if meets(middle, *measured(middle)) else (middle, high)
     return high
 
 
@@ -112,8 +110,9 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     A document occurs once for each pass that takes it; sorting by (source, epoch, block_rank,
     hash of the document) gives the order of a source's stream. Tokens are words. A null source is
     a source like any other; a source without tokens is passed once; a null text has no tokens.
-    Within the one block that a source's budget ends in, documents come in hash order as long as
-    the budget is not used up. Repeated rows count as often as they occur; an empty table gives no
+    Within the one block that a source's budget ends in, parts of it come in hash order and, in the
+    part that the budget ends in, documents, as long as the budget is not used up. A budget of more
+    passes than ``repetition`` is refused. Repeated rows count as often as they occur; an empty table gives no
     rows.
     """
     taken = materialize(plan(docs.select("doc_id", "source", "text"), mix), "mix-plan")
@@ -126,7 +125,14 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
         return left.join(part, left["source"].eqNullSafe(part["__s"]) & (left["block"] == part["__b"])).drop("__s", "__b")
 
     whole = joined(named.where("room is null")).drop("room")
-    turn = Window.partitionBy("source", "block", "epoch").orderBy(F.xxhash64(F.lit(mix.seed), "epoch", "doc_id"), "doc_id")
-    before = F.coalesce(F.sum("tokens").over(turn.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cut = joined(named.where("room is not null")).withColumn("__before", before).where("__before < room").drop("__before", "room")
-    return whole.unionByName(cut)
+    parted = with_columns(joined(named.where("room is not null")), {"__part": F.pmod(F.xxhash64(F.lit(mix.seed + 1), "doc_id", "text"), F.lit(mix.blocks))})
+    before = lambda turn: F.coalesce(F.sum("tokens").over(turn.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    at = ["source", "block", "epoch"]
+    sizes = parted.groupBy(*at, "room", "__part").agg(F.sum("tokens").alias("tokens"))
+    ranked = sizes.withColumn("__before", before(Window.partitionBy(*at).orderBy(F.xxhash64("epoch", "__part"), "__part"))).where("__before < room")
+    parts = materialize(ranked.select(*[F.col(c).alias(f"__{c}") for c in at], F.col("__part").alias("__p"), (F.col("room") - F.col("__before")).alias("__room")), "mix-parts")
+    same = (parted["source"].eqNullSafe(parts["__source"])) & (parted["block"] == parts["__block"]) & (parted["epoch"] == parts["__epoch"]) & (parted["__part"] == parts["__p"])
+    live = parted.drop("room").join(parts, same)
+    turn = Window.partitionBy(*at, "__part").orderBy(F.xxhash64(F.lit(mix.seed), "epoch", "doc_id"), "doc_id")
+    cut = live.withColumn("__before", before(turn)).where("__before < __room")
+    return whole.unionByName(cut.select(whole.columns))
