@@ -9,7 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerscope.llm.shared import materialize, ship, with_columns
@@ -23,9 +23,8 @@ class LangParams:
     """Bounds of the fit and of the model, which is broadcast."""
 
     docs_per_lang: int = 5_000  #: labelled documents of each language that are learned from, about
-    max_langs: int = 1_000  #: the most frequent ones
-    max_words: int = 200_000  #: known words of all languages
-    max_grams: int = 100_000  #: known n-grams of all languages and lengths
+    max_words: int = 200_000  #: known words, shared out evenly between the languages
+    max_grams: int = 200_000  #: known n-grams of all lengths, shared out evenly between the languages
     longest: int = 5  #: characters of the longest n-grams, word ends included
 
 
@@ -150,11 +149,13 @@ def fit(labelled: DataFrame, p: LangParams = LangParams()) -> LangModel:
     """A model of ``labelled(doc_id, text, lang)``; rows with a null lang or text are left out.
 
     Documents are sampled by a hash of their id, each language at its own rate, so that about
-    ``docs_per_lang`` of each are learned from, whole texts.
+    ``docs_per_lang`` of each are learned from, whole texts. The number of different languages is
+    taken to be small. Each has an equal share of the model's words and n-grams, so that a rarely
+    labelled one is not crowded out.
     """
     ship(labelled.sparkSession)
     rows = labelled.where("lang is not null and text is not null")
-    counted = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(p.max_langs).collect()
+    counted = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()
     rates = {r["lang"]: min(1.0, p.docs_per_lang / r["n"]) for r in counted}
     langs = sorted(rates)
     if not langs:
@@ -163,14 +164,21 @@ def fit(labelled: DataFrame, p: LangParams = LangParams()) -> LangModel:
     drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.coalesce(F.element_at(rate, F.col("lang")), F.lit(0.0)) * 1_000_000
     words = materialize(word_counts(rows.where(drawn)), "lang-words")
     totals = {r["lang"]: r["n"] for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    known = words.groupBy("word").agg(F.sum("n").alias("all")).where("all > 1").orderBy(F.desc("all"), "word").limit(p.max_words)
+    known = _most_frequent(words, "word", p.max_words // len(langs))
     grams = materialize(gram_counts(words, p.longest), "lang-grams")
-    used = grams.groupBy("gram").agg(F.sum("n").alias("all")).where("all > 1").orderBy(F.desc("all"), "gram").limit(p.max_grams)
+    used = _most_frequent(grams, "gram", p.max_grams // len(langs))
     word_rows = words.join(known.select("word"), "word").select("lang", "word", "n").toPandas()
     gram_rows = grams.join(used.select("gram"), "gram").select("lang", "gram", "n").toPandas()
     return LangModel(langs, word_rows.sort_values(["word", "lang"]), gram_rows.sort_values(["gram", "lang"]), totals, p)
 
 
+def _most_frequent(counted: DataFrame, name: str, share: int) -> DataFrame:
+    """The ``share`` most frequent entries of each language that occur more than once in all."""
+    often = counted.groupBy(name).agg(F.sum("n").alias("all")).where("all > 1").select(name)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), name))
+    return counted.join(often, name).withColumn("place", place).where(F.col("place") <= max(share, 1)).select(name).distinct()
+
+
 def predict(docs: DataFrame, model: LangModel, text_col: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` (posterior of the language, 0 to 1), replacing columns of those names.
 
