@@ -15,7 +15,7 @@ from ledgerscope.llm.shared import ship, with_columns
 
 WHITE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
-#: Phrases of page furniture and licence notices; a line holding one is boilerplate.
+#: Phrases of page furniture and licence notices, in English.
 BOILERPLATE = (
     "accept cookies", "all rights reserved", "click here", "cookie policy", "enable javascript", "licensed under",
     "log in", "lorem ipsum", "privacy policy", "sign up", "skip to content", "subscribe to our", "terms of service",
@@ -32,6 +32,7 @@ FIGURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_re
 class LineRules:
     """Limits of the line rules and of the verdict."""
 
+    boilerplate_chars: int = 400  #: a line with a phrase for each so many characters is boilerplate; text that mentions one is not
     min_words: int = 8  #: shorter lines are judged by the boilerplate and navigation rules alone
     max_symbol_words: float = 0.2  #: share of words that hold one of SYMBOLS
     max_shouted: float = 0.6  #: share of capitals among the letters
@@ -47,7 +48,7 @@ def line_fails(line: str, rules: LineRules) -> bool:
     n = len(words)
     if not n:
         return False
-    if len(line) < 400 and _BOILERPLATE.search(line):
+    if len(_BOILERPLATE.findall(line)) * rules.boilerplate_chars > len(line):
         return True
     bars = len(_SEPARATOR.findall(line))
     if bars >= 3 and bars > rules.max_separators * n:
