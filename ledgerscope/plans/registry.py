@@ -8,13 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerscope.functions import geo, robust
-from ledgerscope.operators import alerts, baselines as bl, detectors as det, predicates as pr, rings, study, typology as ty
+from ledgerscope.operators import alerts, baselines as bl, contributions as con, detectors as det, predicates as pr, rings, study, typology as ty
 from ledgerscope.operators.detectors import Portfolio, Tuning
 from ledgerscope.operators.typology import Rule
 from ledgerscope.plans import nightly
@@ -426,6 +427,26 @@ query("w05_alert_rank", f", {OWN}, eh AS ({_EVERY_HIT}) SELECT eh.* EXCLUDE (evi
     lambda p: alerts.rank(tidy(_first_families(p)), det.lanes(p)).drop("evidence", "blended_score")
 )
 QUERIES["m04_ranked_alerts"] = lambda spark, sf_dir: tidy(nightly.score(stored(portfolio(spark, sf_dir)), fixture.places(spark), RULES))
+
+
+def _contributions(p: Portfolio) -> DataFrame:
+    fitted = det.write_fits(stored(p))
+    parts = tables.write_all(p.ledger.sparkSession, con.family_a(fitted) | con.family_b(fitted, RULES))
+    return reduce(DataFrame.unionByName, parts.values())
+
+
+query("j03_contribution_counts", f", eh AS ({_EVERY_HIT}) SELECT merchant_id, detector, feature_name, evidence AS n FROM eh WHERE evidence > 0")(
+    lambda p: _contributions(p).groupBy("merchant_id", "detector", "feature_name").agg(F.count("*").alias("n"))
+)
+_DRIVING = {
+    "amount_vs_own_baseline": f"SELECT s.merchant_id, 'amount_vs_own_baseline' AS detector, source_txn_id, 'total_amount' AS field FROM sales s JOIN own USING (merchant_id) WHERE usable AND {_Z.format(v='total_amount')} > 3.5",
+    "unsettled": f"SELECT nu.merchant_id, 'unsettled_ratio_vs_own_baseline' AS detector, d.source_txn_id, 'transaction_status' AS field FROM nu JOIN uns USING (merchant_id) JOIN dy d USING (merchant_id) WHERE usable AND {_Z.format(v='nu.v')} > 3.5 AND nu.v > center AND {_UNSETTLED}",
+    "refunds": "SELECT d.merchant_id, 'refund_ratio_spike' AS detector, d.source_txn_id, 'total_amount' AS field FROM dy d JOIN f USING (merchant_id) WHERE d.is_refund AND f.refunds >= 1 AND gross > 0 AND refunded / gross >= 0.3",
+    "declines": "SELECT d.merchant_id, 'decline_ratio_spike' AS detector, d.source_txn_id, 'transaction_status' AS field FROM dy d JOIN f USING (merchant_id) WHERE NOT d.is_refund AND upper(d.transaction_status) = 'DECLINED' AND attempts >= 5 AND declined / attempts >= 0.25",
+}
+query("j03_contributions", f", {FEATURES}, {UNSETTLED}, {_DAY_UNSETTLED} {' UNION ALL '.join(_DRIVING.values())}")(
+    lambda p: _contributions(p).where(F.col("detector").isin("amount_vs_own_baseline", "unsettled_ratio_vs_own_baseline", "refund_ratio_spike", "decline_ratio_spike")).select("merchant_id", "detector", "source_txn_id", "field")
+)
 _RING_HITS = [SQL[n].replace(_FLAGGED, "fl AS (SELECT merchant_id FROM flg)").replace("pr * 1.0", "pr * 1.2") for n in ("c01_shared_identity", "c02_agent_concentration", "c03_card_across_related", "c04_card_swarm", "c05_geo_velocity")]
 SQL["m04_ranked_alerts"] = f"""WITH RECURSIVE {fixture.LEDGER_SQL}, {VIEWS}, {OWN}, eh AS ({_EVERY_HIT}), flg AS (SELECT DISTINCT merchant_id FROM eh),
   ah AS (SELECT * FROM eh UNION ALL {' UNION ALL '.join(f'({s})' for s in _RING_HITS)})

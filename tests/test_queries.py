@@ -13,7 +13,7 @@ NAMES = (
     "p09_scored_day", "a06_own_amount", "a07_rail_amount", "a08_peer_amount", "a11_own_velocity", "w07_systematic_sample", "a18_trend", "a19_own_hours",
     "a20_cohort_hours", "a21_origin_mix", "w02_peak_rows", "d02_count_vs_peers", "d04_hour_vs_own", "d05_card_origin", "d08_unsettled_vs_own", "d12_ticket_vs_peers",
     "b02_refund_ratio", "b06_declared_mismatch", "b09_day_features", "c01_shared_identity", "c03_card_across_related", "c04_card_swarm", "c05_geo_velocity",
-    "k02_queue_page", "m04_ranked_alerts", "m05_cleared_alerts", "m07_cases", "s03_merchant_upsert", "w06_card_trail",
+    "k02_queue_page", "m04_ranked_alerts", "j03_contribution_counts", "j03_contributions", "m05_cleared_alerts", "m07_cases", "s03_merchant_upsert", "w06_card_trail",
 )
 
 
