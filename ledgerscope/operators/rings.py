@@ -6,6 +6,7 @@ No output holds a card number; a card appears as ``card <k>``, its rank among th
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,15 +26,34 @@ def identities(merchants: DataFrame) -> DataFrame:
     return merchants.select("merchant_id", pairs).where("value is not null and trim(value) <> ''")
 
 
-def related(merchants: DataFrame) -> DataFrame:
-    """(merchant_id, related): merchants that share an identity value with this one, sorted; direct links alone.
+def groups(merchants: DataFrame) -> DataFrame:
+    """(merchant_id, attribute, value, members): merchants that share an identity value with others; no pairs are made."""
+    each = identities(merchants)
+    sizes = each.groupBy("attribute", "value").agg(F.count("*").alias("members")).where("members > 1")
+    return each.join(sizes, ["attribute", "value"]).select("merchant_id", "attribute", "value", "members")
+
 
-    Sharing is by owner, so groups are small; the pairs are those of owners' chains.
+def circles(merchants: DataFrame) -> DataFrame:
+    """(merchant_id, circle, size): a 128-bit name and the size of the set of a merchant and all that share a value with it.
+
+    Merchants with equal sets have equal names. The set is the union of the merchant's groups, so
+    its name and size follow by inclusion and exclusion from those of the groups and of their
+    intersections, the merchants alike in two or three values. Each is an aggregate that Spark
+    combines before its shuffle; no set is gathered.
     """
-    each = identities(merchants)
-    other = each.select("attribute", "value", F.col("merchant_id").alias("other"))
-    pairs = each.join(other, ["attribute", "value"]).where("merchant_id <> other")
-    return pairs.groupBy("merchant_id").agg(F.sort_array(F.collect_set("other")).alias("related"))
+    value = lambda c: F.when(F.trim(c) != "", F.col(c))
+    out = merchants.select("merchant_id", *[value(c).alias(c) for c in IDENTITY])
+    names = [F.bit_xor(F.xxhash64(F.lit(seed), "merchant_id")) for seed in (1, 2)]
+    zero = F.lit(0).cast("long")
+    total = [zero, zero, zero]
+    for size in (1, 2, 3):
+        for k, keys in enumerate(combinations(IDENTITY, size)):
+            at = [f"{x}{size}{k}" for x in "abn"]
+            made = out.select("merchant_id", *keys).where(" and ".join(f"{c} is not null" for c in keys)).groupBy(*keys)
+            out = out.join(made.agg(*[e.alias(n) for e, n in zip((*names, F.count("*")), at)]), list(keys), "left")
+            a, b, n = (F.coalesce(c, zero) for c in at)
+            total = [total[0].bitwiseXOR(a), total[1].bitwiseXOR(b), total[2] + (n if size != 2 else -n)]
+    return out.select("merchant_id", F.struct(total[0].alias("a"), total[1].alias("b")).alias("circle"), total[2].alias("size"))
 
 
 def card_events(p: Portfolio) -> DataFrame:
@@ -78,9 +98,8 @@ def _busiest(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def branch_structuring(p: Portfolio, flagged: DataFrame, r: Rule) -> DataFrame:
     """A card at more branches of one owner in a day than allowed: one hit for card, day and owner group."""
-    group = F.concat_ws(",", F.array_sort(F.array_union("related", F.array("merchant_id"))))
-    rows = card_events(p).join(related(p.merchants), "merchant_id").withColumn("grp", group)
-    keys = ["hashed_pan", "txn_date", "grp"]
+    rows = card_events(p).join(circles(p.merchants).where("size > 1"), "merchant_id")
+    keys = ["hashed_pan", "txn_date", "circle"]
     live = rows.groupBy(*keys).agg(F.countDistinct("merchant_id").alias("n"), F.count("*").alias("evidence")).where(F.col("n") > r.value("max_branches"))
     found = live.join(_busiest(rows, keys), keys)
     over = F.col("n") - r.value("max_branches")
@@ -92,17 +111,20 @@ def swarm_windows(p: Portfolio, r: Rule) -> DataFrame:
 
     A window ends at an event and reaches back ``window_minutes``, both ends included; of events at
     one instant the later by id see the earlier. Only cards with enough merchants that day get
-    windows, and a window gathers its own events alone.
+    windows, and a window gathers its own events alone, each with its merchant's identity values
+    (three at most); merchants are related if they share one.
     """
     reach = int(r.value("window_minutes") * 60_000_000)
     events = card_events(p)
     busy = events.groupBy("hashed_pan").agg(F.countDistinct("merchant_id").alias("m")).where(F.col("m") >= r.value("min_merchants"))
-    rows = events.join(busy.select("hashed_pan"), "hashed_pan").join(related(p.merchants), "merchant_id", "left")
+    values = identities(p.merchants).groupBy("merchant_id").agg(F.collect_list(F.struct("attribute", "value")).alias("shared"))
+    rows = events.join(busy.select("hashed_pan"), "hashed_pan").join(values, "merchant_id", "left")
     w = Window.partitionBy("hashed_pan").orderBy("t").rangeBetween(-reach, 0)
-    seen = rows.withColumn("seen", F.collect_list(F.struct("t", "source_txn_id", "merchant_id", F.coalesce("related", F.array().cast("array<string>")).alias("related"))).over(w))
+    seen = rows.withColumn("seen", F.collect_list(F.struct("t", "source_txn_id", "merchant_id", F.coalesce("shared", F.array().cast("array<struct<attribute:string,value:string>>")).alias("shared"))).over(w))
     until = F.filter("seen", lambda e: (e["t"] < F.col("t")) | (e["source_txn_id"] <= F.col("source_txn_id")))
     touched = F.array_distinct(F.transform("until", lambda e: e["merchant_id"]))
-    apart = F.array_distinct(F.transform(F.filter("until", lambda e: ~F.arrays_overlap(e["related"], F.col("touched"))), lambda e: e["merchant_id"]))
+    linked = lambda e: F.exists("until", lambda o: (o["merchant_id"] != e["merchant_id"]) & F.arrays_overlap(o["shared"], e["shared"]))
+    apart = F.array_distinct(F.transform(F.filter("until", lambda e: ~linked(e)), lambda e: e["merchant_id"]))
     at = seen.withColumn("until", until).withColumn("touched", touched).withColumn("apart", apart)
     live = at.where((F.size("touched") >= r.value("min_merchants")) & (F.size("apart") >= r.value("min_merchants")))
     first = live.groupBy("hashed_pan").agg(F.min(F.struct("t", "source_txn_id", F.size("touched").alias("touched"), F.size("apart").alias("apart"))).alias("w"))

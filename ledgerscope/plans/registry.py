@@ -383,7 +383,12 @@ def _flag(p: Portfolio) -> DataFrame:
     return p.merchants.where(F.substring("merchant_id", 2, 6).cast("int") % 3 == 0).select("merchant_id")
 
 
-query("j08_related_merchants", f", {IDS} SELECT merchant_id, array_to_string(related, ',') AS related FROM rel")(lambda p: rings.related(p.merchants).select("merchant_id", F.concat_ws(",", "related").alias("related")))
+query("j08_related_merchants", f", {IDS} SELECT i.merchant_id, i.attribute, i.value, members FROM ids i JOIN (SELECT attribute, value, count(*) AS members FROM ids GROUP BY 1, 2) USING (attribute, value) WHERE members > 1")(
+    lambda p: rings.groups(p.merchants)
+)
+query("j08_circle_sizes", f", {IDS} SELECT m.merchant_id, len(coalesce(list_append(related, m.merchant_id), [])) AS size FROM merchants m LEFT JOIN rel USING (merchant_id) WHERE related IS NOT NULL")(
+    lambda p: rings.circles(p.merchants).where("size > 1").select("merchant_id", "size")
+)
 query("w08_card_references", f", {CARDS} SELECT card_ref, source_txn_id FROM ce")(lambda p: rings.card_events(p).select("card_ref", "source_txn_id"))
 query("c01_shared_identity", f", {_FLAGGED}, {IDS} " + hits("shared_identity_ring", "(SELECT i.*, n, k FROM ids i JOIN (SELECT attribute, value, count(*) AS n, count(fl.merchant_id) AS k FROM ids LEFT JOIN fl USING (merchant_id) GROUP BY 1, 2) USING (attribute, value) WHERE n >= 3 AND k >= 1)", "'merchants_sharing_' || attribute", "n", "3.0", "n - 3.0", "least(0.4 + 0.1 * n + 0.1 * k, 1)", "k", "C"))(
     lambda p: rings.shared_identity(p, _flag(p), _BY_NAME["shared_identity_ring"])

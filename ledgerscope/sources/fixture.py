@@ -34,7 +34,9 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Every tenth merchant begins on 20 January (lane B); every fifteenth is silent from then until the
     scored day. On that day a quarter of the rows goes to five merchants, some merchants take twenty
-    times their amounts, and others see cards of a new country. Some are dear all along.
+    times their amounts, and others see cards of a new country. One of the five has its rows within
+    an hour, another amounts just below a threshold. Some merchants are dear all along; those with
+    dear days take one rail alone.
     """
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     at, day = F.col("ts").cast("timestamp_ntz"), F.lit("2024-01-30").cast("timestamp_ntz")
@@ -44,15 +46,17 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     factor = F.when((F.col("user_id") % 20 == 1) & (at >= day), 20).when(F.col("user_id") % 50 == 2, 8).otherwise(1)
     abroad = F.col("user_id") % 10 == 7
     k = F.get_json_object("props", "$.k").cast("int")
-    rail, origin = (F.col("event_id") + k) % 6, (F.col("event_id") * 7 + k) % 20
+    rail, origin = F.when(F.col("user_id") % 20 == 1, 0).otherwise((F.col("event_id") + k) % 6), (F.col("event_id") * 7 + k) % 20
+    burst, below = (F.col("user_id") == 13) & (at >= day), (F.col("user_id") == 14) & (at >= day)
+    noon = F.date_trunc("day", at).cast("timestamp_ntz") + F.make_dt_interval(hours=F.lit(12), mins=(F.col("event_id") % 50).cast("int"))
     status = F.lit(None).cast("string")
     for kind, name in STATUS.items():
         status = F.when(F.col("event_type") == kind, F.lit(name)).otherwise(status)
     return e.select(
         F.concat(F.lit("T"), F.lpad(F.col("event_id").cast("string"), 9, "0")).alias("source_txn_id"),
         F.concat(F.lit("M"), F.lpad(F.col("user_id").cast("string"), 6, "0")).alias("merchant_id"),
-        (F.col("value") * factor).alias("total_amount"),
-        F.col("ts").cast("timestamp_ntz").alias("occurred_at"),
+        F.when(below, (F.col("event_id") % 200 + 700).cast("double")).otherwise(F.col("value") * factor).alias("total_amount"),
+        F.when(burst, noon).otherwise(at).alias("occurred_at"),
         (F.col("event_type") == "signup").alias("is_refund"),
         status.alias("transaction_status"),
         _pick(rail, ("VISA", "MASTERCARD", "AMEX", " AlipayHK ", "")).alias("card_type"),
@@ -75,7 +79,7 @@ def merchants(spark: SparkSession, sf_dir: str) -> DataFrame:
         text("A", i % 5).alias("agent_id"),
         F.when(i % 2 == 0, text("BR", i % 40)).alias("hashed_br_number"),
         F.when(i % 3 == 0, text("AD", i % 45)).alias("hashed_merchant_address"),
-        F.when(i % 10 == 0, text("NM", i % 30)).alias("hashed_merchant_name"),
+        F.when(i % 24 == 11, "NMCHAIN").when(i % 10 == 0, text("NM", i % 30)).alias("hashed_merchant_name"),
     )
 
 
@@ -96,12 +100,14 @@ def _case(index: str, values) -> str:
 LEDGER_SQL = f"""
 ledger AS (
   SELECT 'T' || lpad(CAST(event_id AS VARCHAR), 9, '0') AS source_txn_id, 'M' || lpad(CAST(user_id AS VARCHAR), 6, '0') AS merchant_id,
-    value * CASE WHEN user_id % 20 = 1 AND ts >= TIMESTAMP '2024-01-30' THEN 20 WHEN user_id % 50 = 2 THEN 8 ELSE 1 END AS total_amount, CAST(ts AS TIMESTAMP) AS occurred_at, event_type = 'signup' AS is_refund,
+    CASE WHEN user_id = 14 AND ts >= TIMESTAMP '2024-01-30' THEN CAST(event_id % 200 + 700 AS DOUBLE)
+      ELSE value * CASE WHEN user_id % 20 = 1 AND ts >= TIMESTAMP '2024-01-30' THEN 20 WHEN user_id % 50 = 2 THEN 8 ELSE 1 END END AS total_amount,
+    CASE WHEN user_id = 13 AND ts >= TIMESTAMP '2024-01-30' THEN date_trunc('day', CAST(ts AS TIMESTAMP)) + INTERVAL 12 HOUR + to_minutes(CAST(event_id % 50 AS INT)) ELSE CAST(ts AS TIMESTAMP) END AS occurred_at, event_type = 'signup' AS is_refund,
     CASE event_type {" ".join(f"WHEN '{a}' THEN '{b}'" for a, b in STATUS.items())} END AS transaction_status,
-    {_case("(event_id + k) % 6", ("VISA", "MASTERCARD", "AMEX", " AlipayHK ", ""))} AS card_type,
+    {_case("(CASE WHEN user_id % 20 = 1 THEN 0 ELSE (event_id + k) % 6 END)", ("VISA", "MASTERCARD", "AMEX", " AlipayHK ", ""))} AS card_type,
     CASE WHEN user_id % 10 = 7 THEN CASE WHEN ts >= TIMESTAMP '2024-01-30' THEN 'JP' WHEN (event_id * 7 + k) % 20 % 2 = 0 THEN 'US' ELSE 'CN' END WHEN (event_id * 7 + k) % 20 = 0 THEN 'US' WHEN (event_id * 7 + k) % 20 = 1 THEN 'CN' WHEN (event_id * 7 + k) % 20 = 2 THEN 'JP'
       WHEN (event_id * 7 + k) % 20 = 3 THEN '' WHEN (event_id * 7 + k) % 20 > 4 THEN 'HK' END AS card_issuing_country,
-    CASE WHEN (event_id + k) % 6 = 4 THEN ' ' ELSE 'P' || k END AS hashed_pan, CAST(ts AS DATE) AS txn_date
+    CASE WHEN user_id % 20 <> 1 AND (event_id + k) % 6 = 4 THEN ' ' ELSE 'P' || k END AS hashed_pan, CAST(ts AS DATE) AS txn_date
   FROM (SELECT event_id, ts, event_type, value, CAST(json_extract_string(props, '$.k') AS INT) AS k,
       CASE WHEN ts >= TIMESTAMP '2024-01-30' AND event_id % 4 = 0 THEN user_id % 5 + 10 ELSE user_id END AS user_id FROM events
     WHERE NOT (user_id % 10 = 9 AND ts < TIMESTAMP '2024-01-20') AND NOT (user_id % 15 = 4 AND ts >= TIMESTAMP '2024-01-20' AND ts < TIMESTAMP '2024-01-30'))),
@@ -111,7 +117,7 @@ merchants AS (
     {_case("user_id % 6", SUBDISTRICTS)} AS merchant_subdistrict, {_case("user_id % 3", DISTRICTS)} AS merchant_district,
     'A' || user_id % 5 AS agent_id, CASE WHEN user_id % 2 = 0 THEN 'BR' || user_id % 40 END AS hashed_br_number,
     CASE WHEN user_id % 3 = 0 THEN 'AD' || user_id % 45 END AS hashed_merchant_address,
-    CASE WHEN user_id % 10 = 0 THEN 'NM' || user_id % 30 END AS hashed_merchant_name
+    CASE WHEN user_id % 24 = 11 THEN 'NMCHAIN' WHEN user_id % 10 = 0 THEN 'NM' || user_id % 30 END AS hashed_merchant_name
   FROM (SELECT DISTINCT user_id FROM events WHERE user_id IS NOT NULL)),
 confirmed AS (
   SELECT merchant_id, unnest([DATE '2024-01-10', DATE '2024-01-11']) AS txn_date FROM merchants
