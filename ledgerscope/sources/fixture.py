@@ -35,7 +35,7 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     Every tenth merchant begins on 20 January (lane B); every fifteenth is silent from then until the
     scored day. On that day a quarter of the rows goes to five merchants, some merchants take twenty
     times their amounts, and others see cards of a new country. One of the five has its rows within
-    an hour, another amounts just below a threshold. Some merchants are dear all along; those with
+    an hour, another amounts just below a threshold; three cards go round the shops of a chain. Some merchants are dear all along; those with
     dear days take one rail alone.
     """
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
@@ -43,11 +43,12 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     late = at >= F.lit("2024-01-20").cast("timestamp_ntz")
     e = e.where(~((F.col("user_id") % 10 == 9) & ~late) & ~((F.col("user_id") % 15 == 4) & late & (at < day)))
     e = e.withColumn("user_id", F.when((at >= day) & (F.col("event_id") % 4 == 0), F.col("user_id") % 5 + 10).otherwise(F.col("user_id")))
-    factor = F.when((F.col("user_id") % 20 == 1) & (at >= day), 20).when(F.col("user_id") % 50 == 2, 8).otherwise(1)
+    factor = F.when((F.col("user_id") % 20 == 1) & (at >= day), 20).when((F.col("user_id") % 50 == 2) | (F.col("user_id") == 12), 8).otherwise(1)
     abroad = F.col("user_id") % 10 == 7
     k = F.get_json_object("props", "$.k").cast("int")
     rail, origin = F.when(F.col("user_id") % 20 == 1, 0).otherwise((F.col("event_id") + k) % 6), (F.col("event_id") * 7 + k) % 20
     burst, below = (F.col("user_id") == 13) & (at >= day), (F.col("user_id") == 14) & (at >= day)
+    chain = (F.col("user_id") % 24 == 11) & (at >= day)
     noon = F.date_trunc("day", at).cast("timestamp_ntz") + F.make_dt_interval(hours=F.lit(12), mins=(F.col("event_id") % 50).cast("int"))
     status = F.lit(None).cast("string")
     for kind, name in STATUS.items():
@@ -61,7 +62,7 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         status.alias("transaction_status"),
         _pick(rail, ("VISA", "MASTERCARD", "AMEX", " AlipayHK ", "")).alias("card_type"),
         F.when(abroad, F.when(at >= day, "JP").when(origin % 2 == 0, "US").otherwise("CN")).when(origin == 0, "US").when(origin == 1, "CN").when(origin == 2, "JP").when(origin == 3, "").when(origin > 4, "HK").alias("card_issuing_country"),
-        F.when(rail == 4, F.lit(" ")).otherwise(F.concat(F.lit("P"), k.cast("string"))).alias("hashed_pan"),
+        F.when(chain, F.concat(F.lit("P"), (F.col("event_id") % 3).cast("string"))).when(rail == 4, F.lit(" ")).otherwise(F.concat(F.lit("P"), k.cast("string"))).alias("hashed_pan"),
     )
 
 
@@ -101,13 +102,13 @@ LEDGER_SQL = f"""
 ledger AS (
   SELECT 'T' || lpad(CAST(event_id AS VARCHAR), 9, '0') AS source_txn_id, 'M' || lpad(CAST(user_id AS VARCHAR), 6, '0') AS merchant_id,
     CASE WHEN user_id = 14 AND ts >= TIMESTAMP '2024-01-30' THEN CAST(event_id % 200 + 700 AS DOUBLE)
-      ELSE value * CASE WHEN user_id % 20 = 1 AND ts >= TIMESTAMP '2024-01-30' THEN 20 WHEN user_id % 50 = 2 THEN 8 ELSE 1 END END AS total_amount,
+      ELSE value * CASE WHEN user_id % 20 = 1 AND ts >= TIMESTAMP '2024-01-30' THEN 20 WHEN user_id % 50 = 2 OR user_id = 12 THEN 8 ELSE 1 END END AS total_amount,
     CASE WHEN user_id = 13 AND ts >= TIMESTAMP '2024-01-30' THEN date_trunc('day', CAST(ts AS TIMESTAMP)) + INTERVAL 12 HOUR + to_minutes(CAST(event_id % 50 AS INT)) ELSE CAST(ts AS TIMESTAMP) END AS occurred_at, event_type = 'signup' AS is_refund,
     CASE event_type {" ".join(f"WHEN '{a}' THEN '{b}'" for a, b in STATUS.items())} END AS transaction_status,
     {_case("(CASE WHEN user_id % 20 = 1 THEN 0 ELSE (event_id + k) % 6 END)", ("VISA", "MASTERCARD", "AMEX", " AlipayHK ", ""))} AS card_type,
     CASE WHEN user_id % 10 = 7 THEN CASE WHEN ts >= TIMESTAMP '2024-01-30' THEN 'JP' WHEN (event_id * 7 + k) % 20 % 2 = 0 THEN 'US' ELSE 'CN' END WHEN (event_id * 7 + k) % 20 = 0 THEN 'US' WHEN (event_id * 7 + k) % 20 = 1 THEN 'CN' WHEN (event_id * 7 + k) % 20 = 2 THEN 'JP'
       WHEN (event_id * 7 + k) % 20 = 3 THEN '' WHEN (event_id * 7 + k) % 20 > 4 THEN 'HK' END AS card_issuing_country,
-    CASE WHEN user_id % 20 <> 1 AND (event_id + k) % 6 = 4 THEN ' ' ELSE 'P' || k END AS hashed_pan, CAST(ts AS DATE) AS txn_date
+    CASE WHEN user_id % 24 = 11 AND ts >= TIMESTAMP '2024-01-30' THEN 'P' || event_id % 3 WHEN user_id % 20 <> 1 AND (event_id + k) % 6 = 4 THEN ' ' ELSE 'P' || k END AS hashed_pan, CAST(ts AS DATE) AS txn_date
   FROM (SELECT event_id, ts, event_type, value, CAST(json_extract_string(props, '$.k') AS INT) AS k,
       CASE WHEN ts >= TIMESTAMP '2024-01-30' AND event_id % 4 = 0 THEN user_id % 5 + 10 ELSE user_id END AS user_id FROM events
     WHERE NOT (user_id % 10 = 9 AND ts < TIMESTAMP '2024-01-20') AND NOT (user_id % 15 = 4 AND ts >= TIMESTAMP '2024-01-20' AND ts < TIMESTAMP '2024-01-30'))),
