@@ -501,8 +501,23 @@ query("p14_undecided", f", {STORE} SELECT alert_id, merchant_id FROM alert WHERE
 query("p15_current_runs", f", {STORE} SELECT alert_id, run_id FROM alert WHERE run_id IS NULL OR run_id IN (SELECT run_id FROM runs WHERE superseded_at IS NULL)")(lambda p: alerts.current(store(p)[1], store(p)[0]).select("alert_id", "run_id"))
 query("k02_queue_page", f", {STORE}, {_OPEN} SELECT alert_id, rank, greatest(1, CAST(ceil((SELECT count(*) FROM oq) / 20.0) AS BIGINT)) AS pages FROM oq ORDER BY rank LIMIT 20 OFFSET 20")(lambda p: alerts.queue_page(_queue(p), 2, 20).select("alert_id", "rank", "pages"))
 query("a25_queue_counts", f", {STORE}, {_OPEN} SELECT alert_type, count(*) AS n FROM oq WHERE alert_type IS NOT NULL GROUP BY 1 UNION ALL SELECT 'total', count(*) FROM oq")(lambda p: alerts.queue_counts(_queue(p)))
-query("m03_supersede", f", {STORE} SELECT run_id, as_of::VARCHAR AS as_of, strftime(CASE WHEN as_of = DATE '2024-01-30' AND run_id <> 9 AND superseded_at IS NULL THEN TIMESTAMP '2024-02-01 00:00:00' ELSE superseded_at END, '%Y-%m-%d %H:%M:%S') AS superseded_at FROM runs")(
-    lambda p: alerts.supersede(store(p)[0], 9, "2024-01-30", datetime(2024, 2, 1))
+#: Two runs for each day of the ledger, the first superseded but on even days.
+_DAY_RUNS = """dr AS (SELECT date_diff('day', DATE '2024-01-01', txn_date) * 2 + i AS run_id, CAST(txn_date + INTERVAL 1 DAY AS DATE) AS as_of,
+  CASE WHEN i = 0 AND day(txn_date) % 2 = 1 THEN CAST(txn_date AS TIMESTAMP) + INTERVAL 25 HOUR END AS superseded_at FROM (SELECT DISTINCT txn_date FROM ledger), (VALUES (0), (1)) t(i))"""
+
+
+def _day_runs(p: Portfolio) -> DataFrame:
+    days = pr.dated(p.ledger).select("txn_date").distinct().select("txn_date", F.explode(F.array(F.lit(0), F.lit(1))).alias("i"))
+    old = F.col("txn_date").cast("timestamp_ntz") + F.make_dt_interval(hours=F.lit(25))
+    return days.select(
+        (F.datediff("txn_date", F.lit("2024-01-01").cast("date")) * 2 + F.col("i")).cast("long").alias("run_id"), F.date_add("txn_date", 1).alias("as_of"),
+        F.when((F.col("i") == 0) & (F.day("txn_date") % 2 == 1), old).alias("superseded_at"),
+    )
+
+
+query("m03_supersede", f""", {_DAY_RUNS} SELECT run_id, as_of::VARCHAR AS as_of,
+  strftime(CASE WHEN as_of = DATE '2024-01-25' AND run_id <> 47 AND superseded_at IS NULL THEN TIMESTAMP '2024-02-01 00:00:00' ELSE superseded_at END, '%Y-%m-%d %H:%M:%S') AS superseded_at FROM dr""")(
+    lambda p: alerts.supersede(_day_runs(p), 47, "2024-01-25", datetime(2024, 2, 1))
 )
 query("m05_cleared_alerts", f", {STORE} SELECT alert_id FROM alert a WHERE NOT (coalesce(run_id, 0) = 1 AND alert_id NOT IN (SELECT alert_id FROM disposition))")(lambda p: _cleared(p, 0).select("alert_id"))
 query("m05_cleared_runs", f", {STORE} SELECT run_id FROM runs WHERE NOT (run_id = 1 AND NOT EXISTS (SELECT 1 FROM alert JOIN disposition USING (alert_id) WHERE run_id = 1))")(lambda p: _cleared(p, 1).select("run_id"))
