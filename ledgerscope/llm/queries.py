@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerscope.llm import embeddings, html_text, langid, lines, mixing, packing, quality, simhash, toxicity, warc
+from ledgerscope.llm import embeddings, html_text, langid, lines, mixing, packing, quality, sharding, simhash, toxicity, warc
 from ledgerscope.llm.shared import ship
 
 
@@ -71,6 +71,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
     "op2_line_dedup": op2_line_dedup,
@@ -82,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_quality_rules": op10_quality_rules,
+    "op11_sharding": op11_sharding,
 }
 
 #: Digests, sizes and revisits of the archived pages.
@@ -109,4 +114,4 @@ SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component
 FROM v JOIN c USING (r) LEFT JOIN n USING (r)
 """
 
-SQL: dict[str, str] = {"op4_embedding_near_dedup": _VECTOR_SQL, "op8_warc": _WARC_SQL}
+SQL: dict[str, str] = {"op4_embedding_near_dedup": _VECTOR_SQL, "op8_warc": _WARC_SQL, "op11_sharding": sharding.twin()}
