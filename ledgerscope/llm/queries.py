@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerscope.llm import embeddings, html_text, langid, lexical, lines, mixing, packing, quality, sharding, simhash, toxicity, warc
+from ledgerscope.llm import embeddings, html_text, langid, lexical, lines, mixing, negatives, packing, quality, sharding, simhash, toxicity, warc
 from ledgerscope.llm.shared import ship
 
 
@@ -75,6 +75,10 @@ def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.rank_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -91,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_quality_rules": op10_quality_rules,
     "op11_sharding": op11_sharding,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_lexical_search": op13_lexical_search,
 }
 
@@ -119,4 +124,10 @@ SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component
 FROM v JOIN c USING (r) LEFT JOIN n USING (r)
 """
 
-SQL: dict[str, str] = {"op4_embedding_near_dedup": _VECTOR_SQL, "op8_warc": _WARC_SQL, "op11_sharding": sharding.twin(), "op13_lexical_search": lexical.TWIN}
+SQL: dict[str, str] = {
+    "op4_embedding_near_dedup": _VECTOR_SQL,
+    "op8_warc": _WARC_SQL,
+    "op11_sharding": sharding.twin(),
+    "op12_hard_negatives": negatives.TWIN,
+    "op13_lexical_search": lexical.TWIN,
+}
