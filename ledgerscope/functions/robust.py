@@ -1,7 +1,9 @@
-"""Robust statistics per key from order statistics, without gathering a key's values anywhere."""
+"""Robust statistics per key from order statistics, without gathering or sorting a key's values in one place."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,10 +19,32 @@ def _histogram(rows: DataFrame, keys: list[str], value: Column) -> DataFrame:
     return rows.select(*keys, value.cast("double").alias("v")).where("v is not null").groupBy(*keys, "v").agg(F.count("*").alias("c"))
 
 
-def _ranked(hist: DataFrame, keys: list[str]) -> DataFrame:
-    """The histogram with ``cum`` (values up to v) and ``n`` (all values of the key)."""
-    w = Window.partitionBy(*keys)
-    return hist.select("*", F.sum("c").over(w.orderBy("v")).alias("cum"), F.sum("c").over(w).alias("n"))
+#: Values of a key are counted by bucket first; a bucket holds values within about a 6000th of their size.
+FINENESS = 4096
+
+
+def _bucket(v: Column) -> Column:
+    """A number that never falls as the value rises; NaN, which sorts last, shares the last one with infinity."""
+    size = F.floor(F.log1p(F.abs(v)) / F.log(F.lit(2.0)) * FINENESS)
+    last = F.lit((1 << 63) - 1)
+    return F.when(F.isnan(v) | (v == float("inf")), last).when(v >= 0, size).otherwise(-1 - size)
+
+
+def _ranked(hist: DataFrame, keys: list[str], ranks: list[Column]) -> DataFrame:
+    """Rows of the histogram that may hold one of ``ranks`` (1-based, of ``n``), with ``cum`` (values up to v) and ``n`` (all values of the key).
+
+    A key's values never meet in one place: counts per bucket are summed along the key, and only
+    the buckets that hold a rank are looked into, each by itself. So what one task sorts is the
+    buckets of a key, some thousands whatever the number of its values, or the values of one bucket.
+    """
+    parted = hist.withColumn("__b", _bucket(F.col("v")))
+    key = Window.partitionBy(*keys)
+    buckets = parted.groupBy(*keys, "__b").agg(F.sum("c").alias("__c"))
+    placed = buckets.select(*keys, "__b", "__c", F.sum("__c").over(key.orderBy("__b")).alias("__upto"), F.sum("__c").over(key).alias("n"))
+    holds = reduce(Column.__or__, [(F.col("__upto") >= r) & (F.col("__upto") - F.col("__c") < r) for r in ranks])
+    wanted = placed.where(holds).select(*keys, "__b", (F.col("__upto") - F.col("__c")).alias("__before"), "n")
+    within = Window.partitionBy(*keys, "__b").orderBy("v")
+    return parted.join(wanted, [*keys, "__b"]).withColumn("cum", F.sum("c").over(within) + F.col("__before")).drop("__b", "__before")
 
 
 def _at(rank: Column) -> Column:
@@ -34,25 +58,31 @@ def _middle(low: Column, high: Column) -> Column:
 
 
 def robust_stats(rows: DataFrame, keys: list[str], value: Column) -> DataFrame:
-    """``keys, n, center, mad, q1, q3`` of the non-null values of each key.
+    """``keys, n, center, mad, q1, q3`` of the non-null values of each key; see ``stats_of_counts``."""
+    return stats_of_counts(_histogram(rows, keys, value), keys)
+
+
+def stats_of_counts(hist: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, n, center, mad, q1, q3`` of values that are counted already: ``hist(keys, v, c)``, each value of a key once.
 
     Medians are means of the middle two; the quartiles are medians of the halves, an odd count's
-    middle value belonging to neither; one value is its own quartile. Values are counted, then
-    ranked by a running sum over the different values, so a key with very many rows costs as much
-    as it has different values.
+    middle value belonging to neither; one value is its own quartile. Keys are not null.
     """
     n, half = F.col("n"), F.floor(F.col("n") / 2)
-    low = lambda size, start: (start + F.floor((size + 1) / 2), start + F.floor(size / 2) + 1)
-    hist = _histogram(rows, keys, value)
     upper = n - half
-    first = _ranked(hist, keys).groupBy(*keys).agg(
+    low = lambda size, start: (start + F.floor((size + 1) / 2), start + F.floor(size / 2) + 1)
+    middle, first_half, second_half = low(n, F.lit(0)), low(half, F.lit(0)), low(half, upper)
+    # a single value has empty halves
+    ranks = [*middle, *(F.greatest(r, F.lit(1)) for r in first_half), *(F.least(r, n) for r in second_half)]
+    hist = hist.where("v is not null")
+    first = _ranked(hist, keys, ranks).groupBy(*keys).agg(
         F.max("n").alias("n"),
-        _middle(*low(n, F.lit(0))).alias("center"),
-        F.coalesce(_middle(*low(half, F.lit(0))), F.min("v")).alias("q1"),
-        F.coalesce(F.when(F.max(half) > 0, _middle(*low(half, upper))), F.max("v")).alias("q3"),
+        _middle(*middle).alias("center"),
+        F.coalesce(F.when(F.max(half) > 0, _middle(*first_half)), F.min("v")).alias("q1"),
+        F.coalesce(F.when(F.max(half) > 0, _middle(*second_half)), F.max("v")).alias("q3"),
     )
     apart = hist.join(first.select(*keys, "center"), keys).select(*keys, F.abs(F.col("v") - F.col("center")).alias("v"), "c")
-    mad = _ranked(apart.groupBy(*keys, "v").agg(F.sum("c").alias("c")), keys).groupBy(*keys).agg(_middle(*low(n, F.lit(0))).alias("mad"))
+    mad = _ranked(apart.groupBy(*keys, "v").agg(F.sum("c").alias("c")), keys, list(middle)).groupBy(*keys).agg(_middle(*middle).alias("mad"))
     return first.join(mad, keys).select(*keys, "n", "center", "mad", "q1", "q3")
 
 

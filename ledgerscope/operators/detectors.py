@@ -5,16 +5,16 @@ Every detector gives hits in HIT_COLUMNS; ``evidence`` is the number of rows tha
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
-from datetime import datetime
+from datetime import date, datetime, time
 from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerscope.functions import density, robust
-from ledgerscope.operators import baselines as bl
+from ledgerscope.operators import baselines as bl, daytables
 from ledgerscope.operators.predicates import HOME, UNSETTLED, baseline_span, by_mcc, dated, fires, has_card_origin, micros, not_refund, scored_day, settled_sale
 from ledgerscope.sources import tables
 
@@ -29,6 +29,7 @@ class Tuning:
     outlier_z: float = 3.5
     materiality_floor: float = 1000.0
     mcc_overrides: dict = field(default_factory=dict)
+    moderate_z: float = 2.5
 
     def fires(self, deviation: Column, amount: Column) -> Column:
         return fires(deviation, amount, by_mcc("outlier_z", self.outlier_z, self.mcc_overrides), by_mcc("materiality_floor", self.materiality_floor, self.mcc_overrides))
@@ -45,6 +46,7 @@ class Portfolio:
     tuning: Tuning = Tuning()
     fit: bl.FitSettings = bl.FitSettings()
     written: Mapping[str, DataFrame] = field(default_factory=dict)
+    days: Mapping[str, DataFrame] | None = None  #: day tables up to the scored day, from ``daytables.DayStore``
 
     @property
     def span(self):
@@ -270,6 +272,33 @@ def lanes(p: Portfolio) -> DataFrame:
 
 
 def write_fits(p: Portfolio) -> Portfolio:
-    """``p`` with FITS and the scored day's rows written once; what reads it reads them back."""
-    made = {name: partial(make, p) for name, make in FITS.items() if name not in p.written}
-    return replace(p, written={**p.written, **tables.write_all(p.ledger.sparkSession, made | {"day": p.day})})
+    """``p`` with FITS and the scored day's rows written once; what reads it reads them back.
+
+    All fits are summed from day tables: those that ``p`` brings along, so that of the ledger only the
+    scored day is read, or else tables made in one pass over the windows' days. A run that doesn't
+    start at midnight has windows that cut days, and fits from the ledger's rows.
+    """
+    spark = p.ledger.sparkSession
+    made = {name: partial(make, p) for name, make in FITS.items()}
+    if p.as_of.time() == time():
+        dates = (p.as_of.date(),)
+        days = p.days
+        if days is None:
+            built = daytables.build(p.ledger, daytables.reach(dates, p.fit))
+            days = tables.write_all(spark, {name: partial(lambda df: df, df) for name, df in built.items()})
+        w = daytables.Windows(days, p.merchants, p.confirmed, dates, p.fit)
+        shared = tables.write_all(spark, {name: partial(make, w) for name, make in daytables.SHARED.items()})
+        summed = {name: partial(lambda make: make(w, shared).drop("as_of"), make) for name, make in daytables.FITS.items()}
+        if p.days is None:  # the last activity may lie before all windows
+            del summed["last_activity"]
+        made |= summed
+    made = {name: make for name, make in made.items() if name not in p.written} | {"day": p.day}
+    return replace(p, written={**p.written, **tables.write_all(spark, made)})
+
+
+def backfill(days: Mapping[str, DataFrame], merchants: DataFrame, confirmed: DataFrame | None, dates: Sequence[date], fit: bl.FitSettings = bl.FitSettings()) -> dict[str, DataFrame]:
+    """FITS of many dates at once, keyed by ``as_of``: one plan each over the day tables, whatever the number of dates."""
+    spark = merchants.sparkSession
+    w = daytables.Windows(days, merchants, confirmed, tuple(dates), fit)
+    shared = tables.write_all(spark, {name: partial(make, w) for name, make in daytables.SHARED.items()})
+    return tables.write_all(spark, {name: partial(make, w, shared) for name, make in daytables.FITS.items()})

@@ -50,6 +50,8 @@ class Rule:
     instance_id: str | None = None
     enabled: bool = True
     mcc_scope: tuple[str, ...] = ()
+    custom: bool = False  #: added by a person, so that it may be deleted
+    label: str | None = None
 
     @property
     def name(self) -> str:

@@ -1,16 +1,18 @@
-"""The nightly run: fit, route, detect in three families, rank."""
+"""The nightly run: fit, route, detect in three families, rank, publish."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import replace
 from functools import partial, reduce
 
 from pyspark.sql import DataFrame
 
-from ledgerscope.operators import alerts, detectors, rings, typology
+from ledgerscope.operators import alerts, baselines, detectors, profiles, rings, typology
 from ledgerscope.operators.detectors import Portfolio
 from ledgerscope.operators.typology import DEFAULT_RULES, Rule
 from ledgerscope.sources import tables
+from ledgerscope.sources.store import RunStore
 
 
 def score(p: Portfolio, places: DataFrame, rules: list[Rule] = DEFAULT_RULES, open_alerts: DataFrame | None = None) -> DataFrame:
@@ -34,3 +36,24 @@ def score(p: Portfolio, places: DataFrame, rules: list[Rule] = DEFAULT_RULES, op
     flagged = tables.write(flagged.distinct(), "flagged")
     rung = tables.write_all(spark, {f"ring-{r.name}": partial(rings.evaluate, p, flagged, places, [r]) for r in rules if r.enabled and r.template in rings.EVALUATORS})
     return alerts.rank(reduce(DataFrame.unionByName, rung.values(), first), detectors.lanes(p))
+
+
+def everything(p: Portfolio, rules: list[Rule], places: DataFrame) -> dict[str, DataFrame]:
+    """What a night publishes: ranked alerts, profiles, cohorts and their members."""
+    p = detectors.write_fits(p)
+    cohorts = baselines.cohort_snapshots(p.fitted("peer_amount"), p.as_of).drop("as_of")
+    return {"alerts": score(p, places, rules), "profiles": profiles.assemble(p), "cohorts": cohorts, "cohort_members": profiles.cohort_members(p)}
+
+
+def night(store: RunStore, p: Portfolio, places: DataFrame, label: str | None = None, triggered_by: str | None = None, made: Callable = everything) -> int:
+    """Open a run, fit and score the day of ``p`` under the thresholds and rules in force, publish; the run's number.
+
+    The store's thresholds take the place of those of ``p``. If the night dies, its day keeps what an
+    earlier run said; if the day is scored again, the new run supersedes it. Tables that ``p`` has
+    written already are not fitted again, which suits a second run that changes cut-offs or rules.
+    ``made(p, rules, places)`` gives what is published.
+    """
+    run_id = store.open_run(p.as_of, label, triggered_by)
+    tuning, fit, rules = store.settings_of_run(run_id)
+    store.publish(run_id, made(replace(p, tuning=tuning, fit=fit), rules, places))
+    return run_id

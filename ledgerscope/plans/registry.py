@@ -304,11 +304,11 @@ def odd(detector: str, feature: str, name: str, key: str) -> str:
     """ + hits(detector, "oa WHERE odd > 0", f"'{feature}'", "w[2]", "peak", "w[1]", "least(0.55 * least(ln(1 + odd) / ln(101.0), 1.0) + 0.30 * odd / greatest(day, odd) + 0.15 * greatest(0, least(1, 1 - w[1] / w[3])), 1)", "odd", places=(2, 2, 4))
 
 
-def tickets(detector: str, feature: str, base: str, key: str) -> str:
+def tickets(detector: str, feature: str, base: str, key: str, fires: str = "z > 3.5 AND total_amount >= 0") -> str:
     rail = ", card_type" if "card_type" in key else ""
     name = f"'{feature}_' || lower(card_type)" if rail else f"'{feature}'"
     src = f"""(SELECT merchant_id{rail}, max((z, total_amount)) AS w, any_value(center) AS center, count(*) AS e FROM
-      (SELECT s.merchant_id{", s.card_type" if rail else ""}, total_amount, center, {_Z.format(v="total_amount")} AS z FROM sales s JOIN {base} b USING ({key}) WHERE usable) WHERE z > 3.5 AND total_amount >= 0 GROUP BY merchant_id{rail})"""
+      (SELECT s.merchant_id, s.mcc{", s.card_type" if rail else ""}, total_amount, center, {_Z.format(v="total_amount")} AS z FROM sales s JOIN {base} b USING ({key}) WHERE usable) WHERE {fires} GROUP BY merchant_id{rail})"""
     return hits(detector, src, name, "w[2]", "center", "w[1]", evidence="e")
 
 
