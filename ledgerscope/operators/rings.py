@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerscope.functions import geo
+from ledgerscope.operators import sweep
 from ledgerscope.operators.detectors import Portfolio, hit
 from ledgerscope.operators.predicates import fold, has_card, micros
 from ledgerscope.operators.typology import Rule, validate
@@ -107,28 +108,18 @@ def branch_structuring(p: Portfolio, flagged: DataFrame, r: Rule) -> DataFrame:
 
 
 def swarm_windows(p: Portfolio, r: Rule) -> DataFrame:
-    """(hashed_pan, t0, t, id, touched, unrelated): a card's first window with enough unrelated merchants.
+    """(hashed_pan, t0, t1, last, touched, apart): a card's first window with enough unrelated merchants.
 
     A window ends at an event and reaches back ``window_minutes``, both ends included; of events at
-    one instant the later by id see the earlier. Only cards with enough merchants that day get
-    windows, and a window gathers its own events alone, each with its merchant's identity values
-    (three at most); merchants are related if they share one.
+    one instant the later by id see the earlier. Only cards with enough merchants that day are swept.
     """
-    reach = int(r.value("window_minutes") * 60_000_000)
-    events = card_events(p)
-    busy = events.groupBy("hashed_pan").agg(F.countDistinct("merchant_id").alias("m")).where(F.col("m") >= r.value("min_merchants"))
-    values = identities(p.merchants).groupBy("merchant_id").agg(F.collect_list(F.struct("attribute", "value")).alias("shared"))
-    rows = events.join(busy.select("hashed_pan"), "hashed_pan").join(values, "merchant_id", "left")
-    w = Window.partitionBy("hashed_pan").orderBy("t").rangeBetween(-reach, 0)
-    seen = rows.withColumn("seen", F.collect_list(F.struct("t", "source_txn_id", "merchant_id", F.coalesce("shared", F.array().cast("array<struct<attribute:string,value:string>>")).alias("shared"))).over(w))
-    until = F.filter("seen", lambda e: (e["t"] < F.col("t")) | (e["source_txn_id"] <= F.col("source_txn_id")))
-    touched = F.array_distinct(F.transform("until", lambda e: e["merchant_id"]))
-    linked = lambda e: F.exists("until", lambda o: (o["merchant_id"] != e["merchant_id"]) & F.arrays_overlap(o["shared"], e["shared"]))
-    apart = F.array_distinct(F.transform(F.filter("until", lambda e: ~linked(e)), lambda e: e["merchant_id"]))
-    at = seen.withColumn("until", until).withColumn("touched", touched).withColumn("apart", apart)
-    live = at.where((F.size("touched") >= r.value("min_merchants")) & (F.size("apart") >= r.value("min_merchants")))
-    first = live.groupBy("hashed_pan").agg(F.min(F.struct("t", "source_txn_id", F.size("touched").alias("touched"), F.size("apart").alias("apart"))).alias("w"))
-    return first.select("hashed_pan", (F.col("w.t") - reach).alias("t0"), F.col("w.t").alias("t1"), F.col("w.source_txn_id").alias("last"), "w.touched", "w.apart")
+    reach, least = int(r.value("window_minutes") * 60_000_000), r.value("min_merchants")
+    events = card_events(p).select("hashed_pan", "merchant_id", "t", F.col("source_txn_id").alias("id"))
+    busy = events.groupBy("hashed_pan").agg(F.countDistinct("merchant_id").alias("m")).where(F.col("m") >= least)
+    swept = sweep.counts(events.join(busy.select("hashed_pan"), "hashed_pan"), identities(p.merchants), "hashed_pan", "merchant_id", reach)
+    live = swept.where((F.col("touched") >= least) & (F.col("apart") >= least))
+    first = live.groupBy("hashed_pan").agg(F.min(F.struct("t", "id", "touched", "apart")).alias("w"))
+    return first.select("hashed_pan", (F.col("w.t") - reach).alias("t0"), F.col("w.t").alias("t1"), F.col("w.id").alias("last"), "w.touched", "w.apart")
 
 
 def card_swarm(p: Portfolio, flagged: DataFrame, r: Rule) -> DataFrame:
