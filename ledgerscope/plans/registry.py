@@ -443,14 +443,27 @@ def _contributions(p: Portfolio) -> DataFrame:
 query("j03_contribution_counts", f", eh AS ({_EVERY_HIT}) SELECT merchant_id, detector, feature_name, evidence AS n FROM eh WHERE evidence > 0")(
     lambda p: _contributions(p).groupBy("merchant_id", "detector", "feature_name").agg(F.count("*").alias("n"))
 )
+_MONEY = "'HKD ' || format('{{:,.2f}}', {v})"
+_NEAR = "upper(coalesce(transaction_status, '')) NOT IN ('DECLINED', 'CANCELLED', 'VOIDED') AND total_amount >= 500 AND total_amount < 1000"
 _DRIVING = {
-    "amount_vs_own_baseline": f"SELECT s.merchant_id, 'amount_vs_own_baseline' AS detector, source_txn_id, 'total_amount' AS field FROM sales s JOIN own USING (merchant_id) WHERE usable AND {_Z.format(v='total_amount')} > 3.5",
-    "unsettled": f"SELECT nu.merchant_id, 'unsettled_ratio_vs_own_baseline' AS detector, d.source_txn_id, 'transaction_status' AS field FROM nu JOIN uns USING (merchant_id) JOIN dy d USING (merchant_id) WHERE usable AND {_Z.format(v='nu.v')} > 3.5 AND nu.v > center AND {_UNSETTLED}",
-    "refunds": "SELECT d.merchant_id, 'refund_ratio_spike' AS detector, d.source_txn_id, 'total_amount' AS field FROM dy d JOIN f USING (merchant_id) WHERE d.is_refund AND f.refunds >= 1 AND gross > 0 AND refunded / gross >= 0.3",
-    "declines": "SELECT d.merchant_id, 'decline_ratio_spike' AS detector, d.source_txn_id, 'transaction_status' AS field FROM dy d JOIN f USING (merchant_id) WHERE NOT d.is_refund AND upper(d.transaction_status) = 'DECLINED' AND attempts >= 5 AND declined / attempts >= 0.25",
+    "amount_vs_own_baseline": f"""SELECT s.merchant_id, 'amount_vs_own_baseline' AS detector, source_txn_id, 'total_amount' AS field, {_MONEY.format(v='total_amount')} AS value,
+        'far above this merchant''s typical transaction (' || format('{{:,.0f}}', center) || ')' AS reason FROM sales s JOIN own USING (merchant_id) WHERE usable AND {_Z.format(v='total_amount')} > 3.5""",
+    "unsettled": f"""SELECT nu.merchant_id, 'unsettled_ratio_vs_own_baseline', d.source_txn_id, 'transaction_status', transaction_status, 'did not settle, against this merchant''s usual ' || format('{{:.1f}}', round(center, 4) * 100) || '%'
+        FROM nu JOIN uns USING (merchant_id) JOIN dy d USING (merchant_id) WHERE usable AND {_Z.format(v='nu.v')} > 3.5 AND nu.v > center AND {_UNSETTLED}""",
+    "refunds": f"""SELECT d.merchant_id, 'refund_ratio_spike', d.source_txn_id, 'transaction_status', coalesce(nullif(transaction_status, ''), 'REFUND'), 'refund of ' || {_MONEY.format(v='total_amount')}
+        FROM dy d JOIN f USING (merchant_id) WHERE d.is_refund AND f.refunds >= 1 AND gross > 0 AND refunded / gross >= 0.3""",
+    "declines": """SELECT d.merchant_id, 'decline_ratio_spike', d.source_txn_id, 'transaction_status', transaction_status, 'declined authorisation'
+        FROM dy d JOIN f USING (merchant_id) WHERE NOT d.is_refund AND upper(d.transaction_status) = 'DECLINED' AND attempts >= 5 AND declined / attempts >= 0.25""",
+    "structuring": f"""SELECT s.merchant_id, 'structuring_below_threshold', s.source_txn_id, 'total_amount', {_MONEY.format(v='total_amount')}, format('{{:.1f}}', (1 - total_amount / 1000.0) * 100) || '% below the HKD 1,000.00 threshold'
+        FROM sales s JOIN f USING (merchant_id) WHERE {_NEAR} AND own_center < 500 AND (SELECT count(*) FROM sales n WHERE n.merchant_id = s.merchant_id AND {_NEAR}) >= 3""",
+    "counts": f"""SELECT s.merchant_id, 'count_vs_own_baseline', s.source_txn_id, 'occurred_at', strftime(occurred_at, '%Y-%m-%dT%H:%M:%S'), 'one of ' || nd.v || ' transactions today, against a usual ' || format('{{:,.0f}}', center)
+        FROM sales s JOIN nd USING (merchant_id) JOIN cnt USING (merchant_id) WHERE usable AND {_Z.format(v='nd.v')} > 3.5""",
+    "dormant": f"""SELECT s.merchant_id, 'dormant_reactivation', s.source_txn_id, 'occurred_at', strftime(occurred_at, '%Y-%m-%dT%H:%M:%S'), 'first activity in ' || date_diff('day', last_active, DATE '{DAY:%Y-%m-%d}') || ' days'
+        FROM sales s JOIN f USING (merchant_id) WHERE upper(coalesce(transaction_status, '')) NOT IN ('DECLINED', 'CANCELLED', 'VOIDED') AND date_diff('day', last_active, DATE '{DAY:%Y-%m-%d}') >= 7 AND settled >= 1""",
 }
-query("j03_contributions", f", {FEATURES}, {UNSETTLED}, {_DAY_UNSETTLED} {' UNION ALL '.join(_DRIVING.values())}")(
-    lambda p: _contributions(p).where(F.col("detector").isin("amount_vs_own_baseline", "unsettled_ratio_vs_own_baseline", "refund_ratio_spike", "decline_ratio_spike")).select("merchant_id", "detector", "source_txn_id", "field")
+_DRIVEN = ("amount_vs_own_baseline", "unsettled_ratio_vs_own_baseline", "refund_ratio_spike", "decline_ratio_spike", "structuring_below_threshold", "count_vs_own_baseline", "dormant_reactivation")
+query("j03_contributions", f", {FEATURES}, {UNSETTLED}, {_DAY_UNSETTLED}, {COUNT}, {_DAY_COUNT} {' UNION ALL '.join(_DRIVING.values())}")(
+    lambda p: _contributions(p).where(F.col("detector").isin(*_DRIVEN)).select("merchant_id", "detector", "source_txn_id", "field", "value", "reason")
 )
 _RING_HITS = [SQL[n].replace(_FLAGGED, "fl AS (SELECT merchant_id FROM flg)").replace("pr * 1.0", "pr * 1.2") for n in ("c01_shared_identity", "c02_agent_concentration", "c03_card_across_related", "c04_card_swarm", "c05_geo_velocity")]
 SQL["m04_ranked_alerts"] = f"""WITH RECURSIVE {fixture.LEDGER_SQL}, {VIEWS}, {OWN}, eh AS ({_EVERY_HIT}), flg AS (SELECT DISTINCT merchant_id FROM eh),
