@@ -91,7 +91,7 @@ FITS = {
 
 
 def hit(
-    df: DataFrame, detector: str, feature: Column | str, value: Column, base: Column, deviation: Column, score: Column | None = None,
+    df: DataFrame, detector: Column | str, feature: Column | str, value: Column, base: Column, deviation: Column, score: Column | None = None,
     evidence: Column | None = None, family: str = "A", places: tuple[int | None, int | None, int | None] = (None, None, 2),
 ) -> DataFrame:
     """Rows of ``df`` as hits; without a score, a tenth of the deviation, at most 1.
@@ -102,7 +102,7 @@ def hit(
     return df.select(
         "merchant_id",
         F.lit(family).alias("family"),
-        F.lit(detector).alias("detector"),
+        (F.lit(detector) if isinstance(detector, str) else detector).alias("detector"),
         (F.least(deviation / 10, F.lit(1.0)) if score is None else score).cast("double").alias("sub_score"),
         (F.lit(feature) if isinstance(feature, str) else feature).alias("feature_name"),
         value.alias("merchant_value"),

@@ -73,12 +73,12 @@ def fires(deviation: Column, amount: Column, outlier_z: Column, materiality: Col
 
 
 def by_mcc(setting: str, default: float, overrides: dict[str, dict[str, float]]) -> Column:
-    """A setting with overrides per MCC; what an MCC doesn't override is inherited."""
-    out = F.lit(float(default))
-    for mcc, values in sorted(overrides.items()):
-        if setting in values:
-            out = F.when(F.col("mcc") == mcc, F.lit(float(values[setting]))).otherwise(out)
-    return out
+    """A setting with overrides per MCC, looked up in one map; what an MCC doesn't override is inherited."""
+    own = {mcc: float(values[setting]) for mcc, values in sorted(overrides.items()) if setting in values}
+    if not own:
+        return F.lit(float(default))
+    table = F.create_map(*[F.lit(x) for pair in own.items() for x in pair])
+    return F.coalesce(F.try_element_at(table, F.col("mcc")), F.lit(float(default)))
 
 
 def dated(ledger: DataFrame) -> DataFrame:

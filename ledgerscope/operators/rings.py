@@ -97,14 +97,25 @@ def _busiest(rows: DataFrame, keys: list[str]) -> DataFrame:
     return counts.groupBy(*keys).agg(F.min(F.struct(-F.col("c"), "merchant_id")).alias("m")).select(*keys, F.col("m.merchant_id").alias("merchant_id"))
 
 
-def branch_structuring(p: Portfolio, flagged: DataFrame, r: Rule) -> DataFrame:
-    """A card at more branches of one owner in a day than allowed: one hit for card, day and owner group."""
+def branch_cases(p: Portfolio, r: Rule) -> tuple[DataFrame, DataFrame]:
+    """(cases, focus): cards at more branches of one owner in a day than allowed, and the rows at those branches.
+
+    A case is a card, a day and an owner group; ``subject`` names it without the card's number.
+    """
     rows = card_events(p).join(circles(p.merchants).where("size > 1"), "merchant_id")
-    keys = ["hashed_pan", "txn_date", "circle"]
+    subject = F.concat_ws(" ", "card_ref", F.col("txn_date").cast("string"), F.hex("circle.a"))
+    rows = rows.withColumn("subject", subject)
+    keys = ["hashed_pan", "card_ref", "subject"]
     live = rows.groupBy(*keys).agg(F.countDistinct("merchant_id").alias("n"), F.count("*").alias("evidence")).where(F.col("n") > r.value("max_branches"))
-    found = live.join(_busiest(rows, keys), keys)
+    cases = live.join(_busiest(rows, keys), keys)
+    return cases, rows.join(live.select("subject"), "subject").select(*FOCUS)
+
+
+def branch_structuring(p: Portfolio, flagged: DataFrame, r: Rule) -> DataFrame:
+    """A card at more branches of one owner in a day than allowed: one hit for card, day and owner group."""
+    cases, _ = branch_cases(p, r)
     over = F.col("n") - r.value("max_branches")
-    return hit(found, r.name, "related_merchants_per_card_per_day", F.col("n"), F.lit(r.value("max_branches")), over, F.least(0.5 + 0.1 * over, F.lit(1.0)), F.col("evidence"), "C")
+    return hit(cases, r.name, "related_merchants_per_card_per_day", F.col("n"), F.lit(r.value("max_branches")), over, F.least(0.5 + 0.1 * over, F.lit(1.0)), F.col("evidence"), "C")
 
 
 def swarm_windows(p: Portfolio, r: Rule) -> DataFrame:
@@ -122,12 +133,18 @@ def swarm_windows(p: Portfolio, r: Rule) -> DataFrame:
     return first.select("hashed_pan", (F.col("w.t") - reach).alias("t0"), F.col("w.t").alias("t1"), F.col("w.id").alias("last"), "w.touched", "w.apart")
 
 
-def card_swarm(p: Portfolio, flagged: DataFrame, r: Rule) -> DataFrame:
+def swarm_cases(p: Portfolio, r: Rule) -> tuple[DataFrame, DataFrame]:
+    """(cases, focus): each card's first window with enough unrelated merchants, and the rows in it."""
     windows = swarm_windows(p, r)
-    rows = card_events(p).join(windows, "hashed_pan").where("t >= t0 and (t < t1 or (t = t1 and source_txn_id <= last))")
-    found = windows.join(_busiest(rows, ["hashed_pan"]), "hashed_pan").join(rows.groupBy("hashed_pan").agg(F.count("*").alias("evidence")), "hashed_pan")
+    rows = card_events(p).join(windows, "hashed_pan").where("t >= t0 and (t < t1 or (t = t1 and source_txn_id <= last))").withColumn("subject", F.col("card_ref"))
+    each = rows.groupBy("hashed_pan", "card_ref", "subject").agg(F.count("*").alias("evidence"))
+    return windows.join(each, "hashed_pan").join(_busiest(rows, ["hashed_pan"]), "hashed_pan"), rows.select(*FOCUS)
+
+
+def card_swarm(p: Portfolio, flagged: DataFrame, r: Rule) -> DataFrame:
+    cases, _ = swarm_cases(p, r)
     limit = r.value("min_merchants")
-    return hit(found, r.name, "unrelated_merchants_per_card_window", F.col("touched"), F.lit(limit), F.col("touched") - limit, F.least(0.4 + 0.1 * F.col("apart"), F.lit(1.0)), F.col("evidence"), "C")
+    return hit(cases, r.name, "unrelated_merchants_per_card_window", F.col("touched"), F.lit(limit), F.col("touched") - limit, F.least(0.4 + 0.1 * F.col("apart"), F.lit(1.0)), F.col("evidence"), "C")
 
 
 def legs(p: Portfolio, places: DataFrame, r: Rule) -> DataFrame:
@@ -147,12 +164,89 @@ def legs(p: Portfolio, places: DataFrame, r: Rule) -> DataFrame:
     return timed.where((F.col("km") >= r.value("min_km")) & (F.col("kmh") > r.value("max_kmh")))
 
 
+def geo_cases(p: Portfolio, r: Rule, places: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cases, focus): cards with a leg that is too fast, and the rows at the ends of such legs.
+
+    The arrival of the fastest leg carries the case; of equals the first by id.
+    """
+    far = legs(p, places, r).withColumn("subject", F.col("card_ref"))
+    keys = ["hashed_pan", "card_ref", "subject"]
+    worst = far.groupBy(*keys).agg(F.min(F.struct(-F.col("kmh"), "source_txn_id", "merchant_id")).alias("w"), F.count("*").alias("evidence"))
+    cases = worst.select(*keys, F.col("w.merchant_id").alias("merchant_id"), (-F.col("w.col1")).alias("kmh"), "evidence")
+    ends = far.select("hashed_pan", "subject", F.explode(F.array(*[F.struct(F.col(f"{x}merchant_id").alias("merchant_id"), F.col(f"{x}source_txn_id").alias("source_txn_id")) for x in ("", "from_")])).alias("e"))
+    return cases, ends.select("hashed_pan", "subject", "e.merchant_id", "e.source_txn_id").distinct()
+
+
 def geo_velocity(p: Portfolio, flagged: DataFrame, r: Rule, places: DataFrame) -> DataFrame:
-    """One hit for each card with a leg that is too fast, at the arrival of the fastest; equals: the first by id."""
-    worst = legs(p, places, r).groupBy("hashed_pan").agg(F.min(F.struct(-F.col("kmh"), "source_txn_id", "merchant_id")).alias("w"), F.count("*").alias("evidence"))
-    found = worst.select(F.col("w.merchant_id").alias("merchant_id"), (-F.col("w.col1")).alias("kmh"), "evidence")
+    """One hit for each card with a leg that is too fast."""
+    cases, _ = geo_cases(p, r, places)
     limit = r.value("max_kmh")
-    return hit(found, r.name, "implied_travel_speed_kmh", F.col("kmh"), F.lit(limit), F.col("kmh") / limit, F.least(F.col("kmh") / (4 * limit), F.lit(1.0)), F.col("evidence"), "C", (1, None, 2))
+    return hit(cases, r.name, "implied_travel_speed_kmh", F.col("kmh"), F.lit(limit), F.col("kmh") / limit, F.least(F.col("kmh") / (4 * limit), F.lit(1.0)), F.col("evidence"), "C", (1, None, 2))
+
+
+#: Columns of the rows that a card's case rests on.
+FOCUS = ("hashed_pan", "subject", "merchant_id", "source_txn_id")
+#: What a case says of the rows that it rests on.
+_REASONS = {
+    "card_across_related_merchants": lambda n: F.lit("same card, same owner group, same day"),
+    "card_swarm": lambda n: F.lit("part of a same-card burst across merchants"),
+    "impossible_geo_velocity": lambda n: F.concat(F.lit("same card at "), n.cast("string"), F.lit(" merchants, at times the journey between them does not allow")),
+}
+
+
+def card_cases(p: Portfolio, places: DataFrame, rules: list[Rule]) -> dict[str, tuple[DataFrame, DataFrame]]:
+    """(cases, focus) of every enabled rule about cards, by rule."""
+    make = {"card_across_related_merchants": branch_cases, "card_swarm": swarm_cases, "impossible_geo_velocity": lambda p, r: geo_cases(p, r, places)}
+    return {r.name: make[r.template](p, r) for r in rules if r.enabled and r.template in make}
+
+
+def linkage(p: Portfolio, places: DataFrame, rules: list[Rule]) -> DataFrame:
+    """(detector, merchant_id, subject, card_ref, related, merchants, transactions): what each case about a card links.
+
+    ``merchant_id`` carries the alert. How many merchants and transactions a case links is counted;
+    which, is in ``trails``: a card may touch very many.
+    """
+    out, templates = [], {r.name: r.template for r in rules}
+    for name, (cases, focus) in card_cases(p, places, rules).items():
+        sizes = focus.groupBy("subject").agg(F.countDistinct("merchant_id").alias("merchants"), F.count("*").alias("transactions"))
+        related = F.lit(templates[name] == "card_across_related_merchants")
+        out.append(cases.join(sizes, "subject").select(F.lit(name).alias("detector"), "merchant_id", "subject", "card_ref", related.alias("related"), "merchants", "transactions"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def trails(p: Portfolio, places: DataFrame, rules: list[Rule]) -> DataFrame:
+    """(detector, subject, card_ref, carrier, source_txn_id, occurred_at, field, value, focus, reason): the whole day of each case's card, across all merchants.
+
+    What else a card did has to be on the page; the rows that the case rests on are told apart by
+    ``focus`` and by their reason. These are the contributions of hits about cards.
+    """
+    out, templates = [], {r.name: r.template for r in rules}
+    for name, (cases, focus) in card_cases(p, places, rules).items():
+        n = focus.groupBy("subject").agg(F.countDistinct("merchant_id").alias("__n"))
+        own = cases.join(n, "subject").select("hashed_pan", "card_ref", "subject", F.col("merchant_id").alias("carrier"), "__n")
+        day = card_events(p).select("hashed_pan", "merchant_id", "source_txn_id", "occurred_at").join(own, "hashed_pan")
+        both = day.join(focus.select("subject", "source_txn_id", F.lit(True).alias("__f")), ["subject", "source_txn_id"], "left")
+        mark = F.coalesce("__f", F.lit(False))
+        reason = F.when(mark, _REASONS[templates[name]](F.col("__n"))).otherwise(F.lit("same card, same day — context for the trail"))
+        out.append(both.select(
+            F.lit(name).alias("detector"), "subject", "card_ref", "carrier", "source_txn_id", "occurred_at", F.lit("merchant_id").alias("field"), F.col("merchant_id").alias("value"),
+            mark.alias("focus"), reason.alias("reason"),
+        ))
+    return reduce(DataFrame.unionByName, out)
+
+
+def journeys(p: Portfolio, places: DataFrame, r: Rule) -> DataFrame:
+    """The legs behind cases of impossible travel as they are shown: places, times, and rounded arithmetic."""
+    name = F.coalesce(F.nullif(F.col("merchant_subdistrict"), F.lit("")), F.nullif(F.col("merchant_district"), F.lit("")), F.lit("unknown"))
+    named = p.merchants.select("merchant_id", name.alias("place"))
+    here, there = named.select(F.col("merchant_id").alias("from_merchant_id"), F.col("place").alias("from_place")), named.withColumnRenamed("place", "to_place")
+    far = legs(p, places, r).join(here, "from_merchant_id").join(there, "merchant_id")
+    limit = r.value("max_kmh")
+    return far.select(
+        F.col("card_ref").alias("subject"), F.col("from_merchant_id").alias("from_merchant"), "from_place", F.col("from_source_txn_id").alias("from_txn_id"), "from_t",
+        F.col("merchant_id").alias("to_merchant"), "to_place", F.col("source_txn_id").alias("to_txn_id"), F.col("t").alias("to_t"),
+        F.round("km", 2).alias("distance_km"), F.round("minutes", 1).alias("minutes"), F.round("kmh", 1).alias("kmh"), F.lit(round(limit, 1)).alias("limit_kmh"), F.round(F.col("kmh") / limit, 2).alias("over_limit_multiple"),
+    )
 
 
 EVALUATORS = {

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -84,6 +85,44 @@ def validate(rules: list[Rule]) -> None:
 DEFAULT_RULES = [Rule(t) for t in TEMPLATES]
 
 
+class Instances:
+    """The enabled instances of one template as data: each row is spread to those that apply, and all are judged in one pass."""
+
+    def __init__(self, rules: list[Rule]) -> None:
+        self.rules = rules
+        self.template = rules[0].template
+
+    @property
+    def name(self) -> Column:
+        return F.col("__rule.name")
+
+    def value(self, name: str) -> Column:
+        return F.col(f"__rule.{name}")
+
+    def spread(self, rows: DataFrame) -> DataFrame:
+        """``rows`` once for each instance whose scope holds their MCC, with the instance's name and values as ``__rule``.
+
+        Instances are set by hand and few; they are literals of the plan. An empty scope holds all
+        merchants; a null MCC counts as an empty one.
+        """
+        one = lambda r: F.struct(
+            F.lit(r.name).alias("name"), *[F.lit(r.value(k)).alias(k) for k in TEMPLATES[self.template]], F.array(*[F.lit(m) for m in r.mcc_scope]).cast("array<string>").alias("scope")
+        )
+        each = rows.withColumn("__rule", F.explode(F.array(*map(one, self.rules))))
+        return each.where((F.size("__rule.scope") == 0) | F.array_contains("__rule.scope", F.coalesce("mcc", F.lit(""))))
+
+
+def _judged(check: Callable[[Portfolio, DataFrame, Instances], DataFrame]) -> Callable[[Portfolio, DataFrame, Rule | Instances], DataFrame]:
+    """``check`` for one rule, or for all instances of its template at once."""
+
+    def of(p: Portfolio, f: DataFrame, r: Rule | Instances) -> DataFrame:
+        given = r if isinstance(r, Instances) else Instances([r])
+        return check(p, given.spread(f), given)
+
+    of.__name__ = check.__name__
+    return of
+
+
 def day_features(p: Portfolio) -> DataFrame:
     """One row per merchant with any row on the scored day: sums, counts, levels and history that the rules read.
 
@@ -112,66 +151,73 @@ def day_features(p: Portfolio) -> DataFrame:
     return day.join(own, "merchant_id", "left").join(peers, "mcc", "left").join(p.fitted("last_activity"), "merchant_id", "left")
 
 
-def structuring(p: Portfolio, f: DataFrame, r: Rule) -> DataFrame:
+def structuring(p: Portfolio, f: DataFrame, r: Instances) -> DataFrame:
     top, low = r.value("threshold"), r.value("threshold") * (1 - r.value("band_fraction"))
     status = F.upper(F.coalesce("transaction_status", F.lit("")))
-    near = p.sales().where(~status.isin("DECLINED", "CANCELLED", "VOIDED") & (F.col("total_amount") >= low) & (F.col("total_amount") < top))
-    counts = near.groupBy("merchant_id").agg(F.count("*").alias("near"))
-    found = f.join(counts, "merchant_id").where((F.col("own_center") < top * r.value("max_baseline_ratio")) & (F.col("near") >= r.value("min_count")))
+    near = r.spread(p.sales()).where(~status.isin("DECLINED", "CANCELLED", "VOIDED") & (F.col("total_amount") >= low) & (F.col("total_amount") < top))
+    counts = near.groupBy("merchant_id", r.name.alias("__name")).agg(F.count("*").alias("near"))
+    found = f.withColumn("__name", r.name).join(counts, ["merchant_id", "__name"]).where((F.col("own_center") < top * r.value("max_baseline_ratio")) & (F.col("near") >= r.value("min_count")))
     n = F.col("near")
     return hit(found, r.name, "near_threshold_transaction_count", n, F.lit(r.value("min_count")), n - r.value("min_count"), F.least(0.55 + 0.05 * (n - r.value("min_count")), F.lit(1.0)), n, "B")
 
 
-def refund_ratio(p: Portfolio, f: DataFrame, r: Rule) -> DataFrame:
+def refund_ratio(p: Portfolio, f: DataFrame, r: Instances) -> DataFrame:
     found = f.where((F.col("refunds") >= r.value("min_refunds")) & (F.col("gross") > 0)).withColumn("v", F.col("refunded") / F.col("gross")).where(F.col("v") >= r.value("ratio"))
     return hit(found, r.name, "refund_value_share", F.col("v"), F.lit(r.value("ratio")), F.col("v") - r.value("ratio"), F.least("v", F.lit(1.0)), F.col("refunds"), "B", (4, None, 4))
 
 
-def bust_out(p: Portfolio, f: DataFrame, r: Rule) -> DataFrame:
-    """The last active days' median value against all earlier ones'. Days are few, so a window ranks them."""
-    recent = int(r.value("recent_days"))
+def bust_out(p: Portfolio, f: DataFrame, r: Instances) -> DataFrame:
+    """The last active days' median value against all earlier ones'. Days are few, so a window ranks them, once for all instances."""
     w = Window.partitionBy("merchant_id")
-    ranked = p.fitted("daily_value").withColumn("k", F.row_number().over(w.orderBy(F.desc("txn_date")))).withColumn("days", F.count("*").over(w)).where(F.col("days") >= 2 * recent)
-    levels = ranked.groupBy("merchant_id").agg(F.median(F.when(F.col("k") <= recent, F.col("gross"))).alias("now"), F.median(F.when(F.col("k") > recent, F.col("gross"))).alias("before"))
+    ranked = p.fitted("daily_value").withColumn("k", F.row_number().over(w.orderBy(F.desc("txn_date")))).withColumn("days", F.count("*").over(w))
+    recent = r.value("recent_days").cast("int")
+    both = f.join(ranked.select("merchant_id", "k", "days", F.col("gross").alias("value")), "merchant_id").where(F.col("days") >= 2 * recent)
+    keys = ["merchant_id", "__rule", "gross", "refunded", "refunds"]
+    levels = both.groupBy(*keys).agg(F.median(F.when(F.col("k") <= recent, F.col("value"))).alias("now"), F.median(F.when(F.col("k") > recent, F.col("value"))).alias("before"))
     share = F.when(F.col("gross") > 0, F.col("refunded") / F.col("gross")).otherwise(F.lit(0.0))
-    found = f.join(levels.where("before > 0"), "merchant_id").withColumn("v", F.col("now") / F.col("before")).where((F.col("v") >= r.value("spike_ratio")) & (share >= r.value("refund_ratio")))
+    found = levels.where("before > 0").withColumn("v", F.col("now") / F.col("before")).where((F.col("v") >= r.value("spike_ratio")) & (share >= r.value("refund_ratio")))
     return hit(found, r.name, "recent_vs_earlier_daily_value", F.col("now"), F.col("before"), F.col("v"), evidence=F.col("refunds"), family="B", places=(2, 2, 2))
 
 
-def dormant(p: Portfolio, f: DataFrame, r: Rule) -> DataFrame:
+def dormant(p: Portfolio, f: DataFrame, r: Instances) -> DataFrame:
     gap = F.datediff(F.lit(scored_day(p.as_of).start.date().isoformat()).cast("date"), F.col("last_active"))
     found = f.withColumn("gap", gap).where((F.col("gap") >= r.value("silence_days")) & (F.col("settled") >= r.value("return_count")))
     return hit(found, r.name, "days_dormant_before_return", F.col("gap"), F.lit(r.value("silence_days")), F.col("gap") - r.value("silence_days"), F.least(0.5 + F.col("gap") / 365, F.lit(1.0)), F.col("settled"), "B")
 
 
-def rapid_movement(p: Portfolio, f: DataFrame, r: Rule) -> DataFrame:
+def rapid_movement(p: Portfolio, f: DataFrame, r: Instances) -> DataFrame:
     limit = r.value("match_tolerance")
     live = f.where((F.col("gross") >= r.value("min_value")) & (F.col("gross") > 0) & (F.col("refunded") > 0))
     found = live.withColumn("v", F.abs(F.col("gross") - F.col("refunded")) / F.col("gross")).where(F.col("v") <= limit)
     return hit(found, r.name, "same_day_in_out_mismatch", F.col("v"), F.lit(limit), limit - F.col("v"), F.least(0.6 + (limit - F.col("v")), F.lit(1.0)), F.col("settled") + F.col("refunds"), "B", (4, None, 4))
 
 
-def declared_mismatch(p: Portfolio, f: DataFrame, r: Rule) -> DataFrame:
+def declared_mismatch(p: Portfolio, f: DataFrame, r: Instances) -> DataFrame:
     live = f.where("own_center <> 0 and cohort_center > 0 and has_hours").withColumn("v", F.col("own_center") / F.col("cohort_center")).withColumn("overlap", F.col("inside") / F.col("rows"))
     found = live.where((F.col("v") >= r.value("ticket_ratio")) & (F.col("overlap") < r.value("hours_overlap")))
     return hit(found, r.name, "declared_category_divergence", F.col("v"), F.lit(r.value("ticket_ratio")), F.col("v") - r.value("ticket_ratio"), F.least(F.col("v") / 20 + (1 - F.col("overlap")) / 2, F.lit(1.0)), F.col("rows") - F.col("inside"), "B", (2, None, 2))
 
 
-def decline_ratio(p: Portfolio, f: DataFrame, r: Rule) -> DataFrame:
+def decline_ratio(p: Portfolio, f: DataFrame, r: Instances) -> DataFrame:
     found = f.where(F.col("attempts") >= r.value("min_attempts")).withColumn("v", F.col("declined") / F.col("attempts")).where(F.col("v") >= r.value("ratio"))
     return hit(found, r.name, "declined_authorisation_share", F.col("v"), F.lit(r.value("ratio")), F.col("v") - r.value("ratio"), F.least("v", F.lit(1.0)), F.col("declined"), "B", (4, None, 4))
 
 
 EVALUATORS = {
-    "structuring_below_threshold": structuring, "refund_ratio_spike": refund_ratio, "bust_out": bust_out, "dormant_reactivation": dormant,
-    "rapid_movement": rapid_movement, "declared_vs_actual_mismatch": declared_mismatch, "decline_ratio_spike": decline_ratio,
+    "structuring_below_threshold": _judged(structuring), "refund_ratio_spike": _judged(refund_ratio), "bust_out": _judged(bust_out), "dormant_reactivation": _judged(dormant),
+    "rapid_movement": _judged(rapid_movement), "declared_vs_actual_mismatch": _judged(declared_mismatch), "decline_ratio_spike": _judged(decline_ratio),
 }
 
 
-def evaluate(p: Portfolio, rules: list[Rule], features: DataFrame | None = None) -> DataFrame:
-    """Hits of all enabled rules of family B; rules of other families are passed over."""
+def by_template(rules: list[Rule]) -> dict[str, Instances]:
+    """The enabled rules of family B, those of a template together; rules of other families are passed over."""
     validate(rules)
-    f = day_features(p) if features is None else features
     live = [r for r in rules if r.enabled and r.template in EVALUATORS]
-    found = [EVALUATORS[r.template](p, f.where(r.in_scope()), r) for r in live]
+    return {t: Instances([r for r in live if r.template == t]) for t in dict.fromkeys(r.template for r in live)}
+
+
+def evaluate(p: Portfolio, rules: list[Rule], features: DataFrame | None = None) -> DataFrame:
+    """Hits of all enabled rules of family B: one pass for each template, whatever the number of its instances."""
+    f = day_features(p) if features is None else features
+    found = [EVALUATORS[t](p, f, given) for t, given in by_template(rules).items()]
     return reduce(DataFrame.unionByName, found) if found else hit(f.limit(0), "", "", F.lit(0.0), F.lit(0.0), F.lit(0.0), family="B")

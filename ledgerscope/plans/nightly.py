@@ -7,8 +7,9 @@ from dataclasses import replace
 from functools import partial, reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ledgerscope.operators import alerts, baselines, detectors, profiles, rings, typology
+from ledgerscope.operators import alerts, baselines, contributions, detectors, profiles, rings, typology
 from ledgerscope.operators.detectors import Portfolio
 from ledgerscope.operators.typology import DEFAULT_RULES, Rule
 from ledgerscope.sources import tables
@@ -24,11 +25,11 @@ def score(p: Portfolio, places: DataFrame, rules: list[Rule] = DEFAULT_RULES, op
     """
     spark = p.ledger.sparkSession
     p = detectors.write_fits(p)
-    p = replace(p, written={**p.written, **tables.write_all(spark, {"features": partial(typology.day_features, p), "card_events": partial(rings.card_events, p)})})
+    shared = {"features": partial(typology.day_features, p), "card_events": partial(rings.card_events, p)}
+    p = replace(p, written={**p.written, **tables.write_all(spark, {n: make for n, make in shared.items() if n not in p.written})})
     checks = {d.__name__: partial(d, p) for d in detectors.DETECTORS}
-    for r in (r for r in rules if r.enabled and r.template in typology.EVALUATORS):
-        checks[f"rule-{r.name}"] = partial(typology.evaluate, p, [r], p.written["features"])
-    typology.validate(rules)
+    for template, given in typology.by_template(rules).items():
+        checks[f"rule-{template}"] = partial(typology.EVALUATORS[template], p, p.written["features"], given)
     first = reduce(DataFrame.unionByName, tables.write_all(spark, checks).values())
     flagged = first.select("merchant_id")
     if open_alerts is not None:
@@ -39,10 +40,23 @@ def score(p: Portfolio, places: DataFrame, rules: list[Rule] = DEFAULT_RULES, op
 
 
 def everything(p: Portfolio, rules: list[Rule], places: DataFrame) -> dict[str, DataFrame]:
-    """What a night publishes: ranked alerts, profiles, cohorts and their members."""
+    """What a night publishes: ranked alerts and the rows behind them, profiles, cohorts and their members.
+
+    Evidence is frozen with the alerts: ``contributions`` of families A and B, and, of cases about
+    cards, ``trails`` (the card's day), ``linkage`` and ``journeys`` (legs that are too fast).
+    """
+    spark = p.ledger.sparkSession
     p = detectors.write_fits(p)
+    p = replace(p, written={**p.written, **tables.write_all(spark, {"features": partial(typology.day_features, p), "card_events": partial(rings.card_events, p)})})
     cohorts = baselines.cohort_snapshots(p.fitted("peer_amount"), p.as_of).drop("as_of")
-    return {"alerts": score(p, places, rules), "profiles": profiles.assemble(p), "cohorts": cohorts, "cohort_members": profiles.cohort_members(p)}
+    made = {"alerts": score(p, places, rules), "profiles": profiles.assemble(p), "cohorts": cohorts, "cohort_members": profiles.cohort_members(p)}
+    rows = tables.write_all(spark, contributions.family_a(p) | contributions.family_b(p, rules, p.written["features"]))
+    made["contributions"] = reduce(DataFrame.unionByName, rows.values())
+    if rings.card_cases(p, places, rules):
+        made |= {"trails": rings.trails(p, places, rules), "linkage": rings.linkage(p, places, rules)}
+    if fast := [r for r in rules if r.enabled and r.template == "impossible_geo_velocity"]:
+        made["journeys"] = reduce(DataFrame.unionByName, [rings.journeys(p, places, r).withColumn("detector", F.lit(r.name)) for r in fast])
+    return made
 
 
 def night(store: RunStore, p: Portfolio, places: DataFrame, label: str | None = None, triggered_by: str | None = None, made: Callable = everything) -> int:

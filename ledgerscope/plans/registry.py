@@ -6,6 +6,7 @@ six places, dates and times are text, so that two engines give equal values.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import replace
 from functools import reduce
@@ -371,6 +372,38 @@ query("b09_day_features", f", {FEATURES} SELECT merchant_id, rows_ AS rows, sett
     lambda p: ty.day_features(p).select("merchant_id", "rows", "settled", "refunds", "gross", "refunded", "attempts", "declined", "inside", "own_center", "cohort_center", "last_active")
 )
 
+#: Several instances of templates at once, some for a few trades alone.
+INSTANCES = [
+    Rule("structuring_below_threshold", {"threshold": 1000, "band_fraction": 0.5}, "structuring-all"),
+    Rule("structuring_below_threshold", {"threshold": 2000, "band_fraction": 0.5, "min_count": 2}, "structuring-5002", True, ("5002", "5003"), True),
+    Rule("refund_ratio_spike", {"min_refunds": 1}, "refunds-all"),
+    Rule("refund_ratio_spike", {"min_refunds": 1, "ratio": 0.6}, "refunds-high", True, ("5001",)),
+    Rule("refund_ratio_spike", {"min_refunds": 1}, "refunds-off", False),
+    Rule("bust_out", {"spike_ratio": 1.5, "recent_days": 3, "refund_ratio": 0}, "bust-3"),
+    Rule("decline_ratio_spike", {"min_attempts": 5}, "declines", True, ("5000", "")),
+]
+
+
+def _instance(name: str, b: str, *changes: tuple[str, str]) -> str:
+    """The SQL of a rule of family B under another name and with other values."""
+    sql = re.sub(r"'B' AS family, '\w+' AS detector", f"'B' AS family, '{name}' AS detector", RULE_SQL[b])
+    for old, new in changes:
+        assert old in sql, (name, old)
+        sql = sql.replace(old, new)
+    return f"({sql})"
+
+
+_SCOPED = "merchant_id IN (SELECT merchant_id FROM merchants WHERE mcc IN ({0}))"
+_INSTANCE_SQL = [
+    _instance("structuring-all", "b01_structuring"),
+    f"(SELECT * FROM {_instance('structuring-5002', 'b01_structuring', ('total_amount >= 500 AND total_amount < 1000', 'total_amount >= 1000 AND total_amount < 2000'), ('own_center < 500', 'own_center < 1000'), ('near >= 3', 'near >= 2'), ('3.0', '2.0'), ('near - 3', 'near - 2'))} WHERE {_SCOPED.format(chr(39) + '5002' + chr(39) + ',' + chr(39) + '5003' + chr(39))})",
+    _instance("refunds-all", "b02_refund_ratio"),
+    f"(SELECT * FROM {_instance('refunds-high', 'b02_refund_ratio', ('0.3', '0.6'))} WHERE {_SCOPED.format(chr(39) + '5001' + chr(39))})",
+    _instance("bust-3", "b03_bust_out"),
+    f"(SELECT * FROM {_instance('declines', 'b07_decline_ratio')} WHERE {_SCOPED.format(chr(39) + '5000' + chr(39))})",
+]
+query("b10_rule_instances", f", {FEATURES}, {_DAILY_VALUE} {' UNION ALL '.join(_INSTANCE_SQL)}")(lambda p: ty.evaluate(p, INSTANCES))
+
 # ---- family C ------------------------------------------------------------------------------
 
 #: The merchants that the fixture's queries of family C take as flagged: every third.
@@ -406,7 +439,7 @@ _KM = "2 * 6371.0088 * asin(least(1.0, sqrt(pow(sin(radians(b.lat - a.lat) / 2),
 LEGS = f"""{CARDS}, loc AS (SELECT merchant_id, coalesce(s.lat, d.lat) AS lat, coalesce(s.lon, d.lon) AS lon FROM merchants
   LEFT JOIN places s ON s.kind = 'subdistrict' AND lower(s.place) = lower(trim(regexp_replace(merchant_subdistrict, '\\s+', ' ', 'g')))
   LEFT JOIN places d ON d.kind = 'district' AND lower(d.place) = lower(trim(merchant_district))),
-lg AS (SELECT *, lag(merchant_id) OVER w AS fm, lag(t) OVER w AS ft FROM ce WINDOW w AS (PARTITION BY hashed_pan ORDER BY t, source_txn_id)),
+lg AS (SELECT *, lag(merchant_id) OVER w AS fm, lag(source_txn_id) OVER w AS fi, lag(t) OVER w AS ft FROM ce WINDOW w AS (PARTITION BY hashed_pan ORDER BY t, source_txn_id)),
 lk AS (SELECT lg.*, (t - ft) / 60000000.0 AS minutes, {_KM} AS km FROM lg JOIN loc a ON a.merchant_id = fm JOIN loc b ON b.merchant_id = lg.merchant_id WHERE fm <> lg.merchant_id AND t > ft AND t - ft <= 240 * 60000000::BIGINT),
 legs AS (SELECT *, km / (minutes / 60) AS kmh FROM lk WHERE km >= 1 AND km / (minutes / 60) > 5)"""
 query("c05_geo_velocity", f", {LEGS}, lw AS (SELECT hashed_pan, min((-kmh, source_txn_id, merchant_id)) AS w, count(*) AS e FROM legs GROUP BY 1) " + hits("impossible_geo_velocity", "(SELECT w[3] AS merchant_id, -w[1] AS kmh, e FROM lw)", "'implied_travel_speed_kmh'", "kmh", "5.0", "kmh / 5", "least(kmh / 20, 1)", "e", "C", (1, None, 2)))(
