@@ -71,26 +71,54 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return out.where(reduce(Column.__and__, [F.length(F.coalesce(c, F.lit(""))) > 0 for c in REQUIRED]))
 
 
-def read_json(spark: SparkSession, path: str) -> DataFrame:
+_TEXT_FIELDS = ", ".join(f"{c} string" for c in _FIELDS)
+
+
+def _json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, unparsed): rows of JSON files as structs ``row``, and the lines and documents ``(file, value)`` that are none."""
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), place.alias("place"), "value").where(F.length(F.trim("value")) > 0)
+    row = F.from_json("value", _TEXT_FIELDS + ", _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"})
+    wraps = reduce(Column.__or__, [F.coalesce(F.ltrim(F.get_json_object("value", f"$.{w}")).startswith("["), F.lit(False)) for w in WRAPPERS])
+    # readers stop at the end of a value; only the one behind it tells that nothing else follows
+    alone = F.get_json_object(F.concat(F.lit('{"row":'), "value", F.lit(',"end":1}')), "$.end") == "1"
+    ok = F.ltrim("value").startswith("{") & F.coalesce(alone, F.lit(False)) & F.col("row._corrupt").isNull()
+    lines = raw.withColumn("row", row).withColumn("ok", ok).withColumn("wraps", wraps)
+    first, last = (f(F.struct(F.ltrim("value").startswith("[").alias("list"), "ok", "wraps"), "place") for f in (F.min_by, F.max_by))
+    files = lines.groupBy("file").agg(first.alias("first"), last.alias("last"))
+    # a document starts as a list or a wrapper, or neither begins nor ends with a whole row
+    maybe = files.where("first.list or first.wraps or (not first.ok and not last.ok)").select("file")
+    texts = lines.join(maybe, "file", "left_semi").groupBy("file").agg(F.array_sort(F.collect_list(F.struct("place", "value"))).alias("v"))
+    text = F.ltrim("value")
+    inner = F.coalesce(F.when(text.startswith("["), text), *[F.get_json_object("value", f"$.{w}") for w in WRAPPERS], F.concat(F.lit("["), text, F.lit("]")))
+    whole = texts.select("file", F.array_join(F.transform("v", lambda x: x["value"]), "\n").alias("value"))
+    parsed = whole.withColumn("rows", F.from_json(inner, f"array<struct<{_TEXT_FIELDS.replace(' string', ':string')}>>"))
+    documents = parsed.where("rows is not null")
+    broken = parsed.where(F.col("rows").isNull() & F.ltrim("value").startswith("["))
+    by_line = lines.join(documents.unionByName(broken).select("file"), "file", "left_anti")
+    rows = by_line.where("ok").select(F.col("row").dropFields("_corrupt").alias("row")).unionByName(documents.select(F.explode("rows").alias("row")))
+    return rows, by_line.where(~F.col("ok")).select("file", "value").unionByName(broken.select("file", "value"))
+
+
+def read_json(spark: SparkSession, path: str, bad: str = "raise") -> DataFrame:
     """Delivered rows of JSON files: of each, lines, or one document (an array, an object that wraps one, or one row).
 
-    The wrapper is the first present of WRAPPERS. A file is a document if any of its lines is no
-    JSON object, or wraps an array; only such files are read whole. Files of lines are read by line,
-    however large.
+    The wrapper is the first present of WRAPPERS. Files of lines are read by line, however large; a
+    document is put together from its lines, and no file names are collected. A line or a document
+    that is no JSON raises an error when it is read, so that no row is lost unseen; with ``bad``
+    "skip" it is left to ``unparsed``, which a delivery writes to a table of its own.
     """
-    fields = ", ".join(f"{c} string" for c in _FIELDS)
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value").where(F.length(F.trim("value")) > 0)
-    row = F.from_json("value", fields + ", _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"})
-    wraps = reduce(Column.__or__, [F.ltrim(F.get_json_object("value", f"$.{w}")).startswith("[") for w in WRAPPERS])
-    whole = F.ltrim("value").startswith("[") | F.coalesce(wraps, F.lit(False)) | row["_corrupt"].isNotNull()
-    documents = [r["file"] for r in lines.groupBy("file").agg(F.max(whole).alias("whole")).where("whole").collect()]
-    by_line = lines.where(~F.col("file").isin(documents)).select(row.alias("row")).select("row.*").drop("_corrupt")
-    if not documents:
-        return by_line
-    text = F.ltrim("value")
-    inner = F.coalesce(F.when(text.startswith("["), text), *[F.get_json_object("value", f"$.{w}") for w in WRAPPERS], F.concat(F.lit("["), text, F.lit("]")))
-    array_of = f"array<struct<{fields.replace(' string', ':string')}>>"
-    return by_line.unionByName(spark.read.text(documents, wholetext=True).select(F.inline(F.from_json(inner, array_of))))
+    rows, lost = _json(spark, path)
+    if bad == "skip":
+        return rows.select("row.*")
+    refused = F.raise_error(F.concat(F.lit("no JSON in "), "file", F.lit(": "), F.substring("value", 1, 200)))
+    kind = rows.schema["row"].dataType
+    return rows.unionByName(lost.select(refused.cast(kind).alias("row"))).select("row.*")
+
+
+def unparsed(spark: SparkSession, path: str) -> DataFrame:
+    """(file, value): lines and documents of JSON files that ``read_json`` refuses."""
+    return _json(spark, path)[1]
 
 
 def blank_to_null(c: str) -> Column:

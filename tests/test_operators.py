@@ -138,3 +138,19 @@ def test_rows_without_a_readable_time_are_refused(spark):
     assert ingest.to_ledger(df.where("payment_id = 'a'")).count() == 1
     with pytest.raises(Exception, match="no readable time"):
         ingest.to_ledger(df).select("occurred_at").collect()
+
+
+def test_a_cut_line_loses_no_other(spark, tmp_path):
+    good = [f'{{"payment_id": "{c}", "total_amount": 1}}' for c in "abcde"]
+    for name, lines in {"middle": [*good[:3], '{"payment_id": "x", "tot', *good[3:]], "first": ['{"payment_id": "x"', *good], "last": [*good, '{"payment_id": "x"']}.items():
+        path = tmp_path / f"{name}.json"
+        path.write_text("\n".join(lines))
+        assert sorted(r["payment_id"] for r in ingest.read_json(spark, str(path), bad="skip").collect()) == list("abcde")
+        assert [r["value"] for r in ingest.unparsed(spark, str(path)).collect()] == [x for x in lines if x not in good]
+        with pytest.raises(Exception, match="no JSON in"):
+            ingest.read_json(spark, str(path)).collect()
+    broken = tmp_path / "broken.json"
+    broken.write_text('[{"payment_id": "a"},\n{"payment_id": "b"')
+    with pytest.raises(Exception, match="no JSON in"):
+        ingest.read_json(spark, str(broken)).collect()
+    assert ingest.read_json(spark, str(broken), bad="skip").count() == 0 and ingest.unparsed(spark, str(broken)).count() == 1
