@@ -10,12 +10,13 @@ from datetime import date, datetime, timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerscope.operators import alerts, baselines as bl, daytables, detectors as det, profiles
+from ledgerscope.operators import alerts, baselines as bl, daytables, detectors as det, diagnostics, profiles, study
 from ledgerscope.operators.detectors import Portfolio, Tuning
 from ledgerscope.plans import nightly
 from ledgerscope.plans import registry as reg
 from ledgerscope.plans.registry import AS_OF, query
 from ledgerscope.sources import fixture, tables
+from ledgerscope.sources.ledger_store import LedgerStore
 from ledgerscope.sources.store import RunStore
 
 #: Thresholds that an analyst has set: the production floor, a trade that is lumpy, and one without a floor.
@@ -162,3 +163,61 @@ reg.SQL["m16_backfilled_cohorts"] = _over_dates(
     """SELECT mcc, peer.n, round(peer.center, 6) AS center, round(peer_cnt.center, 6) AS daily, round(puns.center, 6) AS unsettled, round(ct.center, 6) AS ticket, round(ch.threshold, 6) AS threshold
       FROM peer LEFT JOIN peer_cnt USING (mcc) LEFT JOIN puns USING (mcc) LEFT JOIN ct USING (mcc) LEFT JOIN ch USING (mcc)""",
 )
+
+# ---- diagnostics ---------------------------------------------------------------------------
+
+query("a29_stat_blocks", f", {reg.stats('sb', 'sales', 'merchant_id', 'total_amount')} SELECT merchant_id, round(avg(total_amount), 6) AS mean, round(any_value(center), 6) AS median, round(any_value(mad), 6) AS mad, any_value(n) AS n FROM sales JOIN sb USING (merchant_id) GROUP BY 1")(
+    lambda p: diagnostics.stat_blocks(p.sales(), "merchant_id", "total_amount")
+)
+_VOTE = "vo AS (SELECT mcc, merchant_id, center AS vote FROM p_m JOIN merchants USING (merchant_id) WHERE mcc IS NOT NULL)"
+_VOTES = f"{reg.stats('p_m', 'sw', 'merchant_id', 'total_amount')}, {_VOTE}"
+query("m13_peer_places", f""", {_VOTES} SELECT mcc, merchant_id, round(vote, 6) AS vote, rank() OVER (PARTITION BY mcc ORDER BY vote) - 1 AS below, count(*) OVER (PARTITION BY mcc, vote) AS alike, count(*) OVER (PARTITION BY mcc) AS n,
+    round((rank() OVER (PARTITION BY mcc ORDER BY vote) - 1 + count(*) OVER (PARTITION BY mcc, vote) / 2) / count(*) OVER (PARTITION BY mcc), 6) AS percentile FROM vo""")(
+    lambda p: diagnostics.peer_places(profiles.cohort_members(p))
+)
+query("m13_peer_histograms", f""", {_VOTES}, ve AS (SELECT mcc, min(vote) AS least, max(vote) AS most FROM vo GROUP BY 1),
+    vb AS (SELECT mcc, least, most, CASE WHEN most > least THEN least(CAST(floor((vote - least) / ((most - least) / 20)) AS BIGINT), 19) ELSE 0 END AS bar FROM vo JOIN ve USING (mcc))
+    SELECT mcc, bar, round(least + bar * ((most - least) / 20), 6) AS low, round(least + (bar + 1) * ((most - least) / 20), 6) AS high, count(*) AS merchants FROM vb GROUP BY mcc, bar, least, most""")(
+    lambda p: diagnostics.peer_histograms(profiles.cohort_members(p))
+)
+query("m13_hour_curves", f""", {reg.OWN_HOURS}, {reg.COHORT_HOURS}, sb AS (SELECT merchant_id, {reg._BIN} AS bin, count(*) AS sales FROM sales GROUP BY 1, 2),
+    b AS (SELECT * FROM (SELECT DISTINCT merchant_id, mcc FROM sales), range(96) r(i))
+    SELECT b.merchant_id, b.i AS bin, round(oh.density[i + 1], 6) AS own, round(oh.threshold, 6) AS own_threshold, round(ch.density[i + 1], 6) AS cohort, round(ch.threshold, 6) AS cohort_threshold, coalesce(sales, 0) AS sales
+    FROM b LEFT JOIN oh ON oh.merchant_id = b.merchant_id LEFT JOIN ch ON ch.mcc = b.mcc LEFT JOIN sb ON sb.merchant_id = b.merchant_id AND sb.bin = b.i""")(diagnostics.hour_curves)
+
+
+def _pages(p: Portfolio) -> DataFrame:
+    p = det.write_fits(reg.stored(p))
+    return diagnostics.pages(p, tables.write(study.study(p), "study"), tables.write(profiles.assemble(p), "profiles"))
+
+
+query("m13_pages", f""", {reg.OWN}, {reg.PEER}, {_VOTE}, {reg.stats('sb', 'sales', 'merchant_id', 'total_amount')}
+    SELECT d.merchant_id, round(sb.center, 6) AS day_median, sb.n AS day_n, round(own.center, 6) AS center, round(peer.center, 6) AS peer_center, v.n AS peers,
+      round((v.below + v.alike / 2) / v.n, 6) AS percentile
+    FROM (SELECT DISTINCT merchant_id, mcc FROM dy) d LEFT JOIN sb USING (merchant_id) LEFT JOIN own USING (merchant_id) LEFT JOIN peer ON peer.mcc = d.mcc
+      LEFT JOIN (SELECT merchant_id, rank() OVER (PARTITION BY mcc ORDER BY vote) - 1 AS below, count(*) OVER (PARTITION BY mcc, vote) AS alike, count(*) OVER (PARTITION BY mcc) AS n FROM vo) v ON v.merchant_id = d.merchant_id""")(
+    lambda p: _pages(p).select("merchant_id", F.col("day.median").alias("day_median"), F.col("day.n").alias("day_n"), "baseline.center", F.col("peers.center").alias("peer_center"), F.col("place.n").alias("peers"), "place.percentile")
+)
+
+# ---- bulk load -----------------------------------------------------------------------------
+
+_CUT = datetime(2024, 1, 20)
+
+
+def _loaded(p: Portfolio) -> LedgerStore:
+    """The ledger in two deliveries: its beginning, every third row of it twice, then all of it again."""
+    spark = p.ledger.sparkSession
+    store = LedgerStore(spark, f"{tables.shared_folder(spark)}/ledger-{uuid.uuid4().hex}", 8)
+    rows = p.ledger.withColumn("arrival", F.col("source_txn_id"))
+    early = rows.where(F.col("occurred_at") < F.lit(_CUT.isoformat(sep=" ")).cast("timestamp_ntz"))
+    again = early.where(F.substring("source_txn_id", 2, 9).cast("long") % 3 == 0).withColumns({"arrival": F.concat(F.lit("Z"), "arrival"), "total_amount": F.lit(-1.0)})
+    store.append(early.unionByName(again), "early")
+    store.append(rows, "all")
+    return store
+
+
+query("s07_deliveries", f""", e AS (SELECT count(*) AS n, count(*) FILTER (CAST(substr(source_txn_id, 2, 9) AS BIGINT) % 3 = 0) AS k FROM ledger WHERE occurred_at < {reg._ts(_CUT)}), a AS (SELECT count(*) AS n FROM ledger)
+    SELECT 'early' AS delivery, n AS inserted, k AS skipped FROM e UNION ALL SELECT 'all', a.n - e.n, e.n FROM a, e""")(lambda p: _loaded(p).deliveries().drop("loaded_at"))
+query("s07_stored_ledger", "SELECT txn_date::VARCHAR AS txn_date, count(*) AS n, round(sum(total_amount), 4) AS value FROM ledger GROUP BY 1")(
+    lambda p: _loaded(p).ledger().groupBy("txn_date").agg(F.count("*").alias("n"), F.round(F.sum("total_amount"), 4).alias("value"))
+)
