@@ -72,7 +72,8 @@ class LedgerStore:
         """Committed deliveries with the rows they inserted and skipped."""
         return self._commits().drop("attempt")
 
-    def ledger(self) -> DataFrame:
-        """All committed rows; filters of ``txn_date`` prune folders."""
-        done = self._commits().select("attempt")
-        return self.spark.read.parquet(f"{self.folder}/rows").join(F.broadcast(done), "attempt", "left_semi").drop("attempt")
+    def ledger(self, with_delivery: bool = False) -> DataFrame:
+        """All committed rows; filters of ``txn_date`` prune folders. ``delivery`` and ``loaded_at`` tell how a row came."""
+        done = self._commits().select("attempt", "delivery", "loaded_at")
+        rows = self.spark.read.parquet(f"{self.folder}/rows").join(F.broadcast(done), "attempt").drop("attempt")
+        return rows if with_delivery else rows.drop("delivery", "loaded_at")
