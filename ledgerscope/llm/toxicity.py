@@ -17,6 +17,8 @@ from ledgerscope.llm.shared import materialize, ship, with_columns
 
 WORD = re.compile(r"\w+")
 STEMS = (4, 5, 6, 7)
+#: Changes of a learner's state are summed as whole multiples of 2 ** -STEP.
+STEP = 36
 
 
 @dataclass(frozen=True)
@@ -105,43 +107,44 @@ def sample(labelled: DataFrame, p: FtrlParams) -> DataFrame:
 def fit(docs: DataFrame, labelled: DataFrame, p: FtrlParams = FtrlParams()) -> ToxicModel:
     """Learn from ``labelled(doc_id, y)``, y 0 or 1, and the whole texts of those ``docs``.
 
-    Several labels of one id count as their largest. The drawn ids, bounded by ``rows``,
-    are broadcast to the texts. Their features are written once, in ``shards`` parts. In each pass
-    the learner of every part starts from the common state and takes its rows in order of their
-    hash; the changes are averaged. Without labelled rows all weights are zero and every score is 0.5.
+    Several labels of one id count as their largest, of several texts of one id the least is learned
+    from. The drawn ids, bounded by ``rows``, are broadcast to the texts. Their features are written
+    once. A row's learner follows from its id, so there are ``shards`` learners on any cluster. In each pass
+    every learner starts from the common state and takes its rows in order of their hash; the changes
+    are averaged, as whole multiples of 2^-STEP, so that their sum doesn't hang on its order. Equal tables give equal
+    scores, whatever their partitioning. Without labelled rows all weights are zero and every score is 0.5.
     """
     spark = docs.sparkSession
     ship(docs.sparkSession)
     size = (1 << p.bits) + 1
-    drawn = docs.select("doc_id", "text").join(F.broadcast(sample(labelled, p)), "doc_id")
+    drawn = docs.select("doc_id", "text").join(F.broadcast(sample(labelled, p)), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
     @F.pandas_udf("array<int>")
     def indexed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([features(t, p.bits) for t in texts])
 
-    dealt = drawn.repartition(p.shards)
-    rows = materialize(dealt.select("doc_id", "y", indexed("text").alias("x")), "toxic-rows")
+    shard = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(p.shards)).alias("shard")
+    rows = materialize(drawn.select(shard, F.col("doc_id").cast("long"), F.col("y").cast("long"), indexed("text").alias("x")), "toxic-rows")
     z, n = np.zeros(size), np.zeros(size)
     for turn in range(p.passes):
         state = spark.sparkContext.broadcast((z, n))
 
-        def one_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table = pa.Table.from_batches(batches, schema=pa.schema([("doc_id", pa.int64()), ("y", pa.int64()), ("x", pa.list_(pa.int32()))]))
+        def one_pass(table: pa.Table) -> pa.Table:
             ids, y = table["doc_id"].to_pylist(), table["y"].to_numpy()
-            order = np.argsort([xxhash.xxh64_intdigest(str(d), turn) for d in ids], kind="stable")
-            x = [table["x"][int(k)].values.to_numpy() for k in order]
+            order = sorted(range(len(ids)), key=lambda k: (xxhash.xxh64_intdigest(str(ids[k]), turn), ids[k]))
+            x = [table["x"][k].values.to_numpy() for k in order]
             z0, n0 = state.value
             z1, n1 = z0.copy(), n0.copy()
             learn(x, y[order], z1, n1, p)
             i = np.flatnonzero(n1 != n0)
-            yield pa.RecordBatch.from_pydict({"i": i, "dz": z1[i] - z0[i], "dn": n1[i] - n0[i]})
+            return pa.table({"i": i, "dz": np.rint((z1[i] - z0[i]) * 2.0**STEP).astype(np.int64), "dn": np.rint((n1[i] - n0[i]) * 2.0**STEP).astype(np.int64)})
 
-        moved = rows.select(F.col("doc_id").cast("long"), F.col("y").cast("long"), "x").mapInArrow(one_pass, "i long, dz double, dn double")
-        # an entry that only one shard has seen moves by that shard's change
-        step = moved.groupBy("i").agg(F.avg("dz").alias("dz"), F.avg("dn").alias("dn")).toPandas()
-        z[step["i"]] += step["dz"]
-        n[step["i"]] += step["dn"]
+        moved = rows.groupBy("shard").applyInArrow(one_pass, "i long, dz long, dn long")
+        # an entry that only one learner has seen moves by that learner's change
+        step = moved.groupBy("i").agg(F.sum("dz").alias("dz"), F.sum("dn").alias("dn"), F.count("*").alias("c")).toPandas()
+        z[step["i"]] += step["dz"] / step["c"] / 2.0**STEP
+        n[step["i"]] += step["dn"] / step["c"] / 2.0**STEP
         state.unpersist()
     return ToxicModel(weights(z, n, p), p)
 
