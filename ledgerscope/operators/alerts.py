@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerscope.functions import robust
 from ledgerscope.sources import tables
 
 #: Detectors by alert type; any other detector is ``single_txn_spike``.
@@ -128,3 +129,80 @@ def trail_rollup(ledger: DataFrame) -> DataFrame:
     return ledger.groupBy("hashed_pan", "merchant_id").agg(
         F.count("*").alias("n"), F.sum("total_amount").alias("value"), F.min("occurred_at").alias("first_seen"), F.max("occurred_at").alias("last_seen")
     )
+
+
+#: The stages of a case, in the order in which they are offered.
+CASE_STAGES = (
+    "OPENED", "MERCHANT_CONTACTED", "DOCUMENTS_REQUESTED", "DOCUMENTS_RECEIVED", "DOCUMENTS_VERIFIED", "NO_RESPONSE", "ESCALATED_LEGAL", "STR_FILED",
+    "CLEARED", "CONFIRMED_ILLICIT", "OFFBOARDED",
+)
+
+
+def decide(dispositions: DataFrame, events: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(dispositions, events) after ``new`` decisions: each alert keeps its first, and a confirmed one opens a case.
+
+    ``new`` has the columns of ``dispositions``; an opening is an event of the decision's time, by its
+    analyst if there is one. Of several new decisions of one alert the earliest counts.
+    """
+    first = Window.partitionBy("alert_id").orderBy("decided_at", "disposition_id")
+    once = new.withColumn("__k", F.row_number().over(first)).where("__k = 1").drop("__k")
+    fresh = once.join(dispositions.select("alert_id"), "alert_id", "left_anti").select(dispositions.columns)
+    known = {"disposition_id": F.col("disposition_id"), "event_type": F.lit("OPENED"), "occurred_at": F.col("decided_at"), "actor": F.col("analyst_id") if "analyst_id" in new.columns else F.lit(None)}
+    # negative ids can't meet those of events that are added later
+    known["event_id"] = -F.col("disposition_id")
+    openings = fresh.where("verdict = 'TRUE_POSITIVE'").select(*[known.get(c, F.lit(None)).cast(events.schema[c].dataType).alias(c) for c in events.columns])
+    return dispositions.unionByName(fresh), events.unionByName(openings)
+
+
+def add_events(events: DataFrame, dispositions: DataFrame, new: DataFrame) -> DataFrame:
+    """``events`` with ``new`` ones appended; stages are never replaced. A stage that isn't among CASE_STAGES, or a decision that doesn't exist, raises an error."""
+    known = dispositions.select("disposition_id", F.lit(True).alias("__known"))
+    refuse = lambda why, c: F.raise_error(F.concat(F.lit(why), F.coalesce(F.col(c).cast("string"), F.lit("null")))).cast("string")
+    stage = F.when(F.col("event_type").isin(*CASE_STAGES), F.col("event_type")).otherwise(refuse("unknown stage ", "event_type"))
+    checked = F.when(F.col("__known"), stage).otherwise(refuse("no case ", "disposition_id"))
+    return events.unionByName(new.join(known, "disposition_id", "left").withColumn("event_type", checked).select(events.columns))
+
+
+def timeline(dispositions: DataFrame, events: DataFrame) -> DataFrame:
+    """Events of confirmed cases with their ``place`` in the case, by (time, id)."""
+    place = F.row_number().over(Window.partitionBy("disposition_id").orderBy("occurred_at", "event_id"))
+    return events.join(dispositions.where("verdict = 'TRUE_POSITIVE'").select("disposition_id"), "disposition_id", "left_semi").withColumn("place", place)
+
+
+def described(alerts: DataFrame, merchants: DataFrame) -> DataFrame:
+    """``alerts`` with their merchant's mcc and its description, borrowed from another of the trade (the first by name) where it has none."""
+    borrowed = merchants.where("mcc_description <> ''").groupBy("mcc").agg(F.min("mcc_description").alias("__borrowed"))
+    known = merchants.select("merchant_id", "mcc", F.nullif(F.col("mcc_description"), F.lit("")).alias("__own")).join(borrowed, "mcc", "left")
+    return alerts.join(known.select("merchant_id", "mcc", F.coalesce("__own", "__borrowed").alias("mcc_description")), "merchant_id", "left")
+
+
+def runs_by_day(runs: DataFrame) -> DataFrame:
+    """(as_of, runs, current_run): of each day its runs and the one that speaks for it, newest day first."""
+    live = F.max(F.when(F.col("superseded_at").isNull(), F.col("run_id")))
+    return runs.groupBy("as_of").agg(F.count("*").alias("runs"), live.alias("current_run")).orderBy(F.desc("as_of"))
+
+
+def newest_runs(runs: DataFrame) -> DataFrame:
+    return runs.orderBy(F.desc("as_of"), F.desc("run_id"))
+
+
+def first_alert(queue: DataFrame) -> DataFrame:
+    """The alert at the head of the queue, whose day the queue is headed with."""
+    return queue.orderBy("rank", "alert_id").limit(1)
+
+
+def ledger_rows(day: DataFrame, own: DataFrame) -> DataFrame:
+    """The scored day's rows with ``place`` in their merchant's day, the fence of its own baseline, and whether they are above it."""
+    fence = F.when(F.col("usable"), robust.upper_fence(F.col("center"), F.col("dispersion")))
+    fenced = own.select("merchant_id", fence.alias("upper_fence"))
+    place = F.row_number().over(Window.partitionBy("merchant_id").orderBy("occurred_at", "source_txn_id"))
+    marked = F.coalesce(F.col("total_amount") > F.col("upper_fence"), F.lit(False))
+    return day.join(fenced, "merchant_id", "left").withColumns({"place": place, "is_outlier": marked})
+
+
+def inspected(ledger: DataFrame) -> DataFrame:
+    """One row: rows, merchants, rows a merchant, least, greatest and mean amount."""
+    return ledger.agg(
+        F.count("*").alias("rows"), F.countDistinct("merchant_id").alias("merchants"), (F.count("*") / F.countDistinct("merchant_id")).alias("per_merchant"),
+        F.min("total_amount").alias("least"), F.max("total_amount").alias("greatest"), F.avg("total_amount").alias("mean"),
+    )

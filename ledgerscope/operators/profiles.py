@@ -98,3 +98,14 @@ def cohort_members(p: Portfolio) -> DataFrame:
     """
     own = p.fitted("own_amount").where("n > 0").select("merchant_id", F.col("center").alias("vote"))
     return p.merchants.where("mcc is not null").select("merchant_id", "mcc").join(own, "merchant_id").select("mcc", "merchant_id", "vote")
+
+
+def overview(profiles: DataFrame) -> DataFrame:
+    """One row: merchants, usable baselines, confirmed days, the window, and the day that the next night takes in.
+
+    The window is half-open, so its end is the first day that isn't part of it yet.
+    """
+    return profiles.agg(
+        F.count("*").alias("total"), F.count(F.when(F.col("own.usable"), 1)).alias("usable"), F.coalesce(F.sum("window.quarantined_days"), F.lit(0)).alias("quarantined_days"),
+        F.to_date(F.min("window.start")).alias("window_start"), F.to_date(F.max("window.end")).alias("next_inclusion_date"),
+    )

@@ -121,6 +121,11 @@ def unparsed(spark: SparkSession, path: str) -> DataFrame:
     return _json(spark, path)[1]
 
 
+def estimated_rows(spark: SparkSession, path: str) -> int:
+    """Rows of a CSV file by its lines, the header aside; quoted line breaks make it too large."""
+    return max(0, spark.read.text(path).count() - 1)
+
+
 def blank_to_null(c: str) -> Column:
     return F.nullif(F.trim(F.col(c)), F.lit(""))
 
