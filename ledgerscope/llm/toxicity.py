@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerscope.llm.shared import materialize, ship, with_columns
+from ledgerscope.llm.shared import shared_path, ship, with_columns
 
 WORD = re.compile(r"\w+")
 STEMS = (4, 5, 6, 7)
@@ -125,7 +126,11 @@ def fit(docs: DataFrame, labelled: DataFrame, p: FtrlParams = FtrlParams()) -> T
             yield pd.Series([features(t, p.bits) for t in texts])
 
     shard = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(p.shards)).alias("shard")
-    rows = materialize(drawn.select(shard, F.col("doc_id").cast("long"), F.col("y").cast("long"), indexed("text").alias("x")), "toxic-rows")
+    # a table in buckets by learner: no pass shuffles it
+    table = f"toxic_rows_{uuid.uuid4().hex}"
+    made = drawn.select(shard, F.col("doc_id").cast("long"), F.col("y").cast("long"), indexed("text").alias("x")).repartition(p.shards, "shard")
+    made.write.bucketBy(p.shards, "shard").format("parquet").option("compression", "zstd").option("path", shared_path(spark, "toxic-rows")).saveAsTable(table)
+    rows = spark.table(table)
     z, n = np.zeros(size), np.zeros(size)
     for turn in range(p.passes):
         state = spark.sparkContext.broadcast((z, n))
@@ -146,6 +151,7 @@ def fit(docs: DataFrame, labelled: DataFrame, p: FtrlParams = FtrlParams()) -> T
         z[step["i"]] += step["dz"] / step["c"] / 2.0**STEP
         n[step["i"]] += step["dn"] / step["c"] / 2.0**STEP
         state.unpersist()
+    spark.sql(f"DROP TABLE {table}")
     return ToxicModel(weights(z, n, p), p)
 
 
