@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ledgerscope.functions import density, robust
 from ledgerscope.operators.predicates import HOME, UNSETTLED, Span, dated, has_card_origin, micros, scored_day, settled_sale, without_confirmed
+from ledgerscope.sources import tables
 
 
 @dataclass(frozen=True)
@@ -66,7 +67,8 @@ def peer_amount(ledger: DataFrame, merchants: DataFrame, span: Span, confirmed:
 
 
 def _votes(members: DataFrame, merchants: DataFrame, floor: float) -> DataFrame:
-    grouped = members.join(merchants.select("merchant_id", "mcc").where("mcc is not null"), "merchant_id")
+    """Statistics over the members' centers. These are written first: statistics read their rows several times."""
+    grouped = tables.write(members, "members").join(merchants.select("merchant_id", "mcc").where("mcc is not null"), "merchant_id")
     sizes = grouped.groupBy("mcc").agg(F.sum("rows").alias("n_observations"))
     return robust.fit_peers(robust.robust_stats(grouped, ["mcc"], F.col("vote")), floor).join(sizes, "mcc")
 
@@ -121,7 +123,8 @@ def cohort_tickets(ledger: DataFrame, merchants: DataFrame, dimension: str, span
     if dimension not in ("mcc", "merchant_subdistrict"):
         raise ValueError(f"no cohort dimension: {dimension}")
     member = merchants.select("merchant_id", dimension).where(F.col(dimension).isNotNull())
-    rows = sampled_by_rank(settled(ledger, span, confirmed), s.member_cap).join(member, "merchant_id")
+    # some hundred rows a member, written as the statistics read them several times
+    rows = tables.write(sampled_by_rank(settled(ledger, span, confirmed), s.member_cap).join(member, "merchant_id").select(dimension, "merchant_id", "total_amount"), "sampled")
     members = rows.groupBy(dimension).agg(F.countDistinct("merchant_id").alias("members"))
     stats = robust.robust_stats(rows, [dimension], F.col("total_amount")).join(members, dimension)
     return robust.fit(stats, 1, enough=F.col("members") >= s.min_members)

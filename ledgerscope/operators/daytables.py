@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ledgerscope.functions import density, robust
 from ledgerscope.operators.baselines import FitSettings, daily_peaks
 from ledgerscope.operators.predicates import HOME, UNSETTLED, Span, dated, has_card_origin, micros, settled_sale
+from ledgerscope.sources import tables
 
 TABLES = ("amounts", "activity", "bins", "origins", "sales")
 
@@ -175,6 +176,8 @@ def cohort_tickets(w: Windows, dimension: str) -> DataFrame:
     i = F.ceil(F.col("r") * cap / F.col("all"))
     rows = ranked.where((F.col("all") <= cap) | ((i < cap) & (F.floor(i * F.col("all") / cap) == F.col("r")))).join(w.members(dimension), "merchant_id")
     keys = ["as_of", dimension]
+    # some hundred rows a member, written as the statistics read them several times
+    rows = tables.write(rows.select(*keys, "merchant_id", "total_amount"), "sampled")
     members = rows.groupBy(*keys).agg(F.countDistinct("merchant_id").alias("members"))
     return robust.fit(_each(rows, keys, F.col("total_amount")).join(members, keys), 1, enough=F.col("members") >= w.fit.min_members)
 
