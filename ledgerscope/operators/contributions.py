@@ -83,7 +83,7 @@ def _hours(base: str, key: str, before: str) -> Callable[[Portfolio, DataFrame],
 
     def of(p: Portfolio, h: DataFrame) -> DataFrame:
         timed = p.sales().join(p.fitted(base).where("usable").select(key, "usable", "threshold", "density"), key)
-        at, threshold = F.round(density.density_at(F.col("density"), density.bin_of()), 6), F.round("threshold", 6)
+        at, threshold = robust.rounded(density.density_at(F.col("density"), density.bin_of()), 6), robust.rounded(F.col("threshold"), 6)
         odd = density.is_unusual(F.col("usable"), at, threshold)
         return _rows(h, timed.where(odd), "occurred_at", _say(before, text.whole(F.col(_USUAL)), ":00)"))
 
@@ -148,8 +148,8 @@ def _rule_rows(p: Portfolio, hits: DataFrame, r: Rule) -> DataFrame:
         return _rows(hits, p.day().where(settled | refund), field, reason, text.money(amount))
     if r.template == "decline_ratio_spike":
         return _rows(hits, p.day().where(~refund & (status == "DECLINED")), "transaction_status", "declined authorisation", stated("DECLINED"))
-    hours = p.fitted("cohort_hours").select("mcc", "density", F.round("threshold", 6).alias("threshold"))
-    inside = F.round(density.density_at(F.col("density"), density.bin_of()), 6) >= F.col("threshold")
+    hours = p.fitted("cohort_hours").select("mcc", "density", robust.rounded(F.col("threshold"), 6).alias("threshold"))
+    inside = robust.rounded(density.density_at(F.col("density"), density.bin_of()), 6) >= F.col("threshold")
     return _rows(hits, p.day().join(hours, "mcc", "left").where(~F.coalesce(inside, F.lit(False))), "occurred_at", "outside the declared category's normal hours")
 
 

@@ -60,9 +60,9 @@ def hour_curves(p: Portfolio) -> DataFrame:
     cohort = p.fitted("cohort_hours").select("mcc", F.col("density").alias("cohort"), F.col("threshold").alias("cohort_threshold"))
     bins = F.explode(F.sequence(F.lit(0), F.lit(density.BINS - 1)))
     each = live.join(own, "merchant_id", "left").join(cohort, "mcc", "left").withColumn("bin", bins)
-    at = lambda c: F.round(F.get(c, F.col("bin")), 6).alias(c)
+    at = lambda c: robust.rounded(F.get(c, F.col("bin")), 6).alias(c)
     return each.join(day.drop("mcc"), ["merchant_id", "bin"], "left").select(
-        "merchant_id", "bin", at("own"), F.round("own_threshold", 6).alias("own_threshold"), at("cohort"), F.round("cohort_threshold", 6).alias("cohort_threshold"), F.coalesce("sales", F.lit(0)).alias("sales")
+        "merchant_id", "bin", at("own"), robust.rounded(F.col("own_threshold"), 6).alias("own_threshold"), at("cohort"), robust.rounded(F.col("cohort_threshold"), 6).alias("cohort_threshold"), F.coalesce("sales", F.lit(0)).alias("sales")
     )
 
 

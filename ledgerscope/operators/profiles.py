@@ -28,10 +28,10 @@ def _value(df: DataFrame, key: str, *fields: str | Column) -> DataFrame:
 
 def _merchant_parts(p: Portfolio) -> dict[str, DataFrame]:
     m, fit = "merchant_id", ("center", "dispersion", "usable")
-    hours = _value(p.fitted("own_hours"), m, F.transform("density", lambda d: F.round(d, 6)).alias("density"), F.round("threshold", 6).alias("threshold"), "bandwidth", "n", "usable")
+    hours = _value(p.fitted("own_hours"), m, F.transform("density", lambda d: robust.rounded(d, 6)).alias("density"), robust.rounded(F.col("threshold"), 6).alias("threshold"), "bandwidth", "n", "usable")
     mix = p.fitted("origin_mix").groupBy(m).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("country", "c")))).alias("counts"), F.max("n").alias("n"))
     rails = p.fitted("rail_amount").where("usable").groupBy(m).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("card_type", F.struct("center", "dispersion", "n", "usable"))))).alias("value"))
-    trend = _value(p.fitted("trend"), m, F.round("trend_ratio", 3).alias("ratio"), F.col("is_ramp"))
+    trend = _value(p.fitted("trend"), m, robust.rounded(F.col("trend_ratio"), 3).alias("ratio"), F.col("is_ramp"))
     out = {
         "own": _value(p.fitted("own_amount"), m, "center", "dispersion", "method", "n", "usable"),
         "volume": _value(p.fitted("own_daily_count"), m, *fit),
@@ -51,7 +51,7 @@ def _cohort_parts(p: Portfolio) -> tuple[dict[str, DataFrame], dict[str, DataFra
     """By MCC and by subdistrict."""
     fit = ("center", "dispersion", "usable")
     fence = F.when(F.col("usable"), robust.upper_fence(F.col("center"), F.col("dispersion"))).alias("fence")
-    hours = _value(p.fitted("cohort_hours"), "mcc", F.transform("density", lambda d: F.round(d, 6)).alias("density"), F.round("threshold", 6).alias("threshold"), "n", "usable")
+    hours = _value(p.fitted("cohort_hours"), "mcc", F.transform("density", lambda d: robust.rounded(d, 6)).alias("density"), robust.rounded(F.col("threshold"), 6).alias("threshold"), "n", "usable")
     mcc = {
         "peer": _value(p.fitted("peer_amount"), "mcc", "center", "dispersion", fence, F.col("n").alias("n_merchants"), "usable"),
         "peer_txn": _value(p.fitted("mcc_tickets"), "mcc", *fit),
