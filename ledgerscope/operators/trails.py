@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerscope.functions.robust import rounded
 from ledgerscope.operators.predicates import micros
 from ledgerscope.operators.rings import identities
 from ledgerscope.sources import tables
@@ -23,26 +24,25 @@ def owner_groups(members: DataFrame, merchants: DataFrame, case: list[str]) -> D
     each = members.select(*case, "merchant_id").distinct().join(values, "merchant_id")
     shared = each.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").drop("n")
     todo = tables.write(each.join(shared, key), "owner-ties")
-    done: list[DataFrame] = []
+    ties, leaders = todo, todo.select(*case, "merchant_id").limit(0)
     while not todo.isEmpty():
         least = todo.groupBy(*key).agg(F.min("merchant_id").alias("least"))
-        ties = todo.join(least, key)
-        leads = ties.groupBy(*case, "merchant_id").agg(F.min(F.col("least") == F.col("merchant_id")).alias("leads")).where("leads").drop("leads")
-        led = todo.join(leads, [*case, "merchant_id"]).select(*key, F.col("merchant_id").alias("leader"))
-        found = tables.write(todo.join(led, key).groupBy(*case, "merchant_id").agg(F.min("leader").alias("leader")), "owner-groups")
-        done.append(found)
-        todo = tables.write(todo.join(found.select(*case, "merchant_id"), [*case, "merchant_id"], "left_anti"), "owner-ties")
-    out = done[0] if done else todo.select(*case, "merchant_id", F.col("merchant_id").alias("leader"))
-    for more in done[1:]:
-        out = out.unionByName(more)
-    return out
+        leads = todo.join(least, key).groupBy(*case, "merchant_id").agg(F.min(F.col("least") == F.col("merchant_id")).alias("leads")).where("leads").drop("leads")
+        leads = tables.write(leads, "owner-leaders")
+        leaders = leaders.unionByName(leads)
+        led = todo.join(leads, [*case, "merchant_id"]).select(*key).distinct()
+        decided = todo.join(led, key).select(*case, "merchant_id").distinct()
+        todo = tables.write(todo.join(decided, [*case, "merchant_id"], "left_anti"), "owner-ties")
+    # a leader of a later round may come before one of an earlier round, so members are dealt when all are known
+    led = ties.join(leaders, [*case, "merchant_id"]).groupBy(*key).agg(F.min("merchant_id").alias("leader"))
+    return ties.join(led, key).groupBy(*case, "merchant_id").agg(F.min("leader").alias("leader"))
 
 
 def labelled(groups: DataFrame, case: list[str]) -> DataFrame:
-    """``groups`` with ``owner_group``: Chain A, Chain B and so on, in order of the leaders' ids; beyond Z by number."""
+    """``groups`` with ``owner_group``: Chain A, Chain B and so on, in order of the leaders' ids; beyond Z the characters that follow it."""
     leaders = groups.select(*case, "leader").distinct()
     k = F.row_number().over(Window.partitionBy(*case).orderBy("leader"))
-    name = F.concat(F.lit("Chain "), F.when(k <= 26, F.char(F.lit(64) + k)).otherwise(k.cast("string")))
+    name = F.concat(F.lit("Chain "), F.decode(F.unhex(F.lpad(F.hex(F.lit(64) + k), 8, "0")), "UTF-32"))
     return groups.join(leaders.withColumn("owner_group", name), [*case, "leader"]).drop("leader")
 
 
@@ -58,7 +58,7 @@ def linked_transactions(trails: DataFrame, ledger: DataFrame, merchants: DataFra
     known = merchants.select("merchant_id", "mcc", "mcc_description", "merchant_district", "merchant_subdistrict")
     groups = labelled(owner_groups(rows, merchants, case), case)
     w = Window.partitionBy(*case).orderBy("occurred_at", "source_txn_id")
-    gap = F.round((F.col("t") - F.lag("t").over(w)) / 60_000_000, 1)
+    gap = rounded((F.col("t") - F.lag("t").over(w)) / 60_000_000, 1)
     timed = rows.withColumn("t", micros()).withColumns({"place": F.row_number().over(w), "minutes_since_previous": gap}).drop("t")
     out = timed.join(known, "merchant_id", "left").join(groups, [*case, "merchant_id"], "left").withColumn("is_alert_merchant", F.col("merchant_id") == F.col("carrier"))
     if journeys is None:
