@@ -76,3 +76,20 @@ def test_openings_of_a_large_store(spark, monkeypatch):
     monkeypatch.setattr(registry, "store", lambda p: (None, alert, disposition, events))
     got = [(r["event_id"], r["event_type"]) for r in alerts.timeline(*desk._decided(None)).collect()]
     assert got == [(-2500003, "OPENED")]
+
+
+def test_few_values_are_gathered_and_many_are_not(spark, monkeypatch):
+    """Both ways give equal statistics; keys with few values take fewer shuffles than the buckets do."""
+    rng = random.Random(5)
+    rows = [(f"M{m}", rng.choice([1.5, -2.0, 0.0, float("nan")]) if m % 3 == 0 else rng.uniform(-5, 900)) for m in range(9) for _ in range([1, 2, 3, 4, 5, 8, 41, 200, 333][m])]
+    df = spark.createDataFrame([*rows, ("M1", None)], "m string, v double").repartition(3)
+    text = lambda out: sorted((r["m"], r["n"], *(f"{r[c]!r}" for c in ("center", "mad", "q1", "q3"))) for r in out.collect())
+    stats = lambda: robust.robust_stats(df, ["m"], F.col("v"))
+    got = {}
+    for few in (4096, 40, 0):
+        monkeypatch.setattr(robust, "FEW", few)
+        got[few] = text(stats())
+    assert got[4096] == got[40] == got[0] and len(got[0]) == 9
+    hist = robust._histogram(df, ["m"], F.col("v"))
+    shuffles = lambda out: out._jdf.queryExecution().sparkPlan().toString().count("Window ")
+    assert shuffles(robust._gathered(hist, ["m"])) == 0 < shuffles(robust._by_bucket(hist, ["m"]))
