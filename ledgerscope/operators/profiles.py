@@ -63,6 +63,25 @@ def _cohort_parts(p: Portfolio) -> tuple[dict[str, DataFrame], dict[str, DataFra
     return mcc, district
 
 
+def settings(p: Portfolio, days: Column) -> Column:
+    """The window that a profile was fitted under, ``days`` of it left out as confirmed."""
+    at = lambda t: F.lit(t.isoformat(sep=" ")).cast("timestamp_ntz")
+    return F.struct(
+        at(p.span.start).alias("start"), at(p.span.end).alias("end"), F.lit(p.fit.window_days).alias("days"), F.lit(p.fit.lag_days).alias("lag_days"),
+        F.lit(p.fit.min_observations).alias("min_observations"), F.lit(p.fit.min_span_days).alias("min_span_days"), days.cast("long").alias("quarantined_days"),
+    )
+
+
+def headlines(p: Portfolio) -> DataFrame:
+    """``(merchant_id, own, window)`` of each merchant's profile: all that ``overview`` reads."""
+    own = _value(p.fitted("own_amount"), "merchant_id", "usable").withColumnRenamed("value", "own")
+    rows = p.merchants.select("merchant_id").join(own, "merchant_id", "left")
+    if p.confirmed is None:
+        return rows.select("merchant_id", "own", settings(p, F.lit(0)).alias("window"))
+    days = p.confirmed.groupBy("merchant_id").agg(F.count("*").alias("quarantined_days"))
+    return rows.join(days, "merchant_id", "left").select("merchant_id", "own", settings(p, F.coalesce("quarantined_days", F.lit(0))).alias("window"))
+
+
 def assemble(p: Portfolio) -> DataFrame:
     """One row per merchant: its baselines, those of its cohorts, and the settings and window they were fitted under.
 
@@ -73,12 +92,7 @@ def assemble(p: Portfolio) -> DataFrame:
     rows = p.merchants.select("merchant_id", "mcc", F.col("merchant_subdistrict").alias("subdistrict"))
     rows = rows.join(gathered("merchant_id", _merchant_parts(p)), "merchant_id", "left").join(gathered("mcc", mcc), "mcc", "left")
     rows = rows.join(gathered("merchant_subdistrict", district).withColumnRenamed("merchant_subdistrict", "subdistrict"), "subdistrict", "left")
-    at = lambda t: F.lit(t.isoformat(sep=" ")).cast("timestamp_ntz")
-    days = F.coalesce("quarantined_days", F.lit(0)) if p.confirmed is not None else F.lit(0)
-    window = F.struct(
-        at(p.span.start).alias("start"), at(p.span.end).alias("end"), F.lit(p.fit.window_days).alias("days"), F.lit(p.fit.lag_days).alias("lag_days"),
-        F.lit(p.fit.min_observations).alias("min_observations"), F.lit(p.fit.min_span_days).alias("min_span_days"), days.cast("long").alias("quarantined_days"),
-    )
+    window = settings(p, F.coalesce("quarantined_days", F.lit(0)) if p.confirmed is not None else F.lit(0))
     z, floor = (by_mcc(s, getattr(p.tuning, s), p.tuning.mcc_overrides).alias(s) for s in ("outlier_z", "materiality_floor"))
     lane = F.when(F.coalesce("own.usable", F.lit(False)), "A").otherwise("B").alias("lane")
     fits = ("own", "volume", "velocity", "unsettled", "hours", "origins", "rails", "trend", *mcc, *district)

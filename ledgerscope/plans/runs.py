@@ -87,7 +87,7 @@ def _profiles(p: Portfolio) -> DataFrame:
     spark = p.ledger.sparkSession
     store = RunStore(spark, f"{tables.shared_folder(spark)}/runs-{uuid.uuid4().hex}")
     run = store.open_run(AS_OF)
-    store.publish(run, {"profiles": profiles.assemble(det.write_fits(reg.stored(p)))}, "profiles")
+    store.publish(run, {"profiles": profiles.assemble(det.write_fits(reg.stored(p), det.DETECTOR_FITS))}, "profiles")
     return profiles.latest(store.read("profiles", current=True))
 
 
@@ -118,15 +118,17 @@ query("s13_cohort_members", f", {reg.stats('p_m', 'sw', 'merchant_id', 'total_am
 DATES = tuple(AS_OF.date() - timedelta(days=d) for d in (9, 4, 1, 0))
 
 
-def _backfilled(p: Portfolio) -> dict[str, DataFrame]:
-    """Fits of DATES from day tables that are loaded once and of which the last day came in a night of its own."""
+def _backfilled(p: Portfolio, columns: dict[str, tuple[str, str]]) -> dict[str, DataFrame]:
+    """The fits that ``columns`` name, of DATES, from day tables that are loaded once and of which the last day came in a night of its own."""
+    names = {fit for fit, _ in columns.values()}
+    _, parts = daytables.needed(names)
     spark = p.ledger.sparkSession
     p = reg.stored(p)
     days = daytables.DayStore(spark, f"{tables.shared_folder(spark)}/days-{uuid.uuid4().hex}")
     last = datetime(AS_OF.year, AS_OF.month, AS_OF.day) - timedelta(days=1)
-    days.load(p.ledger.where(F.col("occurred_at") < F.lit(last.isoformat(sep=" ")).cast("timestamp_ntz")))
-    days.update(p.ledger, [last.date()])
-    return det.backfill(days.read(), p.merchants, p.confirmed, DATES, bl.FitSettings())
+    days.load(p.ledger.where(F.col("occurred_at") < F.lit(last.isoformat(sep=" ")).cast("timestamp_ntz")), names=parts)
+    days.update(p.ledger, [last.date()], parts)
+    return det.backfill(days.read(parts), p.merchants, p.confirmed, DATES, bl.FitSettings(), names)
 
 
 def _over_dates(ctes: str, select: str) -> str:
@@ -150,14 +152,14 @@ _COHORT = {
     "n": ("peer_amount", "n"), "center": ("peer_amount", "center"), "daily": ("peer_daily_count", "center"), "unsettled": ("peer_unsettled", "center"), "ticket": ("mcc_tickets", "center"),
     "threshold": ("cohort_hours", "threshold"),
 }
-reg.QUERIES["m16_backfilled_profiles"] = lambda spark, sf_dir: reg.tidy(_joined(_backfilled(reg.portfolio(spark, sf_dir)), "merchant_id", _MERCHANT))
+reg.QUERIES["m16_backfilled_profiles"] = lambda spark, sf_dir: reg.tidy(_joined(_backfilled(reg.portfolio(spark, sf_dir), _MERCHANT), "merchant_id", _MERCHANT))
 reg.SQL["m16_backfilled_profiles"] = _over_dates(
     f"{reg.OWN}, {reg.COUNT}, {reg.VELOCITY}, {reg.UNSETTLED}, {reg.OWN_HOURS}, {reg.TREND}, la AS (SELECT merchant_id, CAST(max(occurred_at) AS DATE) AS last_active FROM ledger WHERE occurred_at < {reg._ts(reg.DAY)} GROUP BY 1)",
     """SELECT merchant_id, own.n, round(own.center, 6) AS center, own.usable, round(cnt.center, 6) AS daily, round(vel.center, 6) AS peak, round(uns.dispersion, 6) AS unsettled, round(oh.threshold, 6) AS threshold,
       round(trend_ratio, 6) AS ratio, last_active::VARCHAR AS last_active FROM own LEFT JOIN cnt USING (merchant_id) LEFT JOIN vel USING (merchant_id) LEFT JOIN uns USING (merchant_id) LEFT JOIN oh USING (merchant_id)
       LEFT JOIN trend USING (merchant_id) LEFT JOIN la USING (merchant_id)""",
 )
-reg.QUERIES["m16_backfilled_cohorts"] = lambda spark, sf_dir: reg.tidy(_joined(_backfilled(reg.portfolio(spark, sf_dir)), "mcc", _COHORT))
+reg.QUERIES["m16_backfilled_cohorts"] = lambda spark, sf_dir: reg.tidy(_joined(_backfilled(reg.portfolio(spark, sf_dir), _COHORT), "mcc", _COHORT))
 reg.SQL["m16_backfilled_cohorts"] = _over_dates(
     f"{reg.PEER}, {reg.PEER_COUNT}, {reg.PEER_UNSETTLED}, {reg.cohort('mcc')}, {reg.COHORT_HOURS}",
     """SELECT mcc, peer.n, round(peer.center, 6) AS center, round(peer_cnt.center, 6) AS daily, round(puns.center, 6) AS unsettled, round(ct.center, 6) AS ticket, round(ch.threshold, 6) AS threshold
