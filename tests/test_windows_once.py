@@ -63,3 +63,11 @@ def test_every_way_of_counting_gives_the_fits_of_the_ledger(spark, monkeypatch):
             end = datetime(d.year, d.month, d.day) - timedelta(days=7)
             want = plain(Span(end - timedelta(days=30), end))
             assert text(table.where(F.col("as_of") == F.lit(d.isoformat()).cast("date")).select(want.columns)) == text(want)
+
+
+def test_a_busy_hour_is_counted_by_running_sums(spark):
+    """The row an hour ago is not counted, equal instants are, and no frame slides along the hour, which is quadratic."""
+    at = [datetime(2026, 3, 1, 9) + timedelta(microseconds=x) for x in (0, 0, 1, 3_599_999_999, 3_600_000_000, 3_600_000_001)]
+    df = spark.createDataFrame([("M", t) for t in at], "merchant_id string, occurred_at timestamp_ntz").withColumn("n", bl.in_last_hour(["merchant_id"]))
+    assert sorted(r["n"] for r in df.collect()) == [2, 2, 3, 3, 3, 4]
+    assert "3599999999" not in df._jdf.queryExecution().sparkPlan().toString()
